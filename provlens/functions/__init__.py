@@ -1,34 +1,6 @@
-"""Column functions: canonical text and hashes, identifiers, rule tables."""
+"""Column functions and ordered helpers.
 
-from provlens.functions.canonical import (
-    canonical,
-    canonical_struct,
-    entry_hash,
-    hash_object,
-    jcs_any,
-    json_text,
-    self_hash,
-    sha256_hex,
-)
-from provlens.functions.identifiers import (
-    assessment_id,
-    detect_kind,
-    evidence_uri,
-    infer_kind,
-    infer_mime,
-    iso_second,
-    key_fingerprint,
-    normalize_hash,
-    object_uri,
-    rationale,
-    ref_hash,
-    step_id,
-    uri_hash,
-)
-
-__all__ = [
-    "assessment_id", "canonical", "canonical_struct", "detect_kind", "entry_hash",
-    "evidence_uri", "hash_object", "infer_kind", "infer_mime", "iso_second", "jcs_any",
-    "json_text", "key_fingerprint", "normalize_hash", "object_uri", "rationale", "ref_hash",
-    "self_hash", "sha256_hex", "step_id", "uri_hash",
-]
+``canonical``: canonical JSON and hashes. ``identifiers``: ids, kinds and fixed
+texts. ``ordered``: positions, running totals and digests over groups of any
+size. ``documents``: digests of records with long lists.
+"""

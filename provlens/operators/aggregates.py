@@ -193,25 +193,6 @@ def layer_counts(events: DataFrame) -> DataFrame:
         "active_layers", reduce(lambda a, b: a + b, [(F.col(k) > 0).cast("long") for k in kinds]))
 
 
-def proof_structure(proofs: DataFrame) -> DataFrame:
-    """Element counts, rule histogram and weak uses; only known rules are counted."""
-    from provlens.operators.proofs import RULES
-
-    names = F.array(*[F.lit(r[0]) for r in RULES])
-    weak = F.array(*[F.lit(r[0]) for r in RULES if r[3] == "weak"])
-    rules = F.transform("inferences", lambda i: i["rule"])
-    used = F.array_intersect(rules, names)
-    histogram = F.map_from_arrays(used, F.transform(
-        used, lambda r: F.size(F.filter(rules, lambda x: x == r)).cast("long")))
-    return proofs.select(
-        "archive_id", "proof_id",
-        F.size("premises").cast("long").alias("premise_count"),
-        F.size("inferences").cast("long").alias("inference_count"),
-        F.size("derived_claims").cast("long").alias("derived_claim_count"),
-        histogram.alias("rules_used"),
-        F.size(F.filter(rules, lambda r: F.array_contains(weak, r))).cast("long").alias("weak_rule_uses"))
-
-
 def latest_by_target(log: DataFrame) -> DataFrame:
     """Newest entry of a derived action for each target."""
     return (log.filter(F.col("action").isin(list(schemas.DERIVED_ACTIONS)))

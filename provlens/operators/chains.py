@@ -45,7 +45,7 @@ def _short(c: str) -> Column:
     return F.concat(F.substring(c, 1, 8), F.lit("…"))
 
 
-def link_failures(links: DataFrame) -> Column:
+def link_failures() -> Column:
     """First failing property of an entry: sequence, then link, then own hash."""
     seq = F.col("seq").cast("string")
     return (F.when(F.col("seq") != F.col("expected_seq"), F.concat(
@@ -62,7 +62,7 @@ def link_failures(links: DataFrame) -> Column:
 def verify_chain(log: DataFrame) -> DataFrame:
     """Per archive: entries, verdict, and the first failure in log order."""
     links = chain_links(log)
-    checked = links.select("archive_id", "pos", "seq", link_failures(links).alias("reason"))
+    checked = links.select("archive_id", "pos", "seq", link_failures().alias("reason"))
     first = F.min(F.when(F.col("reason").isNotNull(), F.struct("pos", "seq", "reason")))
     return (checked.groupBy("archive_id").agg(F.count("*").alias("total_entries"), first.alias("f"))
             .select("archive_id", F.col("f").isNull().alias("ok"), "total_entries",

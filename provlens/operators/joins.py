@@ -14,7 +14,6 @@ from provlens.functions import canonical as canon
 from provlens.functions import identifiers as ids
 from provlens.functions.ordered import running
 
-ABDUCTION = "abduction_to_best_explanation"
 _ASSESSMENT_FIELDS = ("assessment_id", "created_at", "method", "status", "rationale",
                       "supporting_source_ids")
 
@@ -135,26 +134,6 @@ def covering_manifests(entries: DataFrame, manifests: DataFrame) -> DataFrame:
             .filter(F.col("audit_entry_count") > F.col("seq")))
 
 
-def proof_references(proofs: DataFrame) -> DataFrame:
-    """One row per proof and cited hash: the first premise that cites it."""
-    weak = F.size(F.filter("inferences", lambda i: i["rule"] == ABDUCTION)).cast("long")
-    kept = ("archive_id", "proof_id", "proof_hash", "target_justification_id",
-            "target_justification_hash", "conclusion_claim_id", "inference_count",
-            "weak_inference_count")
-    return (proofs
-            .withColumn("inference_count", F.size("inferences").cast("long"))
-            .withColumn("weak_inference_count", weak)
-            .select(*kept, F.posexplode("premises").alias("at", "premise"))
-            .select(*kept, "at", F.col("premise.id").alias("premise_id"),
-                    F.explode("premise.evidence_refs").alias("hash"))
-            .groupBy(*kept, "hash").agg(F.min_by("premise_id", "at").alias("matched_premise_id")))
-
-
-def proofs_citing(evidence: DataFrame, proofs: DataFrame) -> DataFrame:
-    return (evidence.select("archive_id", "hash")
-            .join(proof_references(proofs), ["archive_id", "hash"]))
-
-
 def certificate_hash_of(provenance: DataFrame) -> DataFrame:
     """The certificate named by the first custody step that names one."""
     key = "capture_certificate_hash"

@@ -7,6 +7,7 @@ spread by claim id like everything else.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,43 +51,100 @@ def rule_arity_ok(rule: Column, count: Column) -> Column:
     return arity_error(rule, count).isNull()
 
 
-def steps_of(proofs: DataFrame) -> DataFrame:
-    return proofs.select(*KEY, F.explode("inferences").alias("i")).select(
-        *KEY, F.col("i.id").alias("inference_id"), "i.rule", "i.input_claim_ids", "i.output_claim_id")
-
-
-def derived_claims_of(proofs: DataFrame) -> DataFrame:
-    return proofs.select(*KEY, F.explode("derived_claims").alias("c")).select(
-        *KEY, F.col("c.id").alias("claim_id"), "c.inferred_by")
-
-
-def premises_of(proofs: DataFrame) -> DataFrame:
-    return proofs.select(*KEY, F.explode("premises").alias("p")).select(*KEY, F.col("p.id").alias("claim_id"))
+class Proofs(NamedTuple):
+    """Proofs in long form, every frame keyed by ``archive_id, proof_id``.
 
+    ``heads``: proof_type, proof_hash, target_justification_id,
+    target_justification_hash, conclusion_claim_id. ``premises``: position,
+    claim_id. ``references``: position, claim_id, evidence_hash. ``steps``:
+    inference_id, rule, output_id. ``inputs``: inference_id, claim_id.
+    ``claims``: claim_id, inferred_by.
+    """
 
-def claim_edges(proofs: DataFrame) -> DataFrame:
+    heads: DataFrame
+    premises: DataFrame
+    references: DataFrame
+    steps: DataFrame
+    inputs: DataFrame
+    claims: DataFrame
+
+
+def explode_proofs(landed: DataFrame) -> Proofs:
+    """Long form of landed proofs."""
+    premises = landed.select(*KEY, F.posexplode("premises").alias("position", "p"))
+    steps = landed.select(*KEY, F.explode("inferences").alias("i"))
+    return Proofs(
+        landed.select(*KEY, "proof_type", "proof_hash", "target_justification_id",
+                      "target_justification_hash", "conclusion_claim_id"),
+        premises.select(*KEY, "position", F.col("p.id").alias("claim_id")),
+        premises.select(*KEY, "position", F.col("p.id").alias("claim_id"),
+                        F.explode("p.evidence_refs").alias("evidence_hash")),
+        steps.select(*KEY, F.col("i.id").alias("inference_id"), "i.rule",
+                     F.col("i.output_claim_id").alias("output_id")),
+        steps.select(*KEY, F.col("i.id").alias("inference_id"),
+                     F.explode("i.input_claim_ids").alias("claim_id")),
+        landed.select(*KEY, F.explode("derived_claims").alias("c")).select(
+            *KEY, F.col("c.id").alias("claim_id"), "c.inferred_by"))
+
+
+def proof_references(proofs: Proofs) -> DataFrame:
+    """One row per proof and cited hash, with the first premise that cites it."""
+    cited = proofs.references.groupBy(*KEY, F.col("evidence_hash").alias("hash")).agg(
+        F.min_by("claim_id", "position").alias("matched_premise_id"))
+    sizes = proofs.steps.groupBy(*KEY).agg(
+        F.count("*").alias("inference_count"),
+        F.count_if(is_weak(F.col("rule"))).alias("weak_inference_count"))
+    return (cited.join(proofs.heads.drop("proof_type"), KEY).join(sizes, KEY, "left")
+            .fillna(0, ["inference_count", "weak_inference_count"]))
+
+
+def proofs_citing(evidence: DataFrame, proofs: Proofs) -> DataFrame:
+    return (evidence.select("archive_id", "hash")
+            .join(proof_references(proofs), ["archive_id", "hash"]))
+
+
+def proof_structure(proofs: Proofs) -> DataFrame:
+    """Element counts, rule histogram and weak uses; only known rules are counted."""
+    def count(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*KEY).agg(F.count("*").alias(name))
+
+    known = proofs.steps.filter(rule_known(F.col("rule"))).groupBy(*KEY, "rule").agg(F.count("*").alias("n"))
+    rules = known.groupBy(*KEY).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "n")))).alias("rules_used"),
+        F.sum(F.when(is_weak(F.col("rule")), F.col("n")).otherwise(0)).alias("weak_rule_uses"))
+    names = ["premise_count", "inference_count", "derived_claim_count"]
+    frames = [count(proofs.premises, names[0]), count(proofs.steps, names[1]),
+              count(proofs.claims, names[2]), rules]
+    return reduce(lambda a, b: a.join(b, KEY, "left"), frames, proofs.heads.select(*KEY)).fillna(
+        0, [*names, "weak_rule_uses"])
+
+
+def claim_edges(proofs: Proofs) -> DataFrame:
     """``source`` claim feeds a step that puts out ``target``."""
-    return steps_of(proofs).select(
-        *KEY, F.explode("input_claim_ids").alias("source"), F.col("output_claim_id").alias("target")).distinct()
+    return (proofs.inputs.withColumnRenamed("claim_id", "source")
+            .join(proofs.steps.select(*KEY, "inference_id", F.col("output_id").alias("target")),
+                  [*KEY, "inference_id"])
+            .select(*KEY, "source", "target").distinct())
 
 
-def proof_errors(proofs: DataFrame) -> DataFrame:
+def proof_errors(proofs: Proofs) -> DataFrame:
     """``archive_id, proof_id, subject, error`` for every structural fault but cycles."""
-    steps = steps_of(proofs)
+    steps, derived = proofs.steps, proofs.claims
     known = steps.filter(rule_known(F.col("rule")))
-    derived = derived_claims_of(proofs)
-    claims = premises_of(proofs).unionByName(derived.select(*KEY, "claim_id")).distinct()
+    claims = proofs.premises.select(*KEY, "claim_id").unionByName(derived.select(*KEY, "claim_id")).distinct()
+    counts = proofs.inputs.groupBy(*KEY, "inference_id").agg(F.count("*").alias("n"))
 
     def errors(df: DataFrame, subject: str, error: Column) -> DataFrame:
         return (df.select(*KEY, F.col(subject).alias("subject"), error.alias("error"))
                 .filter("error IS NOT NULL"))
 
     vocabulary = errors(steps, "inference_id", F.when(~rule_known(F.col("rule")), F.lit("unknown_rule")))
-    arity = errors(known, "inference_id", arity_error(F.col("rule"), F.size("input_claim_ids")))
-    inputs = known.select(*KEY, "inference_id", F.explode("input_claim_ids").alias("claim_id"))
+    arity = errors(known.join(counts, [*KEY, "inference_id"], "left"), "inference_id",
+                   arity_error(F.col("rule"), F.coalesce("n", F.lit(0))))
+    inputs = proofs.inputs.join(known.select(*KEY, "inference_id"), [*KEY, "inference_id"], "left_semi")
     unknown_inputs = errors(inputs.join(claims, [*KEY, "claim_id"], "left_anti"), "inference_id",
                             F.concat(F.lit("unknown_input:"), F.col("claim_id")))
-    outputs = known.select(*KEY, "inference_id", F.col("output_claim_id").alias("claim_id")).join(
+    outputs = known.select(*KEY, "inference_id", F.col("output_id").alias("claim_id")).join(
         derived, [*KEY, "claim_id"], "left")
     output_errors = errors(outputs, "inference_id", F.when(
         F.col("inferred_by").isNull(), F.concat(F.lit("undeclared_output:"), F.col("claim_id")))
@@ -97,15 +155,15 @@ def proof_errors(proofs: DataFrame) -> DataFrame:
                      [*KEY, "inferred_by"], "left_anti"),
         "claim_id", F.concat(F.lit("unknown_inference:"), F.col("inferred_by")))
     conclusions = errors(
-        proofs.select(*KEY, F.col("conclusion_claim_id").alias("claim_id"))
+        proofs.heads.select(*KEY, F.col("conclusion_claim_id").alias("claim_id"))
         .join(claims, [*KEY, "claim_id"], "left_anti"), "claim_id", F.lit("undeclared_conclusion"))
-    types = errors(proofs, "proof_id", F.when(~F.coalesce(F.col("proof_type").rlike(PROOF_TYPE), F.lit(False)),
-                                              F.lit("unexpected_proof_type")))
+    types = errors(proofs.heads, "proof_id", F.when(
+        ~F.coalesce(F.col("proof_type").rlike(PROOF_TYPE), F.lit(False)), F.lit("unexpected_proof_type")))
     return reduce(DataFrame.unionByName, [vocabulary, arity, unknown_inputs, output_errors, orphans,
                                           conclusions, types])
 
 
-def proof_cycles(proofs: DataFrame) -> DataFrame:
+def proof_cycles(proofs: Proofs) -> DataFrame:
     """Claims left after claims that begin or end no cycle are peeled off.
 
     Each round drops edges whose source is fed by nothing and edges whose target
@@ -142,20 +200,20 @@ def reached_claims(edges: DataFrame, starts: DataFrame) -> DataFrame:
         levels.append(frontier)
 
 
-def proof_verdicts(proofs: DataFrame) -> DataFrame:
+def proof_verdicts(proofs: Proofs) -> DataFrame:
     """Per proof: errors, cyclic or not, and whether the conclusion is reached.
 
     Reach is only asked of proofs without any other fault.
     """
     faults = proof_errors(proofs).groupBy(*KEY).agg(F.count("*").alias("error_count"))
     cyclic = proof_cycles(proofs).select(*KEY).distinct().withColumn("cyclic", F.lit(True))
-    heads = stable(proofs.select(*KEY, "conclusion_claim_id")
+    heads = stable(proofs.heads.select(*KEY, "conclusion_claim_id")
                    .join(faults, KEY, "left").join(cyclic, KEY, "left")
                    .withColumn("error_count", F.coalesce("error_count", F.lit(0)))
                    .withColumn("cyclic", F.coalesce("cyclic", F.lit(False))))
     sound = heads.filter((F.col("error_count") == 0) & ~F.col("cyclic")).select(*KEY)
     edges = claim_edges(proofs).join(sound, KEY, "left_semi")
-    reached = reached_claims(edges, premises_of(proofs).join(sound, KEY, "left_semi")).select(
+    reached = reached_claims(edges, proofs.premises.join(sound, KEY, "left_semi")).select(
         *KEY, F.col("claim_id").alias("conclusion_claim_id"), F.lit(True).alias("reached"))
     checked = (F.col("error_count") == 0) & ~F.col("cyclic")
     return (heads.join(reached, [*KEY, "conclusion_claim_id"], "left")
@@ -165,15 +223,15 @@ def proof_verdicts(proofs: DataFrame) -> DataFrame:
             .select(*KEY, "error_count", "cyclic", "conclusion_reached", "ok"))
 
 
-def proof_levels(proofs: DataFrame) -> DataFrame:
+def proof_levels(proofs: Proofs) -> DataFrame:
     """Level of each claim: premises 0, else one above its highest input.
 
     A step waits until all its inputs have a level; claims on cycles never get one.
     """
-    premises = stable(premises_of(proofs).distinct().withColumn("level", F.lit(0)))
-    steps = stable(steps_of(proofs).select(
-        *KEY, "inference_id", F.col("output_claim_id").alias("target"),
-        F.explode(F.array_distinct("input_claim_ids")).alias("claim_id")))
+    premises = stable(proofs.premises.select(*KEY, "claim_id").distinct().withColumn("level", F.lit(0)))
+    steps = stable(proofs.inputs.distinct().join(
+        proofs.steps.select(*KEY, "inference_id", F.col("output_id").alias("target")),
+        [*KEY, "inference_id"]))
     need = stable(steps.groupBy(*KEY, "inference_id", "target").agg(F.count("*").alias("needed")))
     levels, waiting = [premises], need
     while True:

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provlens.operators import aggregates, joins
+from provlens.operators.proofs import Proofs, proofs_citing
 
 KEY = ["archive_id", "hash"]
 
 
 def report_data(evidence: DataFrame, sources: DataFrame, provenance: DataFrame, assessments: DataFrame,
-                log: DataFrame, manifests: DataFrame, witnesses: DataFrame, proofs: DataFrame,
+                log: DataFrame, manifests: DataFrame, witnesses: DataFrame, proofs: Proofs,
                 certificates: DataFrame) -> DataFrame:
     """One row per evidence: record, source, custody, certificate, log entry, cover, proofs.
 
@@ -30,7 +31,7 @@ def report_data(evidence: DataFrame, sources: DataFrame, provenance: DataFrame,
         *KEY, "seq", F.col("timestamp").alias("logged_at"), F.col("actor").alias("logged_by"), "entry_hash")
     cover = joins.coverage(entry.filter("seq IS NOT NULL"), manifests,
                            aggregates.witness_totals(witnesses)).drop("seq")
-    cited = joins.proofs_citing(evidence, proofs).groupBy(*KEY).agg(
+    cited = proofs_citing(evidence, proofs).groupBy(*KEY).agg(
         F.count("*").alias("proof_count"),
         F.sum("weak_inference_count").alias("weak_inference_count"))
     capture = joins.certificate_of(provenance, certificates).select(
@@ -40,7 +41,7 @@ def report_data(evidence: DataFrame, sources: DataFrame, provenance: DataFrame,
 
 
 def trust_timeline(evidence: DataFrame, provenance: DataFrame, log: DataFrame, manifests: DataFrame,
-                   proofs: DataFrame, certificates: DataFrame) -> DataFrame:
+                   proofs: Proofs, certificates: DataFrame) -> DataFrame:
     """Capture, ingest, cover and citing proofs as ordered events; undated ones last.
 
     Cover is one event at the earliest covering manifest, with their number in
@@ -59,6 +60,6 @@ def trust_timeline(evidence: DataFrame, provenance: DataFrame, log: DataFrame, m
         event(entry, "ingest", F.col("timestamp"), F.col("entry_hash"), one),
         event(cover, "manifest", F.col("first_signed_at"), F.col("first_manifest_hash"),
               F.col("covering_manifests")),
-        event(joins.proofs_citing(evidence, proofs), "proof", F.lit(None).cast("string"),
+        event(proofs_citing(evidence, proofs), "proof", F.lit(None).cast("string"),
               F.col("proof_hash"), one)])
     return events.orderBy(*KEY, F.asc_nulls_last("timestamp"), "kind", "event_hash")

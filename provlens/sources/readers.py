@@ -26,7 +26,7 @@ def _archive_id(root: str) -> Column:
     """The path part after ``root``; file paths are percent-encoded URIs."""
     base = root.rstrip("/").split("/")[-1]
     path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "\\+", "%2B"))
-    return F.regexp_extract(path, f"/\\Q{base}\\E/([^/]+)/", 1)
+    return F.regexp_extract(path, f"/\\Q{base}\\E/(?:archive_id=)?([^/]+)/", 1)
 
 
 def scan_rows(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -72,18 +72,19 @@ def scan_blobs(spark: SparkSession, root: str, content: bool = False) -> DataFra
     return out.filter(F.length("hash") == 64)
 
 
-def scan_audit(spark: SparkSession, root: str, strict: bool = True) -> DataFrame:
+def scan_audit(spark: SparkSession, root: str, strict: bool = True, pattern: str = "audit.log") -> DataFrame:
     """Audit entries with their dense line position ``pos``.
 
-    Lines are read in splits, so one log may be as large as it likes; block start
-    and row number inside the split give the file order.
+    Lines are read in splits, so one log may be as large as it likes, or be a folder
+    of part files: file name, block start and row number in the split give the order.
     """
-    lines = (spark.read.text(f"{root}/*/audit.log")
+    lines = (spark.read.text(f"{root}/*/{pattern}")
              .select(_archive_id(root).alias("archive_id"), "value",
+                     F.col("_metadata.file_path").alias("path"),
                      F.col("_metadata.file_block_start").alias("block"),
                      F.monotonically_increasing_id().alias("line"))
              .filter(F.length(F.trim("value")) > 0))
-    placed = sequenced(lines, ["archive_id"], ["block", "line"])
+    placed = sequenced(lines, ["archive_id"], ["path", "block", "line"])
     schema = T.StructType(schemas.AUDIT_ENTRY.fields + [T.StructField("_bad", T.StringType())])
     mode = {"mode": "FAILFAST"} if strict else {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     shape = schemas.AUDIT_ENTRY if strict else schema
@@ -95,8 +96,8 @@ def scan_audit(spark: SparkSession, root: str, strict: bool = True) -> DataFrame
 
 
 def _scan_json(spark: SparkSession, root: str, pattern: str, schema: T.StructType,
-               recursive: bool = False) -> DataFrame:
-    reader = spark.read.option("wholetext", "true")
+               recursive: bool = False, lines: bool = False) -> DataFrame:
+    reader = spark.read.option("wholetext", "false" if lines else "true")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
     full = T.StructType(schema.fields + [T.StructField("_bad", T.StringType())])
@@ -107,10 +108,15 @@ def _scan_json(spark: SparkSession, root: str, pattern: str, schema: T.StructTyp
         F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
 
 
-def scan_artifacts(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """Landed artifacts of a kind; undecodable files are rows with ``decode_error``."""
+def scan_artifacts(spark: SparkSession, root: str, kind: str, pattern: str | None = None,
+                   lines: bool = False) -> DataFrame:
+    """Landed artifacts of a kind; undecodable ones are rows with ``decode_error``.
+
+    With ``lines`` the files hold one artifact per line, as the writers leave them,
+    instead of one artifact per file.
+    """
     schema, own = schemas.ARTIFACTS[kind]
-    raw = _scan_json(spark, root, f"{ARTIFACT_DIRS[kind]}/*.json", schema)
+    raw = _scan_json(spark, root, f"{ARTIFACT_DIRS[kind]}/*.json" if pattern is None else pattern, schema, lines=lines)
     bad = F.col("r").isNull() | F.col("r._bad").isNotNull() | F.col(f"r.{own}").isNull()
     return raw.select("archive_id", "artifact_name", *[F.col(f"r.{f.name}") for f in schema.fields],
                       F.when(bad, F.lit("ValueError")).alias("decode_error"))

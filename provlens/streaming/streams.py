@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from provlens.functions.canonical import entry_hash
+from provlens.operators import chains
+
 
-_LINK = "archive_id string, seq long, reason string"
-_STATE = "expected_seq long, expected_hash string"
+def _folder_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def stream_ingest(blobs: DataFrame, watermark: str = "1 hour") -> DataFrame:
@@ -29,9 +27,7 @@ def upsert_new(path: str):
     def write(batch: DataFrame, _: int) -> None:
         spark: SparkSession = batch.sparkSession
         fresh = batch.dropDuplicates(["archive_id", "hash"])
-        jvm = spark._jvm.org.apache.hadoop.fs
-        target = jvm.Path(path)
-        if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        if _folder_exists(spark, path):
             held = spark.read.parquet(path).select("archive_id", "hash")
             fresh = fresh.join(held, ["archive_id", "hash"], "left_anti")
         fresh.write.mode("append").partitionBy("archive_id").parquet(path)
@@ -39,33 +35,35 @@ def upsert_new(path: str):
     return write
 
 
-def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    expected_seq, expected_hash = state.get if state.exists else (0, "0" * 64)
-    found = []
-    rows = [r for pdf in batches for r in pdf.itertuples(index=False)]
-    for r in sorted(rows, key=lambda r: r.pos):
-        if r.seq != expected_seq:
-            found.append((key[0], r.seq, "seq"))
-        elif r.prev_hash != expected_hash:
-            found.append((key[0], r.seq, "link"))
-        elif not r.hash_ok:
-            found.append((key[0], r.seq, "hash"))
-        expected_seq, expected_hash = int(r.seq) + 1, r.entry_hash
-    state.update((expected_seq, expected_hash))
-    yield pd.DataFrame(found, columns=["archive_id", "seq", "reason"])
-
-
-def stream_verify_chain(log: DataFrame) -> DataFrame:
-    """Broken entries of growing logs, keeping the last ``(seq, hash)`` per archive.
-
-    Digests are recomputed natively beforehand; only the link needs state. A
-    micro-batch holds what one trigger admits, so set ``maxFilesPerTrigger`` (or the
-    source's own limit) to bound the rows of a single log per batch.
+def follow_chain(state_path: str, failures_path: str):
+    """A ``foreachBatch`` body that checks growing logs across micro-batches.
+
+    Inside a batch entries are linked by position like a table. What crosses
+    batches is one row per archive, the last ``(seq, entry_hash)``, kept per batch
+    id, so a repeated batch starts from the same state. Batches must bring the
+    entries of a log in order and without holes in ``pos``.
     """
-    checked = log.select("archive_id", "pos", "seq", "prev_hash", "entry_hash",
-                         (entry_hash(log) == F.col("entry_hash")).alias("hash_ok"))
-    return checked.groupBy("archive_id").applyInPandasWithState(
-        _follow, _LINK, _STATE, "append", GroupStateTimeout.NoTimeout)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark: SparkSession = batch.sparkSession
+        links = chains.chain_links(batch)
+        firsts = batch.groupBy("archive_id").agg(F.min("pos").alias("first_pos"))
+        heads = batch.groupBy("archive_id").agg(
+            F.max_by("seq", "pos").alias("last_seq"), F.max_by("entry_hash", "pos").alias("last_hash"))
+        before = f"{state_path}/batch={batch_id - 1}"
+        if batch_id and _folder_exists(spark, before):
+            known = spark.read.parquet(before)
+            links = (links.join(firsts.join(known, "archive_id"), "archive_id", "left")
+                     .withColumn("expected_seq", F.when(F.col("pos") == F.col("first_pos"), F.col("last_seq") + 1)
+                                 .otherwise(F.col("expected_seq")))
+                     .withColumn("expected_prev_hash",
+                                 F.when(F.col("pos") == F.col("first_pos"), F.col("last_hash"))
+                                 .otherwise(F.col("expected_prev_hash"))))
+            heads = heads.unionByName(known.join(heads, "archive_id", "left_anti"))
+        failed = links.select("archive_id", "pos", "seq", chains.link_failures().alias("reason"))
+        failed.filter("reason IS NOT NULL").write.mode("overwrite").parquet(f"{failures_path}/batch={batch_id}")
+        heads.write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+
+    return write
 
 
 def stream_action_counts(log: DataFrame, window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
