@@ -8,8 +8,6 @@ JSON text whose shape is not known beforehand.
 from __future__ import annotations
 
 import json
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +15,12 @@ from pyspark.sql import types as T
 
 from provlens import schemas
 
-_COMMON = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
-_ESCAPES = {**{chr(c): f"\\u{c:04x}" for c in range(0x20)}, **_COMMON}
-_ANY_SPECIAL = r'[\x00-\x1f"\\]'
-_RARE_SPECIAL = r"[\x00-\x07\x0b\x0e-\x1f]"
+# Spark writes nine control characters with capital hex digits; canonical text has
+# small ones. Strings that hold one of them are escaped character by character.
+_ESCAPES = {**{chr(c): f"\\u{c:04x}" for c in range(0x20)}, "\\": "\\\\", '"': '\\"',
+            "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+_SPECIAL = r'[\x00-\x1f"\\]'
+_CAPITALISED = r"[\x0b\x0e\x0f\x1a-\x1f]"
 
 
 def sha256_hex(col: Column) -> Column:
@@ -29,14 +29,12 @@ def sha256_hex(col: Column) -> Column:
 
 def json_text(col: Column) -> Column:
     """A JSON string literal; most values need no escape and take the first branch."""
-    common = reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), _COMMON.items(), col)
-    table = F.create_map(*[F.lit(x) for pair in _ESCAPES.items() for x in pair])
-    rare = F.array_join(
-        F.transform(F.split(col, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch)), "")
-    body = (F.when(~col.rlike(_ANY_SPECIAL), col)
-            .when(~col.rlike(_RARE_SPECIAL), common)
-            .otherwise(rare))
-    return F.concat(F.lit('"'), body, F.lit('"'))
+    written = F.to_json(F.struct(col.alias("v")))
+    table = F.from_json(F.lit(json.dumps(_ESCAPES)), "map<string,string>")
+    each = F.transform(F.split(col, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch))
+    return (F.when(~col.rlike(_SPECIAL), F.concat(F.lit('"'), col, F.lit('"')))
+            .when(~col.rlike(_CAPITALISED), F.substring(written, F.lit(6), F.length(written) - 6))
+            .otherwise(F.concat(F.lit('"'), F.array_join(each, ""), F.lit('"'))))
 
 
 def _utf16(name: str) -> bytes:

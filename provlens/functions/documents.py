@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provlens.functions.ordered import document_digest
-
-Value = "Column | DataFrame | dict"
+from provlens.session import stable
 
 
 def items(df: DataFrame, keys: list[str], ord: Column, text: Column) -> DataFrame:
@@ -35,28 +34,38 @@ def _segments(record: dict) -> list:
     return out + [F.lit("}")]
 
 
-def record_digest(headers: DataFrame, keys: list[str], record: dict, name: str) -> DataFrame:
-    """``headers`` plus the digest of each key's record in column ``name``."""
-    fragments: list[DataFrame] = []
+def segments_digest(headers: DataFrame, keys: list[str], segments: list, name: str) -> DataFrame:
+    """``headers`` plus the digest of text (Columns) and lists (DataFrames) put end to end.
+
+    Headers are written out first: they give the fixed text of every section in one
+    pass and are joined with the digests afterwards.
+    """
+    headers = stable(headers)
+    lists: list[DataFrame] = []
+    fixed: list[Column] = []
     part, texts = 0, []
 
     def flush() -> None:
         nonlocal part, texts
         if texts:
-            fragments.append(headers.select(
-                *keys, F.lit(part).cast("long").alias("part"), F.lit("").alias("ord"),
-                F.lit(False).alias("item"), F.concat(*texts).alias("text")))
+            fixed.append(F.struct(F.lit(part).cast("long").alias("part"), F.concat(*texts).alias("text")))
             part, texts = part + 1, []
 
-    for segment in _segments(record):
+    for segment in segments:
         if isinstance(segment, DataFrame):
             flush()
-            fragments.append(segment.select(
-                *keys, F.lit(part).cast("long").alias("part"), "ord",
-                F.lit(True).alias("item"), "text"))
+            lists.append(segment.select(*keys, F.lit(part).cast("long").alias("part"), "ord",
+                                        F.lit(True).alias("item"), "text"))
             part += 1
         else:
             texts.append(segment)
     flush()
-    digests = document_digest(reduce(DataFrame.unionByName, fragments), keys)
+    scaffold = headers.select(*keys, F.explode(F.array(*fixed)).alias("f")).select(
+        *keys, "f.part", F.lit("").alias("ord"), F.lit(False).alias("item"), "f.text")
+    digests = document_digest(reduce(DataFrame.unionByName, lists, scaffold), keys)
     return headers.join(digests.withColumnRenamed("digest", name), keys)
+
+
+def record_digest(headers: DataFrame, keys: list[str], record: dict, name: str) -> DataFrame:
+    """``headers`` plus the digest of each key's record in column ``name``."""
+    return segments_digest(headers, keys, _segments(record), name)

@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 
 from provlens import schemas
 from provlens.functions import canonical as canon
+from provlens.functions.documents import items, segments_digest
 from provlens.functions.ordered import document_digest
+from provlens.session import stable
 
 
 # --- manifests -----------------------------------------------------------------------------
 
 
+def _pick(values: dict, key):
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
+
+
 def _schema_hash(table):
     return F.sha2(F.concat(F.lit("schema:"), table), 256)
 
@@ -32,14 +38,8 @@ def table_counts(rows: DataFrame, archives: DataFrame) -> DataFrame:
             .withColumn("schema_hash", _schema_hash(F.col("table"))))
 
 
-def _scaffold(df: DataFrame, keys: list[str], part, text) -> DataFrame:
-    return df.select(*keys, part.cast("long").alias("part"), F.lit("").alias("ord"),
-                     F.lit(False).alias("item"), text.alias("text"))
-
-
-def hash_items(rows: DataFrame, keys: list[str], part, hash_col: str) -> DataFrame:
-    return rows.select(*keys, part.cast("long").alias("part"), F.col(hash_col).alias("ord"),
-                       F.lit(True).alias("item"), canon.json_text(F.col(hash_col)).alias("text"))
+def _hashes(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    return items(rows, keys, F.col(name), canon.json_text(F.col(name)))
 
 
 def table_manifest(rows: DataFrame, archives: DataFrame) -> DataFrame:
@@ -48,23 +48,16 @@ def table_manifest(rows: DataFrame, archives: DataFrame) -> DataFrame:
     ``rows`` has ``archive_id, table, row_hash`` and is itself the long form of the
     list; two lists are equal exactly when their digests are.
     """
-    counts = table_counts(rows, archives)
     keys = ["archive_id", "table"]
-    fragments = reduce(DataFrame.unionByName, [
-        _scaffold(counts, keys, F.lit(0), F.lit("[")),
-        hash_items(rows, keys, F.lit(1), "row_hash"),
-        _scaffold(counts, keys, F.lit(2), F.lit("]"))])
-    digests = document_digest(fragments, keys).withColumnRenamed("digest", "partition_digest")
-    return counts.join(digests, keys)
+    return segments_digest(table_counts(rows, archives), keys,
+                           [F.lit("["), _hashes(rows, keys, "row_hash"), F.lit("]")], "partition_digest")
 
 
 def blobs_root(blobs: DataFrame, archives: DataFrame) -> DataFrame:
     """Digest of the sorted list of blob hashes of each archive."""
-    fragments = reduce(DataFrame.unionByName, [
-        _scaffold(archives, ["archive_id"], F.lit(0), F.lit("[")),
-        hash_items(blobs, ["archive_id"], F.lit(1), "hash"),
-        _scaffold(archives, ["archive_id"], F.lit(2), F.lit("]"))])
-    return document_digest(fragments, ["archive_id"]).withColumnRenamed("digest", "blobs_root")
+    keys = ["archive_id"]
+    return segments_digest(archives.select(*keys), keys,
+                           [F.lit("["), _hashes(blobs, keys, "hash"), F.lit("]")], "blobs_root")
 
 
 def archive_manifest(rows: DataFrame, blobs: DataFrame, archives: DataFrame,
@@ -77,30 +70,29 @@ def archive_manifest(rows: DataFrame, blobs: DataFrame, archives: DataFrame,
     if "notes" not in archives.columns:
         archives = archives.withColumn("notes", F.lit(None).cast("string"))
     names = sorted(schemas.TABLES)
-    at = {t: i for i, t in enumerate(names)}
-    counts = table_counts(rows, archives)
-    header = (archives.join(blobs_root(blobs, archives), "archive_id")
-              .withColumn("schema_version", F.lit(schema_version))
-              .withColumn("software_version", F.lit(software_version)))
+    header = stable(archives.join(blobs_root(blobs, archives), "archive_id")
+                    .withColumn("schema_version", F.lit(schema_version))
+                    .withColumn("software_version", F.lit(software_version)))
     fields = ["blobs_root", "generated_at", "notes", "schema_version", "software_version"]
     head = canon.canonical_struct({n: (F.col(n), header.schema[n].dataType) for n in fields})
     opening = F.concat(F.substring(head, F.lit(1), F.length(head) - 1),
                        F.lit(f',"tables":{{"{names[0]}":{{"partition_hashes":['))
-    nxt = F.element_at(F.create_map(*[F.lit(x) for a, b in zip(names, names[1:]) for x in (a, b)]),
-                       F.col("table"))
-    closing = F.concat(
-        F.lit('],"row_count":'), F.col("row_count").cast("string"),
-        F.lit(',"schema_hash":"'), F.col("schema_hash"), F.lit('"}'),
-        F.when(nxt.isNull(), F.lit("}}"))
-        .otherwise(F.concat(F.lit(',"'), nxt, F.lit('":{"partition_hashes":['))))
-    order = F.element_at(F.create_map(*[F.lit(x) for t, i in at.items() for x in (t, i)]), F.col("table"))
-    keys = ["archive_id"]
-    fragments = reduce(DataFrame.unionByName, [
-        _scaffold(header, keys, F.lit(0), opening),
-        hash_items(rows, keys, order * 2 + 1, "row_hash"),
-        _scaffold(counts, keys, order * 2 + 2, closing)])
-    hashes = document_digest(fragments, keys).withColumnRenamed("digest", "manifest_hash")
-    return header.join(hashes, keys)
+    # What follows the list of a table: its counts, then the start of the next table.
+    follow = {a: f'}},"{b}":{{"partition_hashes":[' for a, b in zip(names, names[1:])} | {names[-1]: "}}}"}
+    closing = F.concat(F.lit('],"row_count":'), F.col("row_count").cast("string"),
+                       F.lit(',"schema_hash":"'), F.col("schema_hash"), F.lit('"'),
+                       _pick(follow, F.col("table")))
+    at = 2 * _pick({t: i for i, t in enumerate(names)}, F.col("table")).cast("long")
+
+    def text(df: DataFrame, part, ord, item: bool, body) -> DataFrame:
+        return df.select("archive_id", part.alias("part"), ord.alias("ord"), F.lit(item).alias("item"),
+                         body.alias("text"))
+
+    fragments = (text(header, F.lit(0).cast("long"), F.lit(""), False, opening)
+                 .unionByName(text(rows, at + 1, F.col("row_hash"), True, canon.json_text(F.col("row_hash"))))
+                 .unionByName(text(table_counts(rows, archives), at + 2, F.lit(""), False, closing)))
+    hashes = document_digest(fragments, ["archive_id"]).withColumnRenamed("digest", "manifest_hash")
+    return header.join(hashes, "archive_id")
 
 
 # --- counts and facets ---------------------------------------------------------------------

@@ -290,7 +290,8 @@ def _(w):
 @query("join_4_assess", """SELECT archive_id, assessment_id, evidence_id, created_at, 'provenance_review' AS method,
  status, rationale, coalesce(supporting, '') AS supporting FROM asm""")
 def _(w):
-    return w.assessments.select("archive_id", "assessment_id", "evidence_id", text("created_at").alias("created_at"),
+    made = joins.assess(w.evidence, w.sources, w.provenance, F.col("ingested_at") + F.expr("INTERVAL 1 HOUR"))
+    return made.select("archive_id", "assessment_id", "evidence_id", text("created_at").alias("created_at"),
                                 "method", "status", "rationale",
                                 F.array_join("supporting_source_ids", ",").alias("supporting"))
 
@@ -690,7 +691,8 @@ def _(w):
 
 @query("win_6_append_chain", "SELECT archive_id, pos, seq, prev_hash, entry_hash FROM elog")
 def _(w):
-    return w.event_log.select("archive_id", "pos", "seq", "prev_hash", "entry_hash")
+    return chains.append_chain(None, w.events.drop("value"), ["ts", "event_id"]).select(
+        "archive_id", "pos", "seq", "prev_hash", "entry_hash")
 
 
 @query("win_7_rank_events", """SELECT archive_id, event_type AS kind, event_id, row_number() OVER
@@ -1024,7 +1026,7 @@ def _(w):
 
 @query("gr_1_build_graph", "SELECT archive_id, kind, src_kind, src_id, dst_kind, dst_id FROM edges")
 def _(w):
-    return w.graph[1]
+    return graph.build_graph(w.evidence, w.sources, w.assessments)[1]
 
 
 @query("gr_2_graph_integrity", """SELECT 'dangling_dst' AS issue, e.archive_id, e.kind, src_kind, src_id, dst_kind, dst_id
@@ -1139,13 +1141,16 @@ def _(w):
 
 @query("gr_10_build_workspace", """SELECT archive_id, workspace_id, title, reference_count, workspace_hash FROM ws""")
 def _(w):
-    return w.workspaces[0].select("archive_id", "workspace_id", "title", "reference_count", "workspace_hash")
+    return artifacts.build_workspace(*w.workspace_inputs)[0].select("archive_id", "workspace_id", "title", "reference_count", "workspace_hash")
 
 
 @query("gr_11_build_timeline", """SELECT archive_id, timeline_id, workspace_hash, event_count, first_timestamp,
  last_timestamp, timeline_hash FROM tl""")
 def _(w):
-    return w.timelines[0].select("archive_id", "timeline_id", "workspace_hash", "event_count", "first_timestamp",
+    heads, refs = w.workspaces
+    named = heads.withColumn("timeline_id", F.concat("workspace_id", F.lit(".t")))
+    made = artifacts.build_timeline(named, refs, w.evidence, w.assessments)[0]
+    return made.select("archive_id", "timeline_id", "workspace_hash", "event_count", "first_timestamp",
                                  "last_timestamp", "timeline_hash")
 
 
@@ -1161,7 +1166,8 @@ def _(w):
 @query("gr_13_build_justification", """SELECT archive_id, assessment_id AS justification_id, justification_hash
  FROM just""")
 def _(w):
-    return w.justifications.select("archive_id", "justification_id", "justification_hash")
+    made = artifacts.build_justification(w.assessments, w.evidence, w.provenance, w.current_manifests)
+    return made.select("archive_id", "justification_id", "justification_hash")
 
 
 @query("gr_14_archive_snapshot", f"""SELECT archive_id, head AS audit_log_head_hash, total AS audit_log_total_entries,

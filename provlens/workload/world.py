@@ -19,6 +19,7 @@ from provlens.functions.canonical import canonical_struct
 from provlens.functions.ordered import running, sequenced
 from provlens.operators import artifacts, chains, graph, joins
 from provlens.operators.proofs import Proofs
+from provlens.session import landed
 
 START = 1704067200  # 2024-01-01T00:00:00Z
 UNREGISTERED = ["src7", "src19"]
@@ -28,6 +29,24 @@ def sha(*parts: str | Column) -> Column:
     return F.sha2(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]), 256)
 
 
+_TABLES: dict[tuple[str, str, str], object] = {}
+
+
+def kept(fn):
+    """A property written once per session and folder, as the archives' own tables would be."""
+    name = fn.__name__
+
+    def get(self):
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _TABLES:
+            made = fn(self)
+            _TABLES[key] = type(made)(*map(landed, made)) if isinstance(made, Proofs) else (
+                tuple(map(landed, made)) if isinstance(made, tuple) else landed(made))
+        return _TABLES[key]
+
+    return property(get)
+
+
 class World:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -48,7 +67,7 @@ class World:
             "n_chars", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), suffix).alias("path"),
             F.timestamp_seconds(F.lit(START) + F.col("doc_id") * 60).alias("ingested_at"))
 
-    @cached_property
+    @kept
     def evidence(self) -> DataFrame:
         first = chains.dedupe_first(self.documents, ["archive_id", "hash"], ["doc_id"])
         kind = ids.infer_kind(F.col("path"), F.lit(None).cast("string"))
@@ -60,11 +79,11 @@ class World:
             F.lit("active").alias("status"), F.lit(schemas.SCHEMA_VERSION).alias("schema_version"),
             F.lit(None).cast("string").alias("notes"))
 
-    @cached_property
+    @kept
     def labelled(self) -> DataFrame:
         return self.evidence.join(self.table("labels"), "doc_id", "left")
 
-    @cached_property
+    @kept
     def sources(self) -> DataFrame:
         return (self.documents.select("archive_id", F.col("source_id").alias("id")).distinct()
                 .filter(~F.col("id").isin(UNREGISTERED))
@@ -73,7 +92,7 @@ class World:
                         F.lit("primary").alias("authority"), F.upper("archive_id").alias("jurisdiction"),
                         F.lit(None).cast("string").alias("license")))
 
-    @cached_property
+    @kept
     def certificates(self) -> DataFrame:
         """One per evidence of good quality; those of toxic ones were edited later."""
         base = self.labelled.filter("quality = 1").select(
@@ -89,7 +108,7 @@ class World:
         hashed = base.withColumn("certificate_hash", canon.self_hash(base, "certificate"))
         return hashed.withColumn("notes", F.when(F.col("edited"), F.lit("edited"))).drop("edited")
 
-    @cached_property
+    @kept
     def provenance(self) -> DataFrame:
         """Absent for short texts; toxic ones name an unknown origin; steps follow quality."""
         step = lambda n, kind, params: F.struct(
@@ -112,7 +131,7 @@ class World:
             F.array(F.struct(F.lit("no record before ingest").alias("description"))).alias("gaps"),
             F.col("ingested_by").alias("attestor"), F.col("ingested_at").alias("attested_at")))
 
-    @cached_property
+    @kept
     def assessments(self) -> DataFrame:
         return joins.assess(self.evidence, self.sources, self.provenance,
                             F.col("ingested_at") + F.expr("INTERVAL 1 HOUR"))
@@ -124,7 +143,7 @@ class World:
 
     # --- logs ------------------------------------------------------------------------------
 
-    @cached_property
+    @kept
     def ingest_log(self) -> DataFrame:
         """Ingest entries per archive in document order; hashes here are stand-ins."""
         certs = self.certificates.select("archive_id", F.col("evidence_sha256").alias("hash"), "certificate_hash")
@@ -155,12 +174,12 @@ class World:
             F.create_map(F.lit("cents"), cents).alias("parameters"), F.lit("success").alias("result"),
             F.lit(schemas.SCHEMA_VERSION).alias("schema_version"))
 
-    @cached_property
+    @kept
     def event_log(self) -> DataFrame:
         """Chained log per user."""
         return chains.append_chain(None, self.events.drop("value"), ["ts", "event_id"])
 
-    @cached_property
+    @kept
     def tampered_log(self) -> DataFrame:
         """Large amounts changed after the fact, tiny ones deleted."""
         cents = F.element_at("parameters", "cents").cast("long")
@@ -172,7 +191,7 @@ class World:
 
     # --- transparency ----------------------------------------------------------------------
 
-    @cached_property
+    @kept
     def _hours(self) -> DataFrame:
         """Hours with ingests per archive and the entries up to their end."""
         counts = self.evidence.groupBy(
@@ -202,7 +221,7 @@ class World:
             F.lit("ed25519").alias("signature_algorithm"), sha("m:", name).alias("manifest_hash"),
             F.lit("1").alias("schema_version"))
 
-    @cached_property
+    @kept
     def chained_manifests(self) -> DataFrame:
         """The same log with real hashes and links; Spanish ones were re-signed later."""
         names = [f.name for f in schemas.TRANSPARENCY.fields
@@ -223,7 +242,7 @@ class World:
         changed = (F.col("archive_id") == "es") & (F.col("sequence") > 3)
         return out.withColumn("signature", F.when(changed, F.reverse("signature")).otherwise(F.col("signature")))
 
-    @cached_property
+    @kept
     def witnesses(self) -> DataFrame:
         """Each source with an ingest in the hour is a witness; two of them err."""
         hours = self._hours.select("archive_id", "hour", "sequence")
@@ -259,7 +278,7 @@ class World:
     def current_manifests(self) -> DataFrame:
         return self.archives.select("archive_id", sha("am:", F.col("archive_id")).alias("manifest_hash"))
 
-    @cached_property
+    @kept
     def workspace_inputs(self) -> tuple[DataFrame, DataFrame]:
         """One workspace per archive and source over its evidence and assessments."""
         name = F.concat("archive_id", F.lit("."), "source_id")
@@ -278,17 +297,17 @@ class World:
                                sha("am:", F.col("archive_id")).alias("source_manifest_hash"))
         return headers, ev.unionByName(asm).unionByName(opaque)
 
-    @cached_property
+    @kept
     def workspaces(self) -> tuple[DataFrame, DataFrame]:
         return artifacts.build_workspace(*self.workspace_inputs)
 
-    @cached_property
+    @kept
     def timelines(self) -> tuple[DataFrame, DataFrame]:
         heads, refs = self.workspaces
         named = heads.withColumn("timeline_id", F.concat("workspace_id", F.lit(".t")))
         return artifacts.build_timeline(named, refs, self.evidence, self.assessments)
 
-    @cached_property
+    @kept
     def justifications(self) -> DataFrame:
         return artifacts.build_justification(self.assessments, self.evidence, self.provenance,
                                              self.current_manifests)
@@ -316,7 +335,7 @@ class World:
         return df.select("archive_id", F.lit(table).alias("table"), F.col(row_id).alias("row_id"),
                          text.alias("payload")).withColumn("row_hash", F.sha2("payload", 256))
 
-    @cached_property
+    @kept
     def rows(self) -> DataFrame:
         """All five tables in stored form."""
         steps = self.provenance.select("archive_id", "evidence_hash", F.explode("steps").alias("s")).select(
@@ -330,11 +349,11 @@ class World:
 
     # --- graphs ----------------------------------------------------------------------------
 
-    @cached_property
+    @kept
     def graph(self) -> tuple[DataFrame, DataFrame]:
         return graph.build_graph(self.evidence, self.sources, self.assessments)
 
-    @cached_property
+    @kept
     def trade_graph(self) -> tuple[DataFrame, DataFrame]:
         """Line to order to customer to nation to region, four levels deep."""
         line = F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
@@ -355,7 +374,7 @@ class World:
 
     # --- proofs ----------------------------------------------------------------------------
 
-    @cached_property
+    @kept
     def proofs(self) -> Proofs:
         """One proof per conversation: turn 0 is the premise, each later turn a claim.
 
@@ -393,7 +412,7 @@ class World:
             reduce(DataFrame.unionByName, [before, second, loop]),
             later.select(*key, claim(F.col("turn")).alias("claim_id"), name.alias("inferred_by")))
 
-    @cached_property
+    @kept
     def case_proofs(self) -> Proofs:
         """One proof per workspace: labelled evidence backs one premise, all of it another."""
         key = ["archive_id", "proof_id"]
