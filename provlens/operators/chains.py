@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -16,7 +17,7 @@ from provlens.session import stable
 
 # Entries per window group; one log spreads over many groups.
 SPAN = 1 << 16
-ROUND_ROWS = 200_000
+ROUND_ROWS = 2_000_000
 
 
 def chain_links(log: DataFrame) -> DataFrame:
@@ -130,14 +131,19 @@ def _fold_schema() -> str:
     return "archive_id string, position long, prev_hash string, entry_hash string"
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("position")
-    before, out = pdf["start_hash"].iloc[0], []
-    for key, position, left, right in zip(pdf["archive_id"], pdf["position"], pdf["left"], pdf["right"]):
-        digest = hashlib.sha256((left + before + right).encode("utf-8")).hexdigest()
-        out.append((key, position, before, digest))
-        before = digest
-    return pd.DataFrame(out, columns=["archive_id", "position", "prev_hash", "entry_hash"])
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Link rows that come in order of archive and position; one digest of state."""
+    archive, before = None, ""
+    for pdf in batches:
+        out = []
+        for key, position, left, right, start in zip(
+                pdf["archive_id"], pdf["position"], pdf["left"], pdf["right"], pdf["start_hash"]):
+            if key != archive:
+                archive, before = key, start
+            digest = hashlib.sha256((left + before + right).encode("utf-8")).hexdigest()
+            out.append((key, position, before, digest))
+            before = digest
+        yield pd.DataFrame(out, columns=["archive_id", "position", "prev_hash", "entry_hash"])
 
 
 def fold_chain(texts: DataFrame, heads: DataFrame | None = None, round_rows: int = ROUND_ROWS) -> DataFrame:
@@ -145,8 +151,9 @@ def fold_chain(texts: DataFrame, heads: DataFrame | None = None, round_rows: int
 
     ``texts`` has ``archive_id``, dense ``position`` and the canonical text around
     the previous hash (``left``, ``right``), made in parallel beforehand. A chain
-    is sequential, so what is left per entry is one digest; a long chain advances
-    ``round_rows`` entries per round and each round is written before the next.
+    is sequential, so what is left per entry is one digest, fed row by row. A long
+    chain advances ``round_rows`` entries per round and each round is written before
+    the next, so losing an executor costs at most one round.
     """
     spark = texts.sparkSession
     texts = stable(texts.select("archive_id", "position", "left", "right"))
@@ -156,8 +163,8 @@ def fold_chain(texts: DataFrame, heads: DataFrame | None = None, round_rows: int
     done: list[DataFrame] = []
     for start in range(0, (last if last is not None else -1) + 1, round_rows):
         part = texts.filter((F.col("position") >= start) & (F.col("position") < start + round_rows))
-        linked = stable(part.join(heads, "archive_id").groupBy("archive_id")
-                        .applyInPandas(_fold, _fold_schema()))
+        linked = stable(part.join(heads, "archive_id").repartition("archive_id")
+                        .sortWithinPartitions("archive_id", "position").mapInPandas(_fold, _fold_schema()))
         done.append(linked)
         heads = linked.groupBy("archive_id").agg(F.max_by("entry_hash", "position").alias("start_hash"))
     return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], _fold_schema())

@@ -71,27 +71,29 @@ def _reach(edges: DataFrame, roots: DataFrame, incoming: bool) -> DataFrame:
     which keeps plans short and survives lost executors.
     """
     near, far = ("dst", "src") if incoming else ("src", "dst")
-    steps = stable(edges.select(
-        "archive_id", F.col(f"{near}_kind").alias("node_kind"), F.col(f"{near}_id").alias("node_id"),
-        F.col(f"{far}_kind").alias("to_kind"), F.col(f"{far}_id").alias("to_id")).distinct())
-    root = ["archive_id", "root_kind", "root_id"]
-    pair = [*root, "node_kind", "node_id"]
-    frontier = stable(roots.select(
-        "archive_id", F.col("kind").alias("root_kind"), F.col("id").alias("root_id"),
-        F.col("kind").alias("node_kind"), F.col("id").alias("node_id"),
-        F.lit(0).alias("distance")).distinct())
+    # A node travels as one string, so rows are narrow to shuffle, sort and compare.
+    name = lambda side: F.concat_ws("\x00", f"{side}kind", f"{side}id")
+    steps = stable(edges.select("archive_id", name(f"{near}_").alias("node"), name(f"{far}_").alias("to")).distinct())
+    pair = ["archive_id", "root", "node"]
+    frontier = stable(roots.select("archive_id", name("").alias("root"), name("").alias("node"),
+                                   F.lit(0).alias("distance")).distinct())
     levels = [frontier]
     while True:
         seen = reduce(DataFrame.unionByName, [lv.select(*pair) for lv in levels])
-        found = (frontier.join(steps, ["archive_id", "node_kind", "node_id"])
-                 .select(*root, F.col("to_kind").alias("node_kind"), F.col("to_id").alias("node_id"))
-                 .distinct().join(seen, pair, "left_anti")
-                 .withColumn("distance", F.lit(len(levels))))
+        found = (frontier.join(steps, ["archive_id", "node"])
+                 .select("archive_id", "root", F.col("to").alias("node")).distinct()
+                 .join(seen, pair, "left_anti").withColumn("distance", F.lit(len(levels))))
         frontier = stable(found)
         if frontier.isEmpty():
             break
         levels.append(frontier)
-    return reduce(DataFrame.unionByName, levels).filter(F.col("distance") > 0)
+
+    def part(column: str, i: int) -> Column:
+        return F.split_part(F.col(column), F.lit("\x00"), F.lit(i))
+
+    return reduce(DataFrame.unionByName, levels).filter(F.col("distance") > 0).select(
+        "archive_id", part("root", 1).alias("root_kind"), part("root", 2).alias("root_id"),
+        part("node", 1).alias("node_kind"), part("node", 2).alias("node_id"), "distance")
 
 
 def dependency_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:

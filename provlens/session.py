@@ -21,6 +21,8 @@ def get_session(app: str = "provlens", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # Hash instead of sort-merge joins where every partition measured small enough.
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
         "spark.sql.parquet.compression.codec": "zstd",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }

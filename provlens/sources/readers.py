@@ -97,11 +97,11 @@ def scan_audit(spark: SparkSession, root: str, strict: bool = True, pattern: str
 
 def _scan_json(spark: SparkSession, root: str, pattern: str, schema: T.StructType,
                recursive: bool = False, lines: bool = False) -> DataFrame:
-    reader = spark.read.option("wholetext", "false" if lines else "true")
+    reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
     full = T.StructType(schema.fields + [T.StructField("_bad", T.StringType())])
-    return reader.text(f"{root}/*/{pattern}").select(
+    return reader.text(f"{root}/*/{pattern}", wholetext=not lines).select(
         _archive_id(root).alias("archive_id"), F.col("_metadata.file_path").alias("path"),
         F.regexp_extract("_metadata.file_path", "([^/]+)\\.json$", 1).alias("artifact_name"),
         F.col("value").alias("text"),
