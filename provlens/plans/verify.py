@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provlens import schemas
 from provlens.functions import canonical as canon
@@ -176,38 +177,41 @@ def header_issues(headers: DataFrame, manifests: DataFrame) -> DataFrame:
 
 def reference_issues(references: DataFrame, evidence: DataFrame, sources: DataFrame,
                      assessments: DataFrame, provenance: DataFrame) -> DataFrame:
-    """References without a row; custody steps are looked up by evidence only."""
-    def missing(roles: list[str], rows: DataFrame, name: str, at: DataFrame | None = None) -> DataFrame:
-        wanted = (references if at is None else at).filter(F.col("role").isin(roles))
-        return wanted.join(rows.select("archive_id", F.col(name).alias("identifier")),
-                           ["archive_id", "identifier"], "left_anti")
-
-    def told(df: DataFrame, noun: str) -> Column:
-        name = _quoted("identifier")
-        return (F.when(F.col("role") == "conclusion_anchor",
-                       F.concat(F.lit("conclusion_anchor_id "), name, F.lit(" not found")))
-                .when(F.col("artifact_kind") == "timeline", F.concat(F.lit(f"event references {noun} "), name))
-                .when(F.col("artifact_kind") == "justification",
-                      F.concat(F.lit(f"chain entry references {noun} "), name))
-                .otherwise(F.concat(F.lit(f"{noun} "), name, F.lit(" not found"))))
-
-    ev = missing(["evidence"], evidence, "hash")
-    asm = missing(["assessment", "conclusion_anchor"], assessments, "assessment_id")
-    src = missing(["source"], sources, "id", references.filter(F.col("artifact_kind") == "justification"))
-    steps = references.filter(F.col("role") == "provenance_step")
-    malformed = steps.filter(~F.contains("identifier", F.lit("__step")))
-    formed = steps.filter(F.contains("identifier", F.lit("__step"))).withColumn(
-        "evidence_hash", F.substring_index("identifier", "__step", 1))
-    loose = formed.join(provenance.select("archive_id", "evidence_hash"), ["archive_id", "evidence_hash"],
-                        "left_anti")
-    return reduce(DataFrame.unionByName, [
-        _issue(ev, "evidence_reference_dangling", told(ev, "evidence")),
-        _issue(asm, "assessment_reference_dangling", told(asm, "assessment")),
-        _issue(src, "source_reference_dangling", told(src, "source")),
-        _issue(malformed, "provenance_step_dangling",
-               F.concat(F.lit("provenance_step identifier malformed: "), _quoted("identifier"))),
-        _issue(loose, "provenance_step_dangling",
-               F.concat(F.lit("provenance row for "), _short("evidence_hash"), F.lit(" not found")))])
+    """References without a row; custody steps are looked up by evidence only.
+
+    All ids go into one keyed frame, so the references are shuffled once and met by
+    a single anti join, whatever their role.
+    """
+    role, name = F.col("role"), F.col("identifier")
+    step = role == "provenance_step"
+    formed = F.contains(name, F.lit("__step"))
+    noun = (F.when(role == "evidence", F.lit("evidence"))
+            .when(role.isin("assessment", "conclusion_anchor"), F.lit("assessment"))
+            .when((role == "source") & (F.col("artifact_kind") == "justification"), F.lit("source"))
+            .when(step & formed, F.lit("provenance")))
+    wanted = references.withColumn("noun", noun).withColumn(
+        "wanted_id", F.when(step, F.substring_index(name, "__step", 1)).otherwise(name))
+
+    def known(df: DataFrame, label: str, column: str) -> DataFrame:
+        return df.select("archive_id", F.lit(label).alias("noun"), F.col(column).alias("wanted_id"))
+
+    rows = reduce(DataFrame.unionByName, [
+        known(evidence, "evidence", "hash"), known(sources, "source", "id"),
+        known(assessments, "assessment", "assessment_id"), known(provenance, "provenance", "evidence_hash")])
+    # Malformed steps have no noun and so never match.
+    loose = wanted.filter(F.col("noun").isNotNull() | step).join(
+        rows, ["archive_id", "noun", "wanted_id"], "left_anti")
+    quoted = _quoted("identifier")
+    detail = (F.when(step & ~formed, F.concat(F.lit("provenance_step identifier malformed: "), quoted))
+              .when(step, F.concat(F.lit("provenance row for "), _short("wanted_id"), F.lit(" not found")))
+              .when(role == "conclusion_anchor", F.concat(F.lit("conclusion_anchor_id "), quoted, F.lit(" not found")))
+              .when(F.col("artifact_kind") == "timeline", F.concat(F.lit("event references "), "noun", F.lit(" "), quoted))
+              .when(F.col("artifact_kind") == "justification",
+                    F.concat(F.lit("chain entry references "), "noun", F.lit(" "), quoted))
+              .otherwise(F.concat("noun", F.lit(" "), quoted, F.lit(" not found"))))
+    issue = F.when(step, F.lit("provenance_step_dangling")).otherwise(
+        F.concat("noun", F.lit("_reference_dangling")))
+    return loose.select("archive_id", "artifact_kind", "artifact_id", issue.alias("issue_kind"), detail.alias("detail"))
 
 
 def artifact_index(headers: DataFrame, assessments: DataFrame) -> DataFrame:
@@ -259,6 +263,18 @@ def derived_integrity(headers: DataFrame, references: DataFrame, evidence: DataF
 # --- loose artifact files ------------------------------------------------------------------
 
 
+def _text_without(schema: T.StructType, own: str) -> Column:
+    """Canonical text of the record in ``text`` without one field.
+
+    Written as a lambda over a single element so that the text is parsed once
+    instead of once per field.
+    """
+    fields = [f for f in schema.fields if f.name != own]
+    parsed = F.array(F.from_json("text", schema))
+    return F.element_at(F.transform(parsed, lambda r: canon.canonical_struct(
+        {f.name: (r[f.name], f.dataType) for f in fields})), 1)
+
+
 def verify_artifacts(texts: DataFrame, manifests: DataFrame | None = None,
                      workspace_hashes: DataFrame | None = None,
                      timeline_hashes: DataFrame | None = None) -> DataFrame:
@@ -270,11 +286,8 @@ def verify_artifacts(texts: DataFrame, manifests: DataFrame | None = None,
     declared = computed = F.when(F.lit(False), F.lit(None).cast("string"))
     for kind, _ in schemas.KIND_KEYS:
         schema, own = schemas.ARTIFACTS[kind]
-        record = F.from_json("text", schema)
-        body = canon.canonical_struct({f.name: (record[f.name], f.dataType)
-                                       for f in schema.fields if f.name != own})
         here = F.col("kind") == kind
-        computed = computed.when(here, F.sha2(body, 256))
+        computed = computed.when(here, F.sha2(_text_without(schema, own), 256))
         declared = declared.when(here, F.get_json_object("text", f"$.{own}"))
     out = rows.select(
         "archive_id", "artifact_name", "kind", declared.alias("declared_hash"), computed.alias("computed_hash"),

@@ -35,6 +35,14 @@ def upsert_new(path: str):
     return write
 
 
+def replace_table(path: str):
+    """A ``foreachBatch`` body for complete results: the table is what the last batch says."""
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return write
+
+
 def follow_chain(state_path: str, failures_path: str):
     """A ``foreachBatch`` body that checks growing logs across micro-batches.
 

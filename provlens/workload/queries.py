@@ -17,8 +17,9 @@ from provlens.plans import ingest as ingesting
 from provlens.plans import report, verify
 from provlens.session import ensure_checkpoint_dir
 from provlens.sources import readers, writers
-from provlens.workload.sqlworld import (CERT, PROVENANCE_PAYLOAD, WITNESS, WORLD, ZERO, arr, entry_text, iso,
-                                        lit, manifest_text, n, obj, q, s, sn, with_world)
+from provlens.streaming import streams
+from provlens.workload.sqlworld import (CERT, ZERO, arr, entry_text, iso, lit, manifest_text, n, obj, q, s, sn,
+                                        with_world)
 from provlens.workload.world import World, sha
 
 Query = Callable[[World], DataFrame]
@@ -87,7 +88,7 @@ def _(w):
 
 
 @query("src_6_scan_artifacts", """SELECT archive_id, assessment_id AS justification_id, justification_hash,
- CASE n_steps WHEN 0 THEN 0 ELSE n_steps END AS steps, true AS intact FROM just""")
+ n_steps AS steps, true AS intact FROM just""")
 def _(w):
     root = scratch(w.spark, "artifacts")
     writers.write_artifacts(w.justifications, "justification", root)
@@ -1433,10 +1434,8 @@ def batch(w: World) -> DataFrame:
 
 def ingested(w: World) -> ingesting.Ingested:
     stored = w.sources.filter("id = 'src2'")
-    full = w.sources.select("archive_id", "id").filter("id = 'src2'")
-    none = w.evidence.join(full.select("archive_id", F.col("id").alias("source_id")), ["archive_id", "source_id"],
-                           "left_semi").filter(F.lit(False))
-    return ingesting.ingest(batch(w), none, stored)
+    nothing = w.evidence.filter(F.lit(False))
+    return ingesting.ingest(batch(w), nothing, stored)
 
 
 @query("gr_24_ingest_evidence", f"SELECT archive_id, hash, source_id, size_bytes, 'op-' || source_id AS ingested_by FROM ({_ACCEPTED}) a")
@@ -1483,6 +1482,45 @@ def _(w):
     return proofs.proof_levels(w.proofs)
 
 
+# --- streams -------------------------------------------------------------------------------
+
+
+@query("str_1_stream_ingest", "SELECT DISTINCT archive_id, hash FROM docs")
+def _(w):
+    # Documents arrive as a stream of files; each content is kept once per archive.
+    landing, table, log = (scratch(w.spark, n) for n in ("arrivals", "held", "progress"))
+    w.documents.select("archive_id", "hash", F.col("ingested_at").alias("arrived_at")).write.parquet(landing)
+    stream = w.spark.readStream.schema("archive_id string, hash string, arrived_at timestamp").parquet(landing)
+    run = (streams.stream_ingest(stream).writeStream.foreachBatch(streams.upsert_new(table))
+           .option("checkpointLocation", log).trigger(availableNow=True).start())
+    run.awaitTermination()
+    return w.spark.read.parquet(table).select("archive_id", "hash")
+
+
+@query("str_2_stream_verify_chain", f"""SELECT archive_id, pos, seq, reason FROM (SELECT *, {_REASON} AS reason
+ FROM tlink) x WHERE reason IS NOT NULL""")
+def _(w):
+    landing, state, failures, log = (scratch(w.spark, n) for n in ("entries", "heads", "failures", "progress"))
+    w.tampered_log.write.parquet(landing)
+    stream = w.spark.readStream.schema(w.tampered_log.schema).parquet(landing)
+    run = (stream.writeStream.foreachBatch(streams.follow_chain(state, failures))
+           .option("checkpointLocation", log).trigger(availableNow=True).start())
+    run.awaitTermination()
+    return w.spark.read.parquet(failures).select("archive_id", "pos", "seq", "reason")
+
+
+@query("str_3_stream_action_counts", """SELECT strftime(date_trunc('day', ts), '%Y-%m-%dT%H:%M:%SZ') AS window_start,
+ event_type AS action, count(*) AS count FROM events GROUP BY ALL""")
+def _(w):
+    landing, table, log = (scratch(w.spark, n) for n in ("entries", "counts", "progress"))
+    w.events.select(F.col("ts").cast("timestamp").alias("timestamp"), "action").write.parquet(landing)
+    stream = w.spark.readStream.schema("timestamp timestamp, action string").parquet(landing)
+    run = (streams.stream_action_counts(stream).writeStream.foreachBatch(streams.replace_table(table))
+           .outputMode("complete").option("checkpointLocation", log).trigger(availableNow=True).start())
+    run.awaitTermination()
+    return w.spark.read.parquet(table).select(text("window_start").alias("window_start"), "action", "count")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def run(fn: Query) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, folder: fn(World(spark, folder))
