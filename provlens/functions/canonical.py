@@ -1,13 +1,16 @@
 """Canonical JSON (sorted keys, no blanks, least escapes) and hashes over it.
 
-Everything here is a native column expression built from the column's type, so
-it stays inside code generation. ``jcs_any`` is the exception: it canonicalises
-JSON text whose shape is not known beforehand.
+Everything here is a native column expression built from the column's type; records
+of plain fields stay inside code generation, lists and maps use higher-order
+functions. ``jcs_any`` is the exception: it canonicalises JSON text whose shape is
+not known beforehand, in Arrow batches.
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,12 +18,12 @@ from pyspark.sql import types as T
 
 from provlens import schemas
 
-# Spark writes nine control characters with capital hex digits; canonical text has
-# small ones. Strings that hold one of them are escaped character by character.
-_ESCAPES = {**{chr(c): f"\\u{c:04x}" for c in range(0x20)}, "\\": "\\\\", '"': '\\"',
-            "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 _SPECIAL = r'[\x00-\x1f"\\]'
+# Spark writes nine control characters with capital hex digits; canonical text has
+# small ones. An escape is told from an escaped backslash before "u" by the even
+# number of backslashes in front of it.
 _CAPITALISED = r"[\x0b\x0e\x0f\x1a-\x1f]"
+_ESCAPE_ENDING_IN = r"(?<!\\)((?:\\\\)*\\u00[01])"
 
 
 def sha256_hex(col: Column) -> Column:
@@ -30,11 +33,12 @@ def sha256_hex(col: Column) -> Column:
 def json_text(col: Column) -> Column:
     """A JSON string literal; most values need no escape and take the first branch."""
     written = F.to_json(F.struct(col.alias("v")))
-    table = F.from_json(F.lit(json.dumps(_ESCAPES)), "map<string,string>")
-    each = F.transform(F.split(col, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch))
-    return (F.when(~col.rlike(_SPECIAL), F.concat(F.lit('"'), col, F.lit('"')))
-            .when(~col.rlike(_CAPITALISED), F.substring(written, F.lit(6), F.length(written) - 6))
-            .otherwise(F.concat(F.lit('"'), F.array_join(each, ""), F.lit('"'))))
+    written = F.substring(written, F.lit(6), F.length(written) - 6)
+    small = reduce(lambda text, d: F.regexp_replace(text, _ESCAPE_ENDING_IN + d, "$1" + d.lower()), "ABCDEF", written)
+    return (F.when(col.isNull(), F.lit(None).cast("string"))
+            .when(~col.rlike(_SPECIAL), F.concat(F.lit('"'), col, F.lit('"')))
+            .when(~col.rlike(_CAPITALISED), written)
+            .otherwise(small))
 
 
 def _utf16(name: str) -> bytes:
