@@ -156,8 +156,10 @@ def fold_chain(texts: DataFrame, heads: DataFrame | None = None, round_rows: int
     the next, so losing an executor costs at most one round.
     """
     spark = texts.sparkSession
-    texts = stable(texts.select("archive_id", "position", "left", "right"))
+    texts = texts.select("archive_id", "position", "left", "right")
     last = texts.agg(F.max("position").alias("m")).first()["m"]
+    if last is not None and last >= round_rows:
+        texts = stable(texts)
     if heads is None:
         heads = texts.select("archive_id").distinct().withColumn("start_hash", F.lit(schemas.ZERO_HASH))
     done: list[DataFrame] = []
