@@ -132,14 +132,17 @@ def _fold_schema() -> str:
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Link rows that come in order of archive and position; one digest of state."""
-    archive, before = None, ""
+    """Link rows that come in order of archive and position; one digest of state.
+
+    The first row of an archive has no text and brings the hash to start from.
+    """
+    before = ""
     for pdf in batches:
         out = []
-        for key, position, left, right, start in zip(
-                pdf["archive_id"], pdf["position"], pdf["left"], pdf["right"], pdf["start_hash"]):
-            if key != archive:
-                archive, before = key, start
+        for key, position, left, right in zip(pdf["archive_id"], pdf["position"], pdf["left"], pdf["right"]):
+            if left is None:
+                before = right
+                continue
             digest = hashlib.sha256((left + before + right).encode("utf-8")).hexdigest()
             out.append((key, position, before, digest))
             before = digest
@@ -150,10 +153,11 @@ def fold_chain(texts: DataFrame, heads: DataFrame | None = None, round_rows: int
     """Link canonical texts into chains: ``archive_id, position, prev_hash, entry_hash``.
 
     ``texts`` has ``archive_id``, dense ``position`` and the canonical text around
-    the previous hash (``left``, ``right``), made in parallel beforehand. A chain
-    is sequential, so what is left per entry is one digest, fed row by row. A long
-    chain advances ``round_rows`` entries per round and each round is written before
-    the next, so losing an executor costs at most one round.
+    the previous hash (``left``, ``right``), made in parallel beforehand; ``heads``
+    may give the ``start_hash`` of every archive. A chain is sequential, so what is
+    left per entry is one digest, fed row by row. A long chain advances
+    ``round_rows`` entries per round and each round is written before the next, so
+    losing an executor costs at most one round.
     """
     spark = texts.sparkSession
     texts = texts.select("archive_id", "position", "left", "right")
@@ -165,7 +169,12 @@ def fold_chain(texts: DataFrame, heads: DataFrame | None = None, round_rows: int
     done: list[DataFrame] = []
     for start in range(0, (last if last is not None else -1) + 1, round_rows):
         part = texts.filter((F.col("position") >= start) & (F.col("position") < start + round_rows))
-        linked = stable(part.join(heads, "archive_id").repartition("archive_id")
+        # Heads travel as rows in front of their archive. A join would leave rows hash
+        # partitioned already, Spark would then drop the repartition, and a skewed join
+        # could deal one archive out to several tasks.
+        first = heads.select("archive_id", F.lit(-1).cast("long").alias("position"),
+                             F.lit(None).cast("string").alias("left"), F.col("start_hash").alias("right"))
+        linked = stable(part.unionByName(first).repartition("archive_id")
                         .sortWithinPartitions("archive_id", "position").mapInPandas(_fold, _fold_schema()))
         done.append(linked)
         heads = linked.groupBy("archive_id").agg(F.max_by("entry_hash", "position").alias("start_hash"))

@@ -128,3 +128,29 @@ def test_transparency_chain_reports_the_first_failure(spark):
     assert check([rows[0], rows[2]]).reason == "sequence mismatch at index 1: expected 1, got 2"
     assert check([rows[0], {**rows[1], "signature": "y"}, rows[2]]).reason == \
         "manifest at sequence 1 failed structural verification"
+
+
+def test_skewed_logs_stay_whole(spark):
+    """Adaptive skew handling must not deal one log out to several tasks."""
+    tight = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1b",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+             "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in tight}
+    for k, v in tight.items():
+        spark.conf.set(k, v)
+    try:
+        i = F.col("id")
+        new = spark.range(6000).select(
+            F.when(i % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("a"), (i % 40).cast("string"))).alias("archive_id"),
+            i.alias("o"), F.lit("2026-01-01T00:00:00Z").alias("timestamp"), F.lit("op").alias("actor"),
+            F.lit("ingest_evidence").alias("action"), F.concat(F.lit("t"), i.cast("string")).alias("target"),
+            F.create_map(F.lit("k"), i.cast("string")).alias("parameters"), F.lit("success").alias("result"),
+            F.lit("0.1.0").alias("schema_version")).repartition(6)
+        log = chains.append_chain(None, new, ["o"], 700)
+        out = chains.verify_chain(log).collect()
+        assert sum(r.total_entries for r in out) == 6000 and all(r.ok for r in out)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
