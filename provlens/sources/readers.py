@@ -162,10 +162,11 @@ def scan_witnesses(spark: SparkSession, root: str) -> DataFrame:
             .select("archive_id", "sequence", *[F.col(f"r.{f.name}") for f in schemas.WITNESS.fields]))
 
 
-def scan_sidecars(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """Capture certificates or inference proofs; undecodable files are skipped."""
+def scan_sidecars(spark: SparkSession, root: str, kind: str, pattern: str | None = None,
+                  lines: bool = False) -> DataFrame:
+    """Capture certificates or inference proofs; undecodable ones are skipped."""
     schema, own = schemas.ARTIFACTS[kind]
-    raw = _scan_json(spark, root, f"{SIDECAR_DIRS[kind]}/*.json", schema)
+    raw = _scan_json(spark, root, f"{SIDECAR_DIRS[kind]}/*.json" if pattern is None else pattern, schema, lines=lines)
     return (raw.filter(F.col("r._bad").isNull() & F.col(f"r.{own}").isNotNull())
             .select("archive_id", "artifact_name", *[F.col(f"r.{f.name}") for f in schema.fields]))
 

@@ -99,6 +99,16 @@ def _(w):
         F.size("provenance_chain").alias("steps"), intact.alias("intact"))
 
 
+@query("src_10_scan_sidecars", """SELECT archive_id, certificate_hash, source_id AS operator_id, captured_at, device_id,
+ toxic = 0 AS intact FROM cert""")
+def _(w):
+    root = scratch(w.spark, "sidecars")
+    writers.write_artifacts(w.certificates, "certificate", root)
+    read = readers.scan_sidecars(w.spark, root, "certificate", pattern="", lines=True)
+    return read.select("archive_id", "certificate_hash", "operator_id", "captured_at", "device_id",
+                       (canon.self_hash(read, "certificate") == F.col("certificate_hash")).alias("intact"))
+
+
 @query("src_11_write_artifacts", f"SELECT archive_id, {obj({**CERT, 'certificate_hash': s('certificate_hash'), 'notes': sn('note')})} AS value FROM (SELECT *, CASE WHEN toxic = 1 THEN 'edited' END AS note FROM cert) x")
 def _(w):
     return writers.artifact_lines(w.certificates, "certificate")

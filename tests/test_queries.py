@@ -44,5 +44,5 @@ def test_every_query_is_registered_and_named_for_the_inventory():
                 + [f"agg_{i}" for i in range(1, 18)] + [f"win_{i}" for i in range(1, 10)]
                 + [f"ord_{i}" for i in range(1, 5)] + [f"set_{i}" for i in range(1, 9)]
                 + [f"fn_{i}" for i in range(1, 18)] + [f"gr_{i}" for i in range(1, 28)]
-                + [f"str_{i}" for i in range(1, 4)] + ["src_1", "src_2", "src_3", "src_5", "src_6", "src_11", "src_12"])
+                + [f"str_{i}" for i in range(1, 4)] + ["src_1", "src_2", "src_3", "src_5", "src_6", "src_10", "src_11", "src_12"])
     assert [e for e in expected if not any(n.startswith(e + "_") for n in names)] == []
