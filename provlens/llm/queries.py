@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlens.llm import packing, token_files
+from provlens.llm import fingerprints, packing, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,6 +40,23 @@ def _(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer(), end_id=2)
 
 
+@query("op8_warc", """WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), k AS (
+ SELECT page_id, url, strlen(h) AS payload_bytes, sha256(h) AS payload_digest FROM p), f AS (
+ SELECT payload_digest, min(page_id) AS original FROM k WHERE payload_bytes >= 100 GROUP BY 1)
+ SELECT page_id, payload_bytes, k.payload_digest,
+ CASE WHEN original IS NULL OR original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN original <> page_id THEN original END AS refers_to, true AS resolves
+ FROM k LEFT JOIN f ON f.payload_digest = k.payload_digest AND payload_bytes >= 100""")
+def _(spark, folder):
+    out = warc.archive(table(spark, folder, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "resolves")
+
+
 @query("op9_token_files")
 def _(spark, folder):
     return token_files.token_files(table(spark, folder, "documents"), tokenizer(), end_id=1)
+
+
+@query("op10_fingerprints")
+def _(spark, folder):
+    return fingerprints.versions(table(spark, folder, "documents"))
