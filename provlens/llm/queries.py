@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlens.llm import fingerprints, packing, token_files, warc
+from provlens.llm import fingerprints, packing, quality, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +35,31 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_WORD = "[^\\x20\\x09-\\x0D]+"
+
+# Windows of three words as one text each; words hold no blanks.
+@query("op1_quality", f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (
+ SELECT doc_id, t, regexp_extract_all(t, '{_WORD}') AS ws, list_filter(string_split(t, chr(10)),
+lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d), p AS (
+ SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (
+ SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2) x), r AS (
+ SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM p) x WHERE c > 1), c AS (
+ SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) AS s(k) GROUP BY 1), f AS (
+ SELECT w.doc_id, t, ws, ls, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+ length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+ (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+ FROM w LEFT JOIN c ON c.doc_id = w.doc_id), b AS (
+ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ NOT (base_failed OR n_symbols / greatest(word_chars, 1) > 0.02
+ OR length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) / greatest(length(regexp_replace(t, '[^\\p{{L}}]+', '', 'g')), 1) > 0.3
+ OR length(regexp_replace(t, '[^!?]+', '', 'g')) / greatest(word_chars, 1) > 0.05
+ OR n_dup_lines / greatest(len(ls), 1) > 0.5
+ OR len(list_distinct(ws)) / greatest(n_words, 1) < 0.2) AS kept FROM b""")
+def _(spark, folder):
+    return quality.report(table(spark, folder, "documents"))
+
+
 @query("op3_packing")
 def _(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer(), end_id=2)
