@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlens.llm import fingerprints, language, packing, quality, token_files, warc
+from provlens.llm import fingerprints, language, packing, quality, substring, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,6 +60,22 @@ def _(spark, folder):
     return quality.report(table(spark, folder, "documents"))
 
 
+# A window is its words with a blank between; hash values only shorten what is grouped.
+@query("op2_substring_dedup", f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws
+ FROM documents), p AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + 12], ' ')) AS g FROM (
+ SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) > 12) x), m AS (
+ SELECT g, min(doc_id) AS first FROM p GROUP BY g), r AS (
+ SELECT DISTINCT doc_id, i + k AS j FROM p JOIN m USING (g), (SELECT unnest(range(13)) AS k) s WHERE doc_id > first), k AS (
+ SELECT w.doc_id, len(ws)::BIGINT AS n_words, count(r.j)::BIGINT AS n_removed,
+ string_agg(x.v, ' ' ORDER BY x.j) FILTER (WHERE r.j IS NULL) AS kept
+ FROM w LEFT JOIN (SELECT doc_id, unnest(ws) AS v, unnest(range(1, len(ws) + 1)) AS j FROM w) x ON x.doc_id = w.doc_id
+ LEFT JOIN r ON r.doc_id = x.doc_id AND r.j = x.j GROUP BY w.doc_id, ws)
+ SELECT doc_id, n_words, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k""")
+def _(spark, folder):
+    out = substring.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
 @query("op3_packing")
 def _(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer(), end_id=2)
