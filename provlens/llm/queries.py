@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlens.llm import fingerprints, language, packing, quality, substring, token_files, warc
+from provlens.llm import fingerprints, jaccard, language, packing, quality, substring, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,6 +86,11 @@ def _(spark, folder):
     return language.predictions(table(spark, folder, "documents"))
 
 
+@query("op5_jaccard_join")
+def _(spark, folder):
+    return jaccard.classes(table(spark, folder, "documents"))
+
+
 @query("op8_warc", """WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), k AS (
  SELECT page_id, url, strlen(h) AS payload_bytes, sha256(h) AS payload_digest FROM p), f AS (
  SELECT payload_digest, min(page_id) AS original FROM k WHERE payload_bytes >= 100 GROUP BY 1)
