@@ -111,6 +111,9 @@ def further_rules(text: str, words: Column) -> list[Rule]:
             Rule("few_distinct_words", share(F.size(F.array_distinct(words)), F.size(words)) < LEAST_DISTINCT)]
 
 
+Rules = Callable[[str, Column], list[Rule]]
+
+
 def estimate(docs: DataFrame, rules: list[Rule], sample: int = SAMPLE, seed: int = 1) -> list[tuple[Rule, float, float]]:
     """Each rule with seconds per sampled document and the share it rejects, best first.
 
@@ -131,35 +134,41 @@ def estimate(docs: DataFrame, rules: list[Rule], sample: int = SAMPLE, seed: int
     return sorted(found, key=lambda m: -m[2] / m[1])
 
 
-def cascade(docs: DataFrame, rules: list[Rule], sample: int = SAMPLE) -> Column:
-    """The name of the first rule that rejects a document, or null, in estimated order."""
+def _ordered(docs: DataFrame, text: str, rules: Rules, sample: int) -> list[str]:
+    """Names of rules in the order that the sample suggests."""
+    held = docs.select(F.col(text), words_of(F.col(text)).alias("_words"))
+    return [r.name for r, _, _ in estimate(held, rules(text, F.col("_words")), sample)]
+
+
+def _first_rejection(rules: list[Rule], order: list[str]) -> Column:
     first = F.lit(None).cast("string")
-    for rule, _, _ in reversed(estimate(docs, rules, sample)):
+    for rule in sorted(rules, key=lambda r: -order.index(r.name)):
         first = F.when(rule.rejects, F.lit(rule.name)).otherwise(first)
     return first
 
 
-def _with_words(docs: DataFrame, text: str, wanted: list[str]) -> DataFrame:
-    return docs.select(*[F.col(f"`{c}`") for c in wanted], words_of(F.col(text)).alias("_words"))
+def all_rules(text: str, words: Column) -> list[Rule]:
+    return base_rules(text, words) + further_rules(text, words)
 
 
-def judged(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", sample: int = SAMPLE, rules: Rules = all_rules) -> DataFrame:
     """Add ``rejected_by``: the first rule of the cascade that rejects, null for kept documents.
 
-    Nulls and empty texts have no words and are rejected; other columns stay as they are. A
-    column of the name ``rejected_by`` or ``_words`` is replaced.
+    Nulls and empty texts have no words and are rejected; other columns stay as they are, one
+    of the name ``rejected_by`` is replaced. Which rule is named may depend on the order,
+    whether one rejects doesn't.
     """
-    docs = docs.drop("rejected_by", "_words")
-    held = _with_words(docs, text, docs.columns)
-    # A rejecting rule's name may depend on the order; whether one rejects doesn't.
-    rules = base_rules(text, F.col("_words")) + further_rules(text, F.col("_words"))
-    return held.withColumn("rejected_by", cascade(held, rules, sample)).drop("_words")
+    docs = docs.drop("rejected_by")
+    order = _ordered(docs, text, rules, sample)
+    # Words are bound inside the expression: a filter that moves below still splits a text once.
+    return docs.withColumn("rejected_by", _let(words_of(F.col(text)),
+                                               lambda w: _first_rejection(rules(text, w), order)))
 
 
-def kept_documents(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def kept_documents(docs: DataFrame, text: str = "text", sample: int = SAMPLE, rules: Rules = all_rules) -> DataFrame:
     """The documents no rule rejects, columns unchanged."""
     columns = docs.columns
-    return judged(docs, text, sample).filter("rejected_by IS NULL").select(*[F.col(f"`{c}`") for c in columns])
+    return judged(docs, text, sample, rules).filter("rejected_by IS NULL").select(*[F.col(f"`{c}`") for c in columns])
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -168,14 +177,19 @@ def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample:
     The base counts are asked for, so they are computed for all; the further rules run as a
     cascade over what the base keeps.
     """
-    held = _with_words(docs, text, [id_col, text])
-    w = F.col("_words")
-    further = cascade(held, further_rules(text, w), sample)
-    counted = held.select(
-        F.col(id_col).alias("doc_id"), F.col(text).alias(text), w, F.size(w).cast("long").alias("n_words"),
-        word_chars(w).alias("word_chars"), n_symbols(text).alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"),
-        n_repeat_words(w).alias("n_repeat_words"))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        F.when(failed, F.lit(False)).otherwise(further.isNull()).alias("kept"))
+    order = _ordered(docs, text, further_rules, sample)
+
+    def all_counts(w: Column) -> Column:
+        def with_repeats(r: Column) -> Column:
+            n = F.size(w).cast("long")
+            failed = (n < LEAST_WORDS) | (r > MOST_REPEATED * n)
+            passes = _first_rejection(further_rules(text, w), order).isNull()
+            return F.struct(
+                n.alias("n_words"), word_chars(w).alias("word_chars"), n_symbols(text).alias("n_symbols"),
+                n_dup_lines(text).alias("n_dup_lines"), r.alias("n_repeat_words"), failed.alias("base_failed"),
+                F.when(failed, F.lit(False)).otherwise(passes).alias("kept"))
+
+        return _let(n_repeat_words(w), with_repeats)
+
+    counted = docs.select(F.col(id_col).alias("doc_id"), _let(words_of(F.col(text)), all_counts).alias("_r"))
+    return counted.select("doc_id", "_r.*")
