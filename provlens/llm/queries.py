@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlens.llm import fingerprints, jaccard, language, packing, quality, substring, token_files, warc
+from provlens.llm import chat, fingerprints, jaccard, language, packing, quality, substring, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,6 +91,24 @@ def _(spark, folder):
     return jaccard.classes(table(spark, folder, "documents"))
 
 
+@query("op7_chat", """WITH c AS (SELECT DISTINCT conv_id AS pair_id, turn, role, text FROM conversations), a AS (
+ SELECT pair_id, max(turn) AS last, max(struct_pack(turn := turn, text := text)).text AS answer FROM c
+ WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY 1), j AS (
+ SELECT DISTINCT * FROM (SELECT c.pair_id, turn, role, text FROM c LEFT JOIN a ON a.pair_id = c.pair_id
+ WHERE last IS NULL OR turn IS NULL OR turn < last
+ UNION ALL SELECT a.pair_id, a.last, 'assistant', b.answer FROM a JOIN a b ON b.pair_id = xor(a.pair_id, 1)) x), t AS (
+ SELECT pair_id, turn, role, text, min(side) AS low, max(side) AS high FROM (
+ SELECT *, 0 AS side FROM c UNION ALL SELECT *, 1 FROM j) x GROUP BY ALL), d AS (
+ SELECT pair_id, min(turn) AS first FROM t WHERE low = high GROUP BY 1), s AS (
+ SELECT t.*, first IS NULL OR turn < first AS shared FROM t LEFT JOIN d ON d.pair_id = t.pair_id), p AS (
+ SELECT *, 'prompt' AS part FROM s WHERE shared UNION ALL SELECT *, 'chosen' FROM s WHERE NOT shared AND low = 0
+ UNION ALL SELECT *, 'rejected' FROM s WHERE NOT shared AND high = 1)
+ SELECT pair_id, part, turn, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered,
+ part <> 'prompt' AND role = 'assistant' AS loss FROM p""")
+def _(spark, folder):
+    return chat.preferences(table(spark, folder, "conversations"))
+
+
 @query("op8_warc", """WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), k AS (
  SELECT page_id, url, strlen(h) AS payload_bytes, sha256(h) AS payload_digest FROM p), f AS (
  SELECT payload_digest, min(page_id) AS original FROM k WHERE payload_bytes >= 100 GROUP BY 1)
