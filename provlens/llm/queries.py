@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlens.llm import chat, fingerprints, jaccard, language, packing, quality, substring, token_files, warc
+from provlens.llm import chat, fingerprints, jaccard, language, lattice, packing, quality, substring, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,11 +28,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def tokenizer() -> str:
-    """Where the public tokenizer lies on the executors too."""
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    """Where a public tokenizer lies, on the executors too."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
@@ -91,6 +91,13 @@ def _(spark, folder):
     return jaccard.classes(table(spark, folder, "documents"))
 
 
+@query("op6_sentencepiece")
+def _(spark, folder):
+    model = tokenizer("piece_bpe_32k.model")
+    out = lattice.decode(lattice.encode(table(spark, folder, "documents"), model), model)
+    return out.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 @query("op7_chat", """WITH c AS (SELECT DISTINCT conv_id AS pair_id, turn, role, text FROM conversations), a AS (
  SELECT pair_id, max(turn) AS last, max(struct_pack(turn := turn, text := text)).text AS answer FROM c
  WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY 1), j AS (
