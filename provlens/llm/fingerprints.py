@@ -274,5 +274,5 @@ def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     schema = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
               "near_edited double, near_next double")
-    return (sent.repartition(n, "bucket").sortWithinPartitions("bucket", "extra", "doc_id", "text")
+    return (sent.repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "extra", "doc_id", "text")
             .mapInArrow(run, schema))
