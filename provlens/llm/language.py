@@ -37,8 +37,8 @@ def _letters() -> np.ndarray:
 def ngrams(texts: list[str | None], orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the n-grams of texts, the text of each, and the number of letters of each text.
 
-    Letters are lower case; each run of others counts as one blank; n-grams of blanks alone
-    or with a blank inside are left out.
+    Letters are lower case; each run of others counts as one blank; n-grams with a blank
+    inside are left out, and ``orders`` are 2 or more.
     """
     alpha = kept(("letters",), _letters)
     lowered = ["" if t is None else t.lower() for t in texts]
@@ -65,10 +65,9 @@ def ngrams(texts: list[str | None], orders: tuple[int, ...] = ORDERS) -> tuple[n
             h = h * np.uint64(0x5851F42D4C957F2D) + scrambled[k:k + m]
             if 0 < k < n - 1:
                 inside |= blank[k:k + m]
-        good = ~inside & ~(blank[:m] & blank[n - 1:])
         # A blank before a word may belong to the text before: an n-gram goes with its last letter.
-        out.append(mix(h[good]))
-        whose.append(np.where(blank[n - 1:], owner[:m], owner[n - 1:])[good])
+        out.append(mix(h[~inside]))
+        whose.append(np.where(blank[n - 1:], owner[n - 2:n - 2 + m], owner[n - 1:])[~inside])
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), counts
     return np.concatenate(out), np.concatenate(whose), counts
