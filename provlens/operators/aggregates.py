@@ -217,9 +217,14 @@ def integrity_summary(issues: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 
 def header_consensus(headers: DataFrame, min_agreement: int = 2) -> DataFrame:
-    """One header per height, and enough sources that returned it."""
-    low, high = F.min("header_hex"), F.max("header_hex")
-    return (headers.groupBy("height")
+    """One header per height, and enough different sources that returned it.
+
+    A source that reports a height several times counts once; if its reports differ, the
+    height is in disagreement.
+    """
+    per_source = headers.groupBy("height", "source").agg(F.min("header_hex").alias("low"), F.max("header_hex").alias("high"))
+    low, high = F.min("low"), F.max("high")
+    return (per_source.groupBy("height")
             .agg(F.count("*").alias("sources"), low.alias("header_hex"), (low == high).alias("same"))
             .withColumn("status", F.when(~F.col("same"), F.lit("disagreement"))
                         .when(F.col("sources") < min_agreement, F.lit("too_few_sources"))

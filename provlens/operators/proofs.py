@@ -163,14 +163,8 @@ def proof_errors(proofs: Proofs) -> DataFrame:
                                           conclusions, types])
 
 
-def proof_cycles(proofs: Proofs) -> DataFrame:
-    """Claims left after claims that begin or end no cycle are peeled off.
-
-    Each round drops edges whose source is fed by nothing and edges whose target
-    feeds nothing, so a chain shortens from both ends; what stays lies on cycles
-    or between them.
-    """
-    live = stable(claim_edges(proofs))
+def _peeled(live: DataFrame) -> DataFrame:
+    """Edges left after claims that begin or end no cycle are peeled off, from both ends."""
     left = live.count()
     while left:
         fed = live.select(*KEY, F.col("target").alias("source")).distinct()
@@ -181,8 +175,60 @@ def proof_cycles(proofs: Proofs) -> DataFrame:
         if now == left:
             break
         left = now
-    return live.select(*KEY, F.col("source").alias("claim_id")).unionByName(
+    return live
+
+
+def _strong_parts(live: DataFrame) -> DataFrame:
+    """``KEY, claim_id, root`` for the claims that both reach and are reached by their root.
+
+    A root is a claim that no larger one reaches; every round moves only what changed.
+    """
+    nodes = live.select(*KEY, F.col("source").alias("claim_id")).unionByName(
         live.select(*KEY, F.col("target").alias("claim_id"))).distinct()
+    colours = stable(nodes.withColumn("root", F.col("claim_id")))
+    changed = colours
+    while True:
+        offered = (live.join(changed.withColumnRenamed("claim_id", "source"), [*KEY, "source"])
+                   .groupBy(*KEY, F.col("target").alias("claim_id")).agg(F.max("root").alias("offer")))
+        changed = stable(colours.join(offered, [*KEY, "claim_id"]).filter("offer > root")
+                         .select(*KEY, "claim_id", F.col("offer").alias("root")))
+        if changed.isEmpty():
+            break
+        colours = stable(colours.unionByName(changed).groupBy(*KEY, "claim_id").agg(F.max("root").alias("root")))
+    inner = stable(live.join(colours.select(*KEY, F.col("claim_id").alias("source"), "root"), [*KEY, "source"])
+                   .join(colours.select(*KEY, F.col("claim_id").alias("target"), "root"), [*KEY, "target", "root"]))
+    found = frontier = stable(colours.filter("claim_id = root"))
+    while True:
+        frontier = stable(inner.join(frontier.select(*KEY, "root", F.col("claim_id").alias("target")), [*KEY, "root", "target"])
+                          .select(*KEY, F.col("source").alias("claim_id"), "root").distinct()
+                          .join(found, [*KEY, "claim_id"], "left_anti"))
+        if frontier.isEmpty():
+            return found
+        found = stable(found.unionByName(frontier))
+
+
+def proof_cycles(proofs: Proofs) -> DataFrame:
+    """Claims that lie on a cycle.
+
+    What feeds nothing or is fed by nothing is peeled off first, which mostly leaves
+    nothing. The rest falls into parts whose claims all reach each other; a part of several
+    claims, or of one that feeds itself, is a cycle. Parts are taken out until none is left.
+    """
+    live = _peeled(stable(claim_edges(proofs)))
+    rounds = []
+    while not live.isEmpty():
+        parts = _strong_parts(live)
+        several = parts.groupBy(*KEY, "root").count().filter("count > 1").select(*KEY, "root")
+        own = live.filter("source = target").select(*KEY, F.col("source").alias("root"))
+        rounds.append(parts.join(several.unionByName(own).distinct(), [*KEY, "root"], "left_semi").select(*KEY, "claim_id"))
+        taken = parts.select(*KEY, "claim_id")
+        live = _peeled(stable(
+            live.join(taken.withColumnRenamed("claim_id", "source"), [*KEY, "source"], "left_anti")
+            .join(taken.withColumnRenamed("claim_id", "target"), [*KEY, "target"], "left_anti")
+            .select(*KEY, "source", "target")))
+    if not rounds:
+        return live.select(*KEY, F.col("source").alias("claim_id"))
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def reached_claims(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -224,26 +270,26 @@ def proof_verdicts(proofs: Proofs) -> DataFrame:
 
 
 def proof_levels(proofs: Proofs) -> DataFrame:
-    """Level of each claim: premises 0, else one above its highest input.
+    """Level of each claim: premises 0, else one above the highest input of any step that gives it.
 
-    A step waits until all its inputs have a level; claims on cycles never get one.
+    A step counts once all its inputs have a level, and again when one rises; claims on cycles
+    never get one. A round looks only at steps with an input that changed in the last.
     """
-    premises = stable(proofs.premises.select(*KEY, "claim_id").distinct().withColumn("level", F.lit(0)))
     steps = stable(proofs.inputs.distinct().join(
-        proofs.steps.select(*KEY, "inference_id", F.col("output_id").alias("target")),
-        [*KEY, "inference_id"]))
-    need = stable(steps.groupBy(*KEY, "inference_id", "target").agg(F.count("*").alias("needed")))
-    levels, waiting = [premises], need
+        proofs.steps.select(*KEY, "inference_id", F.col("output_id").alias("target")), [*KEY, "inference_id"])
+        .join(proof_cycles(proofs).withColumnRenamed("claim_id", "target"), [*KEY, "target"], "left_anti"))
+    need = stable(steps.groupBy(*KEY, "inference_id", "target").agg(F.countDistinct("claim_id").alias("needed")))
+    levels = changed = stable(proofs.premises.select(*KEY, "claim_id").distinct().withColumn("level", F.lit(0)))
     while True:
-        known = reduce(DataFrame.unionByName, levels)
-        ready = (steps.join(waiting.select(*KEY, "inference_id"), [*KEY, "inference_id"], "left_semi")
-                 .join(known, [*KEY, "claim_id"])
-                 .groupBy(*KEY, "inference_id", "target")
-                 .agg(F.count("*").alias("have"), F.max("level").alias("top"))
-                 .join(waiting, [*KEY, "inference_id", "target"]).filter("have = needed"))
-        ready = stable(ready.select(*KEY, "inference_id", F.col("target").alias("claim_id"),
-                                    (F.col("top") + 1).alias("level")))
-        if ready.isEmpty():
-            return known.groupBy(*KEY, "claim_id").agg(F.max("level").alias("level"))
-        waiting = stable(waiting.join(ready.select(*KEY, "inference_id"), [*KEY, "inference_id"], "left_anti"))
-        levels.append(ready.groupBy(*KEY, "claim_id").agg(F.max("level").alias("level")))
+        touched = steps.join(changed.select(*KEY, "claim_id"), [*KEY, "claim_id"], "left_semi").select(
+            *KEY, "inference_id", "target").distinct()
+        made = (steps.join(touched, [*KEY, "inference_id", "target"], "left_semi").join(levels, [*KEY, "claim_id"])
+                .groupBy(*KEY, "inference_id", "target")
+                .agg(F.countDistinct("claim_id").alias("have"), F.max("level").alias("top"))
+                .join(need, [*KEY, "inference_id", "target"]).filter("have = needed")
+                .groupBy(*KEY, F.col("target").alias("claim_id")).agg((F.max("top") + 1).alias("new")))
+        changed = stable(made.join(levels, [*KEY, "claim_id"], "left").filter("level IS NULL OR new > level")
+                         .select(*KEY, "claim_id", F.col("new").alias("level")))
+        if changed.isEmpty():
+            return levels
+        levels = stable(levels.unionByName(changed).groupBy(*KEY, "claim_id").agg(F.max("level").alias("level")))

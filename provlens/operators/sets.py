@@ -168,12 +168,31 @@ def manifest_diff(stored: DataFrame, stored_tables: DataFrame, recomputed: DataF
     return heads.unionByName(tables).select("archive_id", "d.*")
 
 
-def sequence_gaps(manifests: DataFrame) -> DataFrame:
-    """Missing sequence numbers between the first and last of each log."""
+GAP_PIECE = 1 << 16
+
+
+def sequence_gap_ranges(manifests: DataFrame) -> DataFrame:
+    """First and last number of each gap between the first and last of each log; of any width."""
     rows = sequenced(manifests.select("archive_id", "sequence"), ["archive_id"], ["sequence"], ["sequence"])
     return (rows.filter(F.col("sequence") - F.col("prev_sequence") > 1)
-            .select("archive_id", F.explode(F.sequence(F.col("prev_sequence") + 1, F.col("sequence") - 1))
-                    .alias("missing_sequence")))
+            .select("archive_id", (F.col("prev_sequence") + 1).alias("first_missing"),
+                    (F.col("sequence") - 1).alias("last_missing")))
+
+
+def sequence_gaps(manifests: DataFrame) -> DataFrame:
+    """Missing sequence numbers between the first and last of each log, a row each.
+
+    A wide gap is cut into pieces and those into pieces again, so no array is longer than
+    65,536 numbers below a width of 2^48, and the rows of one gap are made in many tasks.
+    """
+    pieces = sequence_gap_ranges(manifests)
+    for width in (GAP_PIECE * GAP_PIECE, GAP_PIECE):
+        begin = F.explode(F.sequence("first_missing", "last_missing", F.lit(width).cast("long")))
+        pieces = (pieces.select("archive_id", begin.alias("begin"), "last_missing")
+                  .select("archive_id", F.col("begin").alias("first_missing"),
+                          F.least("last_missing", F.col("begin") + width - 1).alias("last_missing")))
+        pieces = pieces.repartition("archive_id", "first_missing")
+    return pieces.select("archive_id", F.explode(F.sequence("first_missing", "last_missing")).alias("missing_sequence"))
 
 
 def duplicate_refs(references: DataFrame, keys: list[str]) -> DataFrame:

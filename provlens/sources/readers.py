@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +25,32 @@ _TIMES = {"evidence": ["ingested_at"], "provenance": ["attested_at"],
 
 
 def _archive_id(root: str) -> Column:
-    """The path part after ``root``; file paths are percent-encoded URIs."""
-    base = root.rstrip("/").split("/")[-1]
-    path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "\\+", "%2B"))
-    return F.regexp_extract(path, f"/\\Q{base}\\E/(?:archive_id=)?([^/]+)/", 1)
+    """The path part after the whole of ``root``; file paths are percent-encoded URIs.
+
+    A file that does not lie under ``root`` fails the scan.
+    """
+    spark = SparkSession.active()
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath().rstrip("/")
+    file = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "\\+", "%2B"))
+    found = F.regexp_extract(file, f"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?\\Q{whole}\\E/(?:archive_id=)?([^/]+)/", 1)
+    return F.when(found != "", found).otherwise(F.raise_error(F.concat(F.lit(f"not under {whole}: "), file)))
+
+
+def hidden_files(spark: SparkSession, root: str, folder: str) -> DataFrame:
+    """``archive_id, artifact_name`` of JSON files in ``folder`` that Spark's readers pass over.
+
+    Names that begin with ``_`` or ``.`` are valid artifact names, but no reader opens them;
+    only their names are listed, like the folders of any scan.
+    """
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/{folder}/[_.]*.json")
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or []
+    up = len(folder.strip("/").split("/"))
+    rows = []
+    for status in found:
+        parts = status.getPath().toUri().getPath().split("/")
+        rows.append((parts[-2 - up].removeprefix("archive_id="), parts[-1].removesuffix(".json")))
+    return spark.createDataFrame(rows, "archive_id string, artifact_name string")
 
 
 def scan_rows(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -112,14 +136,26 @@ def scan_artifacts(spark: SparkSession, root: str, kind: str, pattern: str | Non
                    lines: bool = False) -> DataFrame:
     """Landed artifacts of a kind; undecodable ones are rows with ``decode_error``.
 
+    So are empty files, and files whose names Spark's readers pass over (``hidden_file``).
+
     With ``lines`` the files hold one artifact per line, as the writers leave them,
     instead of one artifact per file.
     """
     schema, own = schemas.ARTIFACTS[kind]
     raw = _scan_json(spark, root, f"{ARTIFACT_DIRS[kind]}/*.json" if pattern is None else pattern, schema, lines=lines)
     bad = F.col("r").isNull() | F.col("r._bad").isNotNull() | F.col(f"r.{own}").isNull()
-    return raw.select("archive_id", "artifact_name", *[F.col(f"r.{f.name}") for f in schema.fields],
+    read = raw.select("archive_id", "artifact_name", *[F.col(f"r.{f.name}") for f in schema.fields],
                       F.when(bad, F.lit("ValueError")).alias("decode_error"))
+    if lines or pattern is not None:
+        return read
+    hidden = hidden_files(spark, root, ARTIFACT_DIRS[kind]).withColumn("decode_error", F.lit("hidden_file"))
+    # The listing that every scan begins with also has empty files, of which no row is read.
+    listed = [(unquote(f).split("/")[-3].removeprefix("archive_id="), unquote(f).split("/")[-1].removesuffix(".json"))
+              for f in raw.inputFiles()]
+    empty = spark.createDataFrame(listed, "archive_id string, artifact_name string").join(
+        read.select("archive_id", "artifact_name"), ["archive_id", "artifact_name"], "left_anti")
+    return (read.unionByName(hidden, allowMissingColumns=True)
+            .unionByName(empty.withColumn("decode_error", F.lit("ValueError")), allowMissingColumns=True))
 
 
 def scan_artifact_texts(spark: SparkSession, root: str, pattern: str = "*/*.json") -> DataFrame:
@@ -148,7 +184,7 @@ def scan_manifest(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame,
 def scan_transparency(spark: SparkSession, root: str) -> DataFrame:
     """Log manifests; only files named ``manifest-NNNNNN.json`` count."""
     raw = _scan_json(spark, root, "transparency/*.json", schemas.TRANSPARENCY)
-    return (raw.filter(F.col("artifact_name").rlike("^manifest-\\d{6}$"))
+    return (raw.filter(F.col("artifact_name").rlike("^manifest-\\d{6,}$"))
             .filter("r IS NOT NULL AND r._bad IS NULL")
             .select("archive_id", *[F.col(f"r.{f.name}") for f in schemas.TRANSPARENCY.fields]))
 
@@ -156,7 +192,7 @@ def scan_transparency(spark: SparkSession, root: str) -> DataFrame:
 def scan_witnesses(spark: SparkSession, root: str) -> DataFrame:
     """Witness attestations per manifest folder; bad files are skipped."""
     raw = _scan_json(spark, root, "transparency/witnesses", schemas.WITNESS, recursive=True)
-    at = F.regexp_extract("path", "/witnesses/manifest-(\\d{6})/[a-f0-9]{64}\\.json$", 1)
+    at = F.regexp_extract("path", "/witnesses/manifest-(\\d{6,})/[a-f0-9]{64}\\.json$", 1)
     return (raw.withColumn("sequence", F.nullif(at, F.lit("")).cast("long"))
             .filter("sequence IS NOT NULL AND r._bad IS NULL AND r.attestation_hash IS NOT NULL")
             .select("archive_id", "sequence", *[F.col(f"r.{f.name}") for f in schemas.WITNESS.fields]))

@@ -48,8 +48,7 @@ def export_log_index(manifests: DataFrame, witnesses: DataFrame,
     totals = aggregates.witness_totals(witnesses)
     out = (manifests.select(
         "archive_id", "sequence",
-        F.concat(F.lit("manifest-"), F.lpad(F.col("sequence").cast("string"), 6, "0"), F.lit(".json"))
-        .alias("filename"),
+        F.format_string("manifest-%06d.json", "sequence").alias("filename"),
         "manifest_hash", "previous_manifest_hash", "audit_chain_head_hash", "audit_entry_count",
         "evidence_count", "attestation_count", "workspace_count", "timeline_count", "snapshot_count",
         "justification_count", "signed_at", "operator_id", "public_key_fingerprint")

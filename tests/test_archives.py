@@ -407,3 +407,25 @@ def test_trust_timeline_order(spark):
     out = report.trust_timeline(ev, prov, log, manifests, pr, certs).collect()
     assert [r.kind for r in out] == ["capture", "ingest", "manifest", "proof"]
     assert out[-1].timestamp is None
+
+
+def test_scans_keep_every_file(spark, tmp_path):
+    from provlens import schemas
+    from provlens.sources import readers, writers
+    root = tmp_path / "x" / "data" / "y" / "data"  # its last name recurs in the path
+    for archive in ("one", "two"):
+        (root / archive / "workspaces").mkdir(parents=True)
+        (root / archive / "transparency").mkdir()
+    (root / "one" / "workspaces" / "_draft.json").write_text("{}")
+    (root / "one" / "workspaces" / "empty.json").write_text("")
+    (root / "two" / "workspaces" / ".hid.json").write_text("{}")
+    for n in (5, 1000000):
+        (root / "two" / "transparency" / f"manifest-{n:06d}.json").write_text(f'{{"sequence": {n}}}')
+    got = {(r.archive_id, r.artifact_name, r.decode_error) for r in readers.scan_artifacts(spark, str(root), "workspace").collect()}
+    assert got == {("one", "_draft", "hidden_file"), ("one", "empty", "ValueError"), ("two", ".hid", "hidden_file")}
+    assert {(r.archive_id, r.sequence) for r in readers.scan_transparency(spark, str(root)).collect()} == {("two", 5), ("two", 1000000)}
+    names = [f.name for f in schemas.TRANSPARENCY.fields]
+    manifests = spark.createDataFrame([("a", *[1234567 if n == "sequence" else None for n in names])],
+                                      "archive_id string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.TRANSPARENCY.fields))
+    witnesses = spark.createDataFrame([], "archive_id string, target_manifest_sequence long")
+    assert writers.export_log_index(manifests, witnesses).first().filename == "manifest-1234567.json"

@@ -105,6 +105,18 @@ def test_heads_pages_and_gaps(spark):
     assert [(r.pos, r.total) for r in page] == [(1, 4), (2, 4)]
     seqs = spark.createDataFrame([("a", 0), ("a", 1), ("a", 4), ("b", 7)], "archive_id string, sequence long")
     assert sorted(r.missing_sequence for r in sets.sequence_gaps(seqs).collect()) == [2, 3]
+    wide = spark.createDataFrame([("a", 0), ("a", 10_000_000_001), ("b", 5), ("b", 200_006)], "archive_id string, sequence long")
+    ranges = {r.archive_id: (r.first_missing, r.last_missing) for r in sets.sequence_gap_ranges(wide).collect()}
+    assert ranges == {"a": (1, 10_000_000_000), "b": (6, 200_005)}
+    assert sets.sequence_gaps(wide.filter("archive_id = 'b'")).distinct().count() == 200_000
+
+
+def test_header_consensus_counts_sources(spark):
+    from provlens.operators import aggregates
+    rows = [(1, "s", "aa"), (1, "s", "aa"), (2, "s", "aa"), (2, "t", "aa"), (3, "s", "aa"), (3, "s", "bb"), (4, "s", "aa"), (4, "t", "bb")]
+    got = {r.height: (r.sources, r.status) for r in aggregates.header_consensus(
+        spark.createDataFrame(rows, "height long, source string, header_hex string")).collect()}
+    assert got == {1: (1, "too_few_sources"), 2: (2, "agreed"), 3: (1, "disagreement"), 4: (2, "disagreement")}
 
 
 def test_transparency_chain_reports_the_first_failure(spark):

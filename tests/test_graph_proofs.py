@@ -114,3 +114,20 @@ def test_levels_and_structure(spark):
     s = {r.proof_id: r for r in proofs.proof_structure(p).collect()}
     assert s["l"].rules_used == {"modus_ponens": 1, "conjunction_intro": 2} and s["l"].weak_rule_uses == 0
     assert (s["cycle"].premise_count, s["cycle"].inference_count, s["cycle"].weak_rule_uses) == (1, 2, 1)
+
+
+def test_claims_between_cycles_are_on_none(spark):
+    best = "abduction_to_best_explanation"
+    steps = [("1", best, ["a"], "b"), ("2", best, ["b"], "a"), ("3", best, ["b"], "m"), ("4", best, ["m"], "c"),
+             ("5", best, ["c"], "d"), ("6", best, ["d"], "c"), ("7", best, ["d"], "n"), ("8", best, ["n"], "n2"),
+             ("9", best, ["s"], "s"), ("10", best, ["n2"], "s")]
+    p = landed(spark, {"two": (["p"], steps, [(c, i) for i, _, _, c in steps], "d")})
+    assert {r.claim_id for r in proofs.proof_cycles(p).collect()} == {"a", "b", "c", "d", "s"}
+
+
+def test_level_of_a_claim_with_two_producers(spark):
+    best = "abduction_to_best_explanation"
+    steps = [("1", best, ["p"], "c"), ("2", best, ["c1"], "c"), ("3", best, ["p"], "c1"), ("4", best, ["c"], "d"),
+             ("5", best, ["d"], "e"), ("6", "conjunction_intro", ["c", "e"], "f")]
+    p = landed(spark, {"l": (["p"], steps, [("c", "1"), ("c1", "3"), ("d", "4"), ("e", "5"), ("f", "6")], "f")})
+    assert {r.claim_id: r.level for r in proofs.proof_levels(p).collect()} == {"p": 0, "c1": 1, "c": 2, "d": 3, "e": 4, "f": 5}
