@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from provlens import schemas
 from provlens.functions import identifiers as ids
 from provlens.operators import chains, joins
+from provlens.session import stable
 
 # The gap declared by a fresh custody record, without and with a
 # capture certificate.
@@ -36,61 +39,88 @@ def _map(pairs: dict[str, Column]) -> Column:
     return F.map_from_entries(entries)
 
 
+_SOURCE_FIELDS = ("name", "kind", "authority", "jurisdiction", "license")
+
+
+def _settled_sources(rows: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sources that a batch creates (with ``arrival``), and per row the reason its source refuses it.
+
+    Which row creates a source depends on what was accepted before, and that on other sources.
+    Sources are settled in rounds: the first complete row of an open source creates it unless
+    its content was accepted earlier, or still may be. The earliest such row of all is always
+    free, so every round settles a source; mostly one settles all.
+    """
+    mention = stable(rows.select(
+        "archive_id", "arrival", "hash", F.col("source_id").alias("id"), F.col("source_kind").alias("kind"),
+        F.col("source_name").alias("name"), F.col("source_authority").alias("authority"),
+        F.col("source_jurisdiction").alias("jurisdiction"), F.col("source_license").alias("license")))
+    key = ["archive_id", "id"]
+    stored = sources.select(*key, *_SOURCE_FIELDS)
+    settled = stable(stored.withColumn("since", F.lit(None).cast("long")))
+    complete = mention.filter("name IS NOT NULL AND kind IS NOT NULL AND authority IS NOT NULL")
+    open_ids = stable(complete.select(*key).distinct().join(stored, key, "left_anti"))
+
+    def judged(settled: DataFrame) -> DataFrame:
+        old = settled.select(*key, "since", F.struct(*_SOURCE_FIELDS).alias("old"))
+        clash = reduce(or_, [F.coalesce(F.col(f).isNotNull() & ~F.col(f).eqNullSafe(F.col(f"old.{f}")), F.lit(False))
+                             for f in _SOURCE_FIELDS])
+        reason = (F.when(F.col("old").isNull() | (F.col("since") > F.col("arrival")), F.lit("source_unknown"))
+                  .when(clash, F.lit("source_contradicted")))
+        return mention.join(old, key, "left").select("archive_id", "arrival", "hash", reason.alias("reason"))
+
+    while not open_ids.isEmpty():
+        accepted = judged(settled).filter("reason IS NULL").groupBy("archive_id", "hash").agg(F.min("arrival").alias("known"))
+        waiting = complete.join(open_ids, key, "left_semi").join(accepted, ["archive_id", "hash"], "left").filter(
+            "known IS NULL OR known > arrival").drop("known")
+        first = stable(chains.dedupe_first(waiting, key, ["arrival"]))
+        # Rows of open sources from their candidate on may yet be accepted.
+        maybe = (mention.join(first.select(*key, F.col("arrival").alias("from")), key).filter("arrival >= from")
+                 .groupBy("archive_id", "hash").agg(F.min("arrival").alias("maybe")))
+        free = stable(first.join(maybe, ["archive_id", "hash"], "left").filter("maybe IS NULL OR maybe >= arrival")
+                      .select(*key, *_SOURCE_FIELDS, F.col("arrival").cast("long").alias("since")))
+        settled = stable(settled.unionByName(free))
+        open_ids = stable(open_ids.join(first, key, "left_semi").join(free, key, "left_anti"))
+    made = settled.filter("since IS NOT NULL").withColumnRenamed("since", "arrival")
+    return made, judged(settled).select("archive_id", "arrival", "reason")
+
+
 def ingest(batch: DataFrame, evidence: DataFrame, sources: DataFrame, log: DataFrame | None = None,
            certificates: DataFrame | None = None, namespace: str = schemas.NAMESPACE) -> Ingested:
     """New rows for every table from a batch of hashed files.
 
     ``batch``: ``archive_id, arrival, path, hash, size_bytes, source_id,
-    ingested_by, ingested_at`` and any of the optional columns. Known evidence is
-    skipped; of copies in the batch the first arrival wins. A source not stored
-    yet is created by its first row that brings name, kind and authority; rows
-    that contradict it, or come without it, are rejected, as are rows whose
-    certificate is missing, altered or made for another blob. Sources are settled
-    before copies inside the batch are dropped.
+    ingested_by, ingested_at`` and any of the optional columns; ``arrival`` is unique in
+    an archive. Rows are judged as if they came one by one: a certificate that is
+    missing, altered or made for another blob refuses its row, even of known content;
+    known content, stored or accepted earlier in the batch, is left alone; else a source
+    not stored yet is created by a row that brings name, kind and authority, and a row
+    that contradicts its source, or comes before there is one, is rejected.
     """
     for c in _OPTIONAL:
         if c not in batch.columns:
             batch = batch.withColumn(c, F.lit(None).cast("string"))
     rows = (batch.withColumn("kind", F.coalesce("kind", ids.infer_kind(F.col("path"), F.col("mime_type"))))
-            .withColumn("mime_type", F.coalesce("mime_type", ids.infer_mime(F.col("kind"))))
-            .join(evidence.select("archive_id", "hash"), ["archive_id", "hash"], "left_anti"))
-
-    # Sources: stored ones, then the first complete mention of each new one.
-    mention = rows.select("archive_id", "arrival", F.col("source_id").alias("id"),
-                          F.col("source_kind").alias("kind"), F.col("source_name").alias("name"),
-                          F.col("source_authority").alias("authority"),
-                          F.col("source_jurisdiction").alias("jurisdiction"),
-                          F.col("source_license").alias("license"))
-    stored = sources.select("archive_id", "id", "kind", "name", "authority", "jurisdiction", "license")
-    complete = mention.filter("name IS NOT NULL AND kind IS NOT NULL AND authority IS NOT NULL").join(
-        stored, ["archive_id", "id"], "left_anti")
-    created = chains.dedupe_first(complete, ["archive_id", "id"], ["arrival"])
-    all_sources = stored.withColumn("since", F.lit(None).cast("long")).unionByName(
-        created.select(*stored.columns, F.col("arrival").cast("long").alias("since")))
-
-    resolved = mention.join(
-        all_sources.select("archive_id", "id", "since", F.struct(
-            "name", "kind", "authority", "jurisdiction", "license").alias("old")),
-        ["archive_id", "id"], "left")
-    clashes = [F.coalesce(F.col(f).isNotNull() & ~F.col(f).eqNullSafe(F.col(f"old.{f}")), F.lit(False))
-               for f in ("name", "kind", "authority", "jurisdiction", "license")]
-    clash = clashes[0] | clashes[1] | clashes[2] | clashes[3] | clashes[4]
-    reason = (F.when(F.col("old").isNull() | (F.col("since") > F.col("arrival")), F.lit("source_unknown"))
-              .when(clash, F.lit("source_contradicted")))
-    verdict = resolved.select("archive_id", "arrival", reason.alias("reason"))
-    rows = rows.join(verdict, ["archive_id", "arrival"])
-
+            .withColumn("mime_type", F.coalesce("mime_type", ids.infer_mime(F.col("kind")))))
     if certificates is not None:
         held = joins.certificate_binding(rows.filter("certificate_hash IS NOT NULL"), certificates)
-        rows = rows.join(held.distinct(), ["archive_id", "hash", "certificate_hash"], "left").withColumn(
-            "reason", F.when(F.col("binding") != "bound", F.concat(F.lit("certificate_"), F.col("binding")))
-            .otherwise(F.col("reason"))).drop("binding")
+        rows = rows.join(held.distinct(), ["archive_id", "hash", "certificate_hash"], "left")
         facts = certificates.select(
             "archive_id", "certificate_hash", F.struct("operator_id", "captured_at", "device_id", "location",
                                                        "notes", "public_key_fingerprint",
                                                        "signature_algorithm").alias("certificate"))
     else:
+        rows = rows.withColumn("binding", F.lit(None).cast("string"))
         facts = None
+    refused = F.coalesce(F.col("binding") != "bound", F.lit(False))
+    rows = stable(rows)
+    bad = rows.filter(refused).withColumn("reason", F.concat(F.lit("certificate_"), F.col("binding")))
+    rows = rows.filter(~refused).join(evidence.select("archive_id", "hash"), ["archive_id", "hash"], "left_anti")
+    created, verdict = _settled_sources(rows, sources)
+    rows = rows.join(verdict, ["archive_id", "arrival"])
+    first = rows.filter("reason IS NULL").groupBy("archive_id", "hash").agg(F.min("arrival").alias("_accepted"))
+    # Rows after the one that brought the content change nothing, whatever their source says.
+    rows = (rows.join(first, ["archive_id", "hash"], "left").filter("_accepted IS NULL OR arrival <= _accepted")
+            .drop("_accepted").unionByName(bad).drop("binding"))
 
     rejected = rows.filter("reason IS NOT NULL").select("archive_id", "arrival", "path", "hash", "reason")
     accepted = chains.dedupe_first(rows.filter("reason IS NULL").drop("reason"), ["archive_id", "hash"], ["arrival"])

@@ -1453,7 +1453,9 @@ def _(w):
     return ingested(w).evidence.select("archive_id", "hash", "source_id", "size_bytes", "ingested_by")
 
 
-@query("gr_24_ingest_rejected", f"SELECT archive_id, doc_id AS arrival, hash, reason FROM ({_BATCH}) b WHERE reason IS NOT NULL")
+@query("gr_24_ingest_rejected", f"""SELECT b.archive_id, b.doc_id AS arrival, b.hash, b.reason FROM ({_BATCH}) b
+ LEFT JOIN ({_ACCEPTED}) a ON a.archive_id = b.archive_id AND a.hash = b.hash
+ WHERE b.reason IS NOT NULL AND (a.doc_id IS NULL OR a.doc_id > b.doc_id)""")
 def _(w):
     return ingested(w).rejected.select("archive_id", "arrival", "hash", "reason")
 

@@ -295,6 +295,30 @@ def test_ingest(spark):
         ("w", "audit_log_hash_mismatch"), ("t", "missing_audit_entry")}
 
 
+def test_ingest_goes_row_by_row(spark):
+    new, at, cert = ("N", "news_outlet", "primary"), "2026-02-03 04:05:06", "e" * 64
+    none = (None, None, None)
+    rows = batch(spark, [
+        ("x", 1, "a", H[0], 5, "s1", "op", at, *new, None),            # creates s1
+        ("x", 2, "a", H[0], 5, "s1", "op", at, "Other", *none[1:], None),  # copy of accepted content: left alone
+        ("x", 3, "a", H[0], 5, "s2", "op", at, *new, None),            # so is this one; it creates nothing
+        ("x", 4, "b", H[1], 5, "s2", "op", at, *none, None),           # s2 is still unknown
+        ("x", 5, "c", H[2], 5, "s9", "op", at, *new, cert),            # certificate missing: creates nothing
+        ("x", 6, "d", H[3], 5, "s9", "op", at, *none, None),           # unknown
+        ("x", 7, "e", H[1], 5, "s2", "op", at, *new, None),            # creates s2
+        ("x", 8, "e", H[1], 5, "s3", "op", at, *new, None),            # copy: s3 is not created here
+        ("x", 9, "f", H[3], 5, "s3", "op", at, "Name", *new[1:], None),   # but here
+        ("x", 10, "g", H[0], 5, "s1", "op", at, *none, cert)])         # a bad certificate is refused for known content too
+    stored = spark.createDataFrame([], "archive_id string, id string, kind string, name string, authority string, "
+                                       "jurisdiction string, license string")
+    certs = spark.createDataFrame([], "archive_id string, " + ddl(schemas.CERTIFICATE))
+    out = ingest.ingest(rows, spark.createDataFrame([], "archive_id string, hash string"), stored, None, certs)
+    assert {(r.hash, r.source_id) for r in out.evidence.collect()} == {(H[0], "s1"), (H[1], "s2"), (H[3], "s3")}
+    assert {(r.arrival, r.reason) for r in out.rejected.collect()} == {
+        (4, "source_unknown"), (5, "certificate_missing"), (6, "source_unknown"), (10, "certificate_missing")}
+    assert {(r.id, r.name) for r in out.sources.collect()} == {("s1", "N"), ("s2", "N"), ("s3", "Name")}
+
+
 def test_upsert(spark):
     schema = "archive_id string, row_id string, row_hash string, v string"
     stored = spark.createDataFrame([("x", "a", "h1", "old"), ("x", "b", "h2", "old")], schema)
