@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provlens import schemas
 from provlens.functions import canonical as canon
 from provlens.functions.ordered import sequenced
-from provlens.session import stable
+from provlens.session import ensure_checkpoint_dir, stable
 
 # Entries per window group; one log spreads over many groups.
 SPAN = 1 << 16
@@ -157,18 +159,22 @@ def fold_chain(texts: DataFrame, heads: DataFrame | None = None, round_rows: int
     may give the ``start_hash`` of every archive. A chain is sequential, so what is
     left per entry is one digest, fed row by row. A long chain advances
     ``round_rows`` entries per round and each round is written before the next, so
-    losing an executor costs at most one round.
+    losing an executor costs at most one round. Texts are written once, a folder per
+    round, so a round reads its own rows only.
     """
     spark = texts.sparkSession
     texts = texts.select("archive_id", "position", "left", "right")
-    last = texts.agg(F.max("position").alias("m")).first()["m"]
-    if last is not None and last >= round_rows:
-        texts = stable(texts)
+    path = f"{ensure_checkpoint_dir(spark)}/texts-{uuid.uuid4().hex}"
+    (texts.withColumn("_round", F.floor(F.col("position") / round_rows).cast("long"))
+     .write.partitionBy("_round").parquet(path))
+    written = spark.read.schema(T.StructType([*texts.schema.fields, T.StructField("_round", T.LongType())])).parquet(path)
+    last = written.agg(F.max("_round").alias("m")).first()["m"]
+    texts = written.drop("_round")
     if heads is None:
         heads = texts.select("archive_id").distinct().withColumn("start_hash", F.lit(schemas.ZERO_HASH))
     done: list[DataFrame] = []
-    for start in range(0, (last if last is not None else -1) + 1, round_rows):
-        part = texts.filter((F.col("position") >= start) & (F.col("position") < start + round_rows))
+    for number in range((last if last is not None else -1) + 1):
+        part = spark.read.schema(texts.schema).parquet(f"{path}/_round={number}")
         # Heads travel as rows in front of their archive. A join would leave rows hash
         # partitioned already, Spark would then drop the repartition, and a skewed join
         # could deal one archive out to several tasks.

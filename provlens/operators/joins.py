@@ -96,7 +96,9 @@ def coverage(entries: DataFrame, manifests: DataFrame, witnesses: DataFrame | No
     ``entries`` has ``archive_id, hash, seq``. Instead of pairing every entry with
     every covering manifest, both are laid on one line by descending count and the
     manifests already passed are counted: the answer is the number of covering
-    manifests and the earliest of them by sequence. ``witnesses`` (``archive_id,
+    manifests, the earliest of them by sequence, and the smallest
+    ``audit_entry_count`` among them (``least_count``), which names the whole set: it
+    is the manifests with at least that count. ``witnesses`` (``archive_id,
     sequence, witness_count``) adds the witnesses of the covering manifests.
     """
     if witnesses is None:
@@ -109,28 +111,29 @@ def coverage(entries: DataFrame, manifests: DataFrame, witnesses: DataFrame | No
     marks = manifests.select("archive_id", (-F.col("audit_entry_count")).alias("line"),
                              F.lit(1).alias("side"), F.lit("").alias("hash"),
                              F.lit(None).cast("long").alias("seq"), F.lit(1).alias("one"),
-                             "witness_count", kept.alias("first"))
+                             "witness_count", kept.alias("first"), F.col("audit_entry_count").cast("long").alias("audit_entry_count"))
     points = entries.select("archive_id", (-F.col("seq")).alias("line"), F.lit(0).alias("side"),
                             "hash", F.col("seq").cast("long").alias("seq"), F.lit(0).alias("one"),
                             F.lit(0).cast("long").alias("witness_count"))
     both = marks.unionByName(points, allowMissingColumns=True)
     out = (running(both, ["archive_id"], ["line", "side", "hash", "first"],
                    {"covering": ("sum", "one"), "seen_by": ("sum", "witness_count"),
-                    "earliest": ("min", "first")})
+                    "earliest": ("min", "first"), "least_count": ("min", "audit_entry_count")})
            .filter(F.col("side") == 0)
            .select("archive_id", "hash", "seq", F.col("covering").alias("covering_manifests"),
                    F.col("seen_by").alias("covering_witnesses"),
                    F.col("earliest.sequence").alias("first_sequence"),
                    F.col("earliest.manifest_hash").alias("first_manifest_hash"),
-                   F.col("earliest.signed_at").alias("first_signed_at")))
+                   F.col("earliest.signed_at").alias("first_signed_at"), "least_count"))
     return out.drop("covering_witnesses") if witnesses is None else out
 
 
-def covering_manifests(entries: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Every covering manifest of the given entries, for looking up a few records."""
+def covering_manifests(entries: DataFrame, manifests: DataFrame, records: list[tuple[str, str]]) -> DataFrame:
+    """Every covering manifest of the given records (archive id and hash), to look up a few."""
     kept = manifests.select("archive_id", "sequence", "manifest_hash", "signed_at", "operator_id",
                             "public_key_fingerprint", "audit_entry_count", "audit_chain_head_hash")
-    return (entries.select("archive_id", "hash", "seq").join(kept, "archive_id")
+    wanted = F.struct("archive_id", "hash").isin([F.struct(F.lit(a), F.lit(h)) for a, h in records])
+    return (entries.select("archive_id", "hash", "seq").filter(wanted).join(kept, "archive_id")
             .filter(F.col("audit_entry_count") > F.col("seq")))
 
 

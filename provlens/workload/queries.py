@@ -313,7 +313,7 @@ def _(w):
 
 @query("join_6_coverage", """SELECT i.archive_id, i.hash, i.seq, count(m.sequence) AS covering_manifests,
  min(m.sequence) AS first_sequence, arg_min(m.manifest_hash, m.sequence) AS first_manifest_hash,
- min(m.signed_at) AS first_signed_at FROM ilog i LEFT JOIN man m ON m.archive_id = i.archive_id
+ min(m.signed_at) AS first_signed_at, min(m.audit_entry_count) AS least_count FROM ilog i LEFT JOIN man m ON m.archive_id = i.archive_id
  AND m.audit_entry_count > i.seq GROUP BY 1, 2, 3""")
 def _(w):
     entries = joins.audit_entry_of(w.evidence, w.ingest_log)

@@ -339,8 +339,11 @@ def test_coverage_with_counts_out_of_order(spark):
     for seq in range(6):
         cover = [s for s, n in counts if n > seq]
         assert got[seq] == (len(cover), min(cover) if cover else None)
-    pairs = {(r.seq, r.sequence) for r in joins.covering_manifests(entries, manifests).collect()}
-    assert pairs == {(i, s) for i in range(6) for s, n in counts if n > i}
+    least = {r.seq: r.least_count for r in joins.coverage(entries, manifests).collect()}
+    assert all(least[i] == min((n for _, n in counts if n > i), default=None) for i in range(6))
+    some = [(r.archive_id, r.hash) for r in entries.filter("seq < 4").collect()]
+    pairs = {(r.seq, r.sequence) for r in joins.covering_manifests(entries, manifests, some).collect()}
+    assert pairs == {(i, s) for i in range(4) for s, n in counts if n > i}
 
 
 def test_compare_archives_certificates(spark):
