@@ -251,9 +251,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     named = groups.join(texts.select("node", "first"), "node").groupBy("label").agg(
         F.min(F.struct(F.col("first").isNotNull().alias("k"), "first"))["first"].alias("class_id"))
     placed = groups.join(named, "label").select("node", "class_id", F.lit(True).alias("_grouped"))
-    whole = (texts.select("node", "first", "copies").join(placed, "node", "left").join(linked, "node", "left")
-             .select("node", F.when(F.col("_grouped"), F.col("class_id")).otherwise(F.col("first")).alias("class_id"),
-                     (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    # Written, so that the join below deals both sides anew and can split a text with many copies.
+    whole = landed(texts.select("node", "first", "copies").join(placed, "node", "left").join(linked, "node", "left")
+                   .select("node", F.when(F.col("_grouped"), F.col("class_id")).otherwise(F.col("first")).alias("class_id"),
+                           (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
     own = rows.filter("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return (rows.filter("node IS NOT NULL").select("doc_id", "node").join(whole, "node")
             .select("doc_id", "class_id", "n_links").union(own))
