@@ -196,7 +196,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     near = components(members.join(buckets, "band").select(F.col("node").alias("u"), "v"))
 
     info = near.join(texts.select("node", "first", "copies", "n"), "node")
-    parts = info.groupBy("label").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_TEXTS)).alias("parts"))
+    # Written, like the names below, so that the join deals both sides anew and can split a large neighbourhood.
+    parts = landed(info.groupBy("label").agg(
+        F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_TEXTS)).alias("parts")), "parts")
     dealt = info.join(parts, "label").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))) \
         .withColumnRenamed("first", "_id")
     needed = least_matches(threshold, tolerance)
@@ -248,8 +250,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     found = landed(meeting.groupBy("label", "low", "high").applyInArrow(meet, "node binary, root binary, links long"), "met")
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    named = groups.join(texts.select("node", "first"), "node").groupBy("label").agg(
-        F.min(F.struct(F.col("first").isNotNull().alias("k"), "first"))["first"].alias("class_id"))
+    named = landed(groups.join(texts.select("node", "first"), "node").groupBy("label").agg(
+        F.min(F.struct(F.col("first").isNotNull().alias("k"), "first"))["first"].alias("class_id")), "names")
     placed = groups.join(named, "label").select("node", "class_id", F.lit(True).alias("_grouped"))
     # Written, so that the join below deals both sides anew and can split a text with many copies.
     whole = landed(texts.select("node", "first", "copies").join(placed, "node", "left").join(linked, "node", "left")
