@@ -7,7 +7,7 @@ a chunk meets its texts again without moving them:
    of the sketch. A band merges what all chunks sent and answers each chunk which of its
    cells are counted more than once.
 2. A chunk's windows whose every cell is counted twice or more are estimated repeated. Only
-   those are grouped, by 128 bits of hash, to find the smallest document of each.
+   those are grouped, by 96 bits of hash, to find the smallest document of each.
 3. A chunk marks the words that its later copies cover and writes what is left.
 
 A sketch counts too much at worst, so no repeated window is lost; its width follows the
@@ -30,7 +30,7 @@ WINDOW = 13  # words
 DEPTH = 2  # rows of the sketch
 CELLS_A_WINDOW = 8
 BAND_CELLS = 1 << 21  # cells that chunks send to one band, about
-CHUNK_BITS = 12  # documents of a chunk, as a power of two
+CHUNK_BITS = 11  # documents of a chunk, as a power of two
 _ROW_SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1)
 _NULL_ID = -(1 << 63)
 
@@ -99,6 +99,10 @@ def _bands(cells: np.ndarray, bits: int, band_bits: int) -> list[tuple[int, int,
     return [(int(band[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:]) if b > a]
 
 
+def _half(hashes: np.ndarray) -> np.ndarray:
+    return hashes.astype(np.uint32).view(np.int32)
+
+
 def _ids(column: pa.ChunkedArray) -> np.ndarray:
     return np.array([_NULL_ID if v is None else v for v in column.to_pylist()], np.int64)
 
@@ -160,7 +164,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                         ["_chunk", "band", "bits"])
 
     def candidates(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        empty = pa.table({"k1": pa.array([], pa.int64()), "k2": pa.array([], pa.int64()), "_chunk": pa.array([], pa.int64()),
+        empty = pa.table({"k1": pa.array([], pa.int64()), "k2": pa.array([], pa.int32()), "_chunk": pa.array([], pa.int64()),
                           "low": pa.array([], pa.int64()), "high": pa.array([], pa.int64())})
         if not chunk.num_rows:
             return empty
@@ -174,7 +178,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 if (data := said.get(r << band_bits | band)) is not None:
                     repeated[a:b] |= np.unpackbits(np.frombuffer(data, np.uint8), count=b - a).astype(bool)
             often &= repeated[place]
-        k1, k2 = own.hashes[0][often].view(np.int64), own.hashes[1][often].view(np.int64)
+        k1, k2 = own.hashes[0][often].view(np.int64), _half(own.hashes[1][often])
         ids = _ids(chunk.column("_id"))[own.owner[often]]
         if not len(ids):
             return empty
@@ -183,8 +187,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         new = np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]
         begin = np.flatnonzero(new)
         end = np.r_[begin[1:], len(ids)] - 1
+        # The largest id only where it is another one: nulls cost next to nothing to send.
         return pa.table({"k1": k1[begin], "k2": k2[begin], "_chunk": np.full(len(begin), key[0].as_py(), np.int64),
-                         "low": ids[begin], "high": ids[end]})
+                         "low": ids[begin], "high": pa.array(ids[end], mask=ids[end] == ids[begin])})
 
     schema = T.StructType([*docs.schema.fields, T.StructField("kept_text", T.StringType()),
                            T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
@@ -194,11 +199,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         chunk = chunk.select(docs_columns)
         if verdicts.num_rows:
             own = Chunk(texts, window, 2)
-            k1, k2 = (verdicts.column(c).to_numpy() for c in ("k1", "k2"))
+            k1, k2 = (verdicts.column(c).to_numpy().astype(np.int64) for c in ("k1", "k2"))
             order = np.lexsort((k2, k1))
             both = np.stack([k1, k2], axis=1)[order].copy().view([("a", np.int64), ("b", np.int64)]).ravel()
             first = verdicts.column("first").to_numpy()[order]
-            mine = np.stack([own.hashes[0].view(np.int64), own.hashes[1].view(np.int64)], axis=1)
+            mine = np.stack([own.hashes[0].view(np.int64), _half(own.hashes[1]).astype(np.int64)], axis=1)
             near = np.flatnonzero(np.isin(mine[:, 0], k1))
             mine = mine[near].copy().view([("a", np.int64), ("b", np.int64)]).ravel()
             at = np.minimum(np.searchsorted(both, mine), len(both) - 1)
@@ -226,10 +231,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     sent = texts.groupBy("_chunk").applyInArrow(send, "band long, chunk long, width long, cells binary")
     answers = sent.groupBy("band").applyInArrow(merge, "_chunk long, band long, bits binary")
     found = texts.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(
-        candidates, "k1 long, k2 long, _chunk long, low long, high long")
+        candidates, "k1 long, k2 int, _chunk long, low long, high long")
     # A chunk has one row per window however often it occurs there, so no window is a hot key.
     verdicts = (found.withColumn("first", F.min("low").over(Window.partitionBy("k1", "k2")))
-                .filter("high > first").select("_chunk", "k1", "k2", "first"))
+                .filter("coalesce(high, low) > first").select("_chunk", "k1", "k2", "first"))
     return table.groupBy("_chunk").cogroup(verdicts.groupBy("_chunk")).applyInArrow(remove, schema)
 
 
