@@ -71,7 +71,7 @@ def kept(key: tuple, make: Callable[[], Any]) -> Any:
     return store[key]
 
 
-_USUAL = 1 << 20
+_USUAL = 1 << 19
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -142,7 +142,7 @@ def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return data, starts, ends, np.searchsorted(starts, begins)
 
 
-def slices(texts: list[str | None], limit: int = 500_000) -> list[tuple[int, int]]:
+def slices(texts: list[str | None], limit: int = 250_000) -> list[tuple[int, int]]:
     """Cut a list of texts into runs of about ``limit`` characters, a text at least."""
     out, begin, size = [], 0, 0
     for i, t in enumerate(texts):
@@ -166,7 +166,7 @@ class Encoder:
 
     MARKS = b".,;:!?"
 
-    def __init__(self, path: str, keep: int = 3 << 17) -> None:
+    def __init__(self, path: str, keep: int = 1 << 18) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
