@@ -29,8 +29,9 @@ from pyspark.sql import types as T
 from provlens.llm.common import shared_path, shuffle_width
 
 BLANK = "▁"  # fixed value: stands for a space in pieces
-CHUNK_BITS = 13
+CHUNK_BITS = 11
 BYTE_SCORE = -1e6  # of a character written as bytes, below any piece
+_CUT = re.compile(f"[\n\t\r]|{BLANK}+[^{BLANK}\n\t\r]*|[^{BLANK}\n\t\r]+")
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,7 @@ class Pieces:
         return cls(rows, bytes_at, max(len(p) for p, _, _ in rows), texts, _ranks_merges(path))
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "piece string, id int, score double")
+        return spark.createDataFrame([*self.rows, ("", -1, 0.0)], "piece string, id int, score double")
 
 
 def _ranks_merges(path: str) -> bool:
@@ -76,22 +77,7 @@ def cut(text: str) -> list[str]:
 
     Line breaks and tabs are words of their own. Put end to end, the words are the text.
     """
-    if not text:
-        return []
-    out: list[str] = []
-    for line in re.split(r"([\n\t\r])", BLANK + text.replace(" ", BLANK)):
-        if not line:
-            continue
-        if line in ("\n", "\t", "\r"):
-            out.append(line)
-            continue
-        at = 0
-        for i in range(1, len(line)):
-            if line[i] == BLANK and line[i - 1] != BLANK:
-                out.append(line[at:i])
-                at = i
-        out.append(line[at:])
-    return out
+    return _CUT.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
 
 def word_ids(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -103,19 +89,19 @@ def word_ids(words: DataFrame, pieces: Pieces) -> DataFrame:
     spark = words.sparkSession
     n = F.length("word")
     starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("begin"))
-    edges = starts.select("word", "begin", F.explode(F.sequence(F.col("begin") + 1, F.least(
-        F.col("begin") + pieces.longest, F.length("word")))).alias("end")) \
+    # The empty substring in front of each word matches an empty piece, so no word is lost.
+    edges = starts.select("word", "begin", F.explode(F.sequence(
+        F.when(F.col("begin") == 0, 0).otherwise(F.col("begin") + 1),
+        F.least(F.col("begin") + pieces.longest, F.length("word")))).alias("end")) \
         .withColumn("piece", F.expr("substring(word, begin + 1, end - begin)"))
     known = edges.join(F.broadcast(pieces.frame(spark)), "piece").select("word", "begin", "end", "id", "score")
     grouped = known.groupBy("word").agg(F.collect_list(F.struct(
         "score", (-F.col("begin")).alias("left"), "end", "id")).alias("edges"))
-    # Words without any edge are made of bytes alone.
-    every = words.join(grouped, "word", "left").select("word", F.coalesce("edges", F.expr(f"CAST(array() AS {_EDGES})")).alias("edges"))
     bounds = (_merged if pieces.merges else _viterbi)("word", F.col("edges"))
-    return every.select("word", _ids(bounds, F.col("edges"), "word", pieces).alias("ids"))
+    return grouped.select("word", _ids(bounds, F.col("edges"), "word", pieces).alias("ids"))
 
 
-_EDGES = "array<struct<score: double, left: int, end: int, id: int>>"  # left is minus the beginning
+# An edge is a struct of score, left (minus the beginning), end and id: the greatest is the best, leftmost first.
 
 
 def _viterbi(word: str, edges: Column) -> Column:
@@ -142,6 +128,30 @@ def _viterbi(word: str, edges: Column) -> Column:
     return F.transform(F.array(back), walk)[0]
 
 
+SHORT = 60  # characters of a word whose boundaries fit in the bits of a long
+
+
+def _merged_short(word: str, edges: Column) -> Column:
+    """As :func:`_merged`, with the boundaries as bits: an edge is open if both its ends and one place inside are set."""
+    one = F.lit(1).cast("long")
+    bit = lambda p: F.call_function("shiftleft", one, p)
+    masked = F.transform(F.filter(edges, lambda e: e["end"] + e["left"] > 1), lambda e: F.struct(
+        e["score"].alias("score"), e["left"].alias("left"),
+        bit(e["end"]).bitwiseOR(bit(-e["left"])).alias("ends"), (bit(e["end"]) - bit(1 - e["left"])).alias("inner")))
+
+    def fold(long_edges: Column) -> Column:
+        def step(bounds: Column, _: Column) -> Column:
+            best = F.array_max(F.filter(long_edges, lambda e: (bounds.bitwiseAND(e["ends"]) == e["ends"])
+                                        & (F.bit_count(bounds.bitwiseAND(e["inner"])) == 1)))
+            return F.coalesce(bounds.bitwiseAND(F.bitwise_not(best["inner"])), bounds)
+
+        return F.aggregate(F.sequence(F.lit(0), F.least(F.length(word), F.size(long_edges))),
+                           bit(F.length(word) + 1) - 1, step)
+
+    spread = lambda mask: F.filter(F.sequence(F.lit(0), F.length(word)), lambda p: mask.bitwiseAND(bit(p)) != 0)
+    return F.transform(F.array(F.transform(F.array(masked), fold)[0]), spread)[0]
+
+
 def _merged(word: str, edges: Column) -> Column:
     """Boundaries after merging: always the edge of the highest score over two symbols, leftmost first."""
 
@@ -153,8 +163,9 @@ def _merged(word: str, edges: Column) -> Column:
             F.filter(bounds, lambda p: (p <= -x["left"]) | (p >= x["end"]))))[0]
 
     longer = F.size(F.filter(edges, lambda e: e["end"] + e["left"] > 1))
-    return F.aggregate(F.sequence(F.lit(1), F.when(longer == 0, 1).otherwise(F.length(word))),
-                       F.sequence(F.lit(0), F.length(word)), step)
+    return F.when(F.length(word) <= SHORT, _merged_short(word, edges)).otherwise(
+        F.aggregate(F.sequence(F.lit(1), F.when(longer == 0, 1).otherwise(F.length(word))),
+                    F.sequence(F.lit(0), F.length(word)), step))
 
 
 def _ids(bounds: Column, edges: Column, word: str, pieces: Pieces) -> Column:
@@ -191,13 +202,13 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     table = spark.table(name)
 
     def vocabulary(key: tuple, chunk: pa.Table) -> pa.Table:
-        found = sorted({w for t in chunk.column("_text").to_pylist() if t for w in set(cut(t))})
+        found = sorted(set().union(*(cut(t) for t in chunk.column("_text").to_pylist() if t)))
         return pa.table([pa.array([key[0].as_py()] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()),
                          pa.array(found, pa.string())], ["_chunk", "number", "word"])
 
     def put(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
         texts = chunk.column("_text").to_pylist()
-        found = sorted({w for t in texts if t for w in set(cut(t))})
+        found = sorted(set().union(*(cut(t) for t in texts if t)))
         ids: list[bytes] = [b""] * len(found)
         for i, x in zip(answers.column("number").to_pylist(), answers.column("ids").to_pylist()):
             ids[i] = np.array(x, "<i4").tobytes()
@@ -206,10 +217,12 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         return pa.table([chunk.column("_id"), pa.array([len(m) // 4 for m in made], pa.int64()), pa.array(made, pa.binary())],
                         [id_col, "n_tokens", "ids"])
 
-    # The same exchange deals the words for encoding and for sending their ids back.
+    # One exchange deals the words both for encoding and for sending their ids back; that needs the
+    # same columns on either side, so the words are grouped with the least of the others, and those kept.
     sent = table.groupBy("_chunk").applyInArrow(vocabulary, "_chunk long, number int, word string") \
         .repartition(shuffle_width(spark), "word")
-    known = word_ids(sent.select("word").distinct(), pieces)
+    different = sent.groupBy("word").agg(F.min("_chunk").alias("c"), F.min("number").alias("n")).filter("c >= 0 AND n >= 0")
+    known = word_ids(different.select("word"), pieces)
     answers = sent.join(known.hint("shuffle_hash"), "word").select("_chunk", "number", "ids")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids", T.BinaryType())])

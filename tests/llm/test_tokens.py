@@ -113,7 +113,8 @@ def test_sentencepiece_equals_the_library_and_comes_back(spark, documents):
 
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rows = [(d, t) for d, t in documents if t is None or len(t) < 3000]
-    rows += [(200, "a  b   c\n\td ☃ 😀x ́ "), (201, "\n"), (202, " lead and trail ")]
+    rows += [(200, "a  b   c\n\td ☃ 😀x ́ "), (201, "\n"), (202, " lead and trail "),
+             (203, "internationalization" * 8 + " " + "the" * 21), (204, "a" * 61 + " " + "b" * 62 + " " + "ab" * 31)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     out = lattice.decode(lattice.encode(df, MODEL), MODEL).collect()
     key = lambda r: (r[0] is not None, r[0], r[1])
