@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from provlens.llm.common import shared_path, shuffle_width
 
 BLANK = "▁"  # fixed value: stands for a space in pieces
-CHUNK_BITS = 11
+CHUNK_BITS = 12
 BYTE_SCORE = -1e6  # of a character written as bytes, below any piece
 _CUT = re.compile(f"[\n\t\r]|{BLANK}+[^{BLANK}\n\t\r]*|[^{BLANK}\n\t\r]+")
 
@@ -220,7 +220,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     # One exchange deals the words both for encoding and for sending their ids back; that needs the
     # same columns on either side, so the words are grouped with the least of the others, and those kept.
     sent = table.groupBy("_chunk").applyInArrow(vocabulary, "_chunk long, number int, word string") \
-        .repartition(shuffle_width(spark), "word")
+        .repartition(4 * shuffle_width(spark), "word")  # a word's edges take up some twenty times its room
     different = sent.groupBy("word").agg(F.min("_chunk").alias("c"), F.min("number").alias("n")).filter("c >= 0 AND n >= 0")
     known = word_ids(different.select("word"), pieces)
     answers = sent.join(known.hint("shuffle_hash"), "word").select("_chunk", "number", "ids")
