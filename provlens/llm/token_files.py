@@ -5,7 +5,7 @@ A shard is one file. All numbers are little-endian:
 ====================  =====================================================
 ``RPR1``              fixed mark
 8 x u64               part, shard in the part, documents, symbols, rules, first rule id,
-                      bytes of a symbol (2 or 4), tokens
+                      bytes of a symbol (2, 3 or 4), tokens
 i64 per document      ids of documents
 u8 per document       1 if the id is null
 u64 per document + 1  where a document's symbols start
@@ -38,53 +38,49 @@ _HEAD = "<4s8Q"
 # --- grammar -------------------------------------------------------------------------------
 
 
-def compress(tokens: np.ndarray, end_id: int, first_rule: int, rounds: int = 4, rules: int = 256,
+def compress(tokens: np.ndarray, end_id: int, first_rule: int,
              least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (left, right) and their expansion lengths.
 
-    Every round counts neighbours, turns the ``rules`` most frequent pairs (at least
-    ``least`` times) into nonterminals and replaces them from left to right; later
-    rounds build on earlier nonterminals. ``end_id`` enters no rule.
+    Every round counts neighbours, turns all pairs that occur at least ``least`` times
+    into nonterminals and replaces them from left to right; later rounds build on earlier
+    nonterminals, until no pair occurs so often. ``end_id`` enters no rule.
     """
     symbols = tokens.astype(np.int64)
-    made: list[tuple[int, int]] = []
-    top = first_rule + rounds * rules
-    sizes = np.ones(top, np.int64)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        key = symbols[:-1] * top + symbols[1:]
+    sides = np.zeros((0, 2), np.int64)
+    sizes = np.zeros(0, np.int64)
+    while len(symbols) > 1:
+        key = symbols[:-1] << 32 | symbols[1:]
         free = (symbols[:-1] != end_id) & (symbols[1:] != end_id)
-        # Frequent pairs lie in heavy bins; only what lies in those is counted exactly.
-        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
-        slot[~free] = 1 << 18
-        weight = np.bincount(slot, minlength=(1 << 18) + 1)
+        # A frequent pair's bin is heavy; only what lies in heavy bins is counted exactly.
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+        slot[~free] = 1 << 20
+        weight = np.bincount(slot, minlength=(1 << 20) + 1)
         weight[-1] = 0
-        heavy = np.zeros(len(weight), bool)
-        heavy[np.argpartition(weight, -2 * rules)[-2 * rules:]] = True
-        heavy &= weight >= least
-        at = np.flatnonzero(heavy[slot])
+        at = np.flatnonzero((weight >= least)[slot])
         pairs, where, counts = np.unique(key[at], return_inverse=True, return_counts=True)
-        order = np.lexsort((pairs, -counts))[:rules]
-        order = order[counts[order] >= least]
-        if not len(order):
+        often = (counts >= least)[where]
+        at, where = at[often], where[often]
+        if not len(at):
             break
-        name = np.full(len(pairs), -1, np.int64)
-        name[order] = first_rule + len(made) + np.arange(len(order))
-        hit = name[where]
-        at, hit = at[hit >= 0], hit[hit >= 0]
         # Of pairs that overlap, take every other one from the left.
         new_run = np.r_[True, np.diff(at) != 1]
         nth = np.arange(len(at)) - np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-        at, hit = at[nth % 2 == 0], hit[nth % 2 == 0]
-        for p in pairs[order].tolist():
-            left, right = divmod(p, top)
-            sizes[first_rule + len(made)] = sizes[left] + sizes[right]
-            made.append((left, right))
-        symbols[at] = hit
+        at, where = at[nth % 2 == 0], where[nth % 2 == 0]
+        used = np.bincount(where, minlength=len(pairs)) > 0  # overlaps may leave a pair no place
+        symbols[at] = (first_rule + len(sides) + np.cumsum(used) - 1)[where]
         symbols = np.delete(symbols, at + 1)
-    sides = np.array(made, np.int64).reshape(-1, 2)
-    return symbols, sides, sizes[first_rule:first_rule + len(made)]
+        new = np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], 1)
+        sizes = np.r_[sizes, _widths(new, sizes, first_rule).sum(1)]
+        sides = np.r_[sides, new]
+    return symbols, sides, sizes
+
+
+def _widths(symbols: np.ndarray, sizes: np.ndarray, first_rule: int) -> np.ndarray:
+    """Tokens that each symbol expands to."""
+    if not len(sizes):
+        return np.ones(symbols.shape, np.int64)
+    return np.where(symbols >= first_rule, sizes[np.maximum(symbols - first_rule, 0)], 1)
 
 
 def _expansions(sides: np.ndarray, sizes: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,20 +104,17 @@ def _expansions(sides: np.ndarray, sizes: np.ndarray, first_rule: int) -> tuple[
 def pack_shard(part: int, number: int, doc_ids: list[int | None], lengths: list[int], tokens: np.ndarray,
                end_id: int, first_rule: int, **how: int) -> bytes:
     symbols, sides, sizes = compress(tokens, end_id, first_rule, **how)
-    kind = "<u2" if first_rule + len(sides) <= 1 << 16 else "<u4"
+    width = next(n for n in (2, 3, 4) if first_rule + len(sides) <= 1 << 8 * n)
     # Each document ends with the end id, which is never replaced; so its symbols end there too.
     ends = np.zeros(len(doc_ids) + 1, np.int64)
-    if len(sides):
-        wide = np.where(symbols >= first_rule, sizes[np.maximum(symbols - first_rule, 0)], 1)
-    else:
-        wide = np.ones(len(symbols), np.int64)
+    wide = _widths(symbols, sizes, first_rule)
     ends[1:] = np.searchsorted(np.cumsum(wide), np.cumsum(lengths)) + 1
     head = struct.pack(_HEAD, MARK, part, number, len(doc_ids), len(symbols), len(sides), first_rule,
-                      np.dtype(kind).itemsize, len(tokens))
+                      width, len(tokens))
     return b"".join([
         head, np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
         np.array([d is None for d in doc_ids], "u1").tobytes(), ends.astype("<u8").tobytes(),
-        sides.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), symbols.astype(kind).tobytes()])
+        sides.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), symbols.astype("<u4").view("u1").reshape(-1, 4)[:, :width].tobytes()])
 
 
 class Shard:
@@ -145,14 +138,11 @@ class Shard:
         self.starts = take("<u8", n + 1).astype(np.int64)
         self.sides = take("<u4", 2 * n_rules).reshape(-1, 2).astype(np.int64)
         self.sizes = take("<u4", n_rules).astype(np.int64)
-        self.symbols = take(f"<u{width}", n_symbols)
+        wide = np.zeros((n_symbols, 4), "u1")
+        wide[:, :width] = take("u1", n_symbols * width).reshape(-1, width)
+        self.symbols = wide.view("<u4").ravel()
         self.flat, self.flat_starts = _expansions(self.sides, self.sizes, self.first_rule)
 
-    def _widths(self, symbols: np.ndarray) -> np.ndarray:
-        if not len(self.sizes):
-            return np.ones(len(symbols), np.int64)
-        return np.where(symbols >= self.first_rule, self.sizes[np.maximum(symbols - self.first_rule, 0)], 1)
-
     def _expand(self, symbols: np.ndarray, widths: np.ndarray) -> np.ndarray:
         if not len(symbols):
             return np.zeros(0, np.int64)
@@ -169,7 +159,7 @@ class Shard:
     def document(self, i: int, begin: int = 0, end: int | None = None) -> np.ndarray:
         """Token ids ``begin:end`` of the i-th document; only symbols that reach in are expanded."""
         symbols = self.symbols[self.starts[i]:self.starts[i + 1]].astype(np.int64)
-        widths = self._widths(symbols)
+        widths = _widths(symbols, self.sizes, self.first_rule)
         stops = np.cumsum(widths)
         end = int(stops[-1]) if end is None else min(end, int(stops[-1]))
         if begin >= end:
@@ -181,7 +171,7 @@ class Shard:
     def all(self) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the whole shard, and where each document ends."""
         symbols = self.symbols.astype(np.int64)
-        widths = self._widths(symbols)
+        widths = _widths(symbols, self.sizes, self.first_rule)
         stops = np.r_[0, np.cumsum(widths)]
         return self._expand(symbols, widths), stops[self.starts[1:]]
 

@@ -108,6 +108,30 @@ def test_shard_random_access_and_grammar():
     assert whole.tolist() == np.concatenate(parts).tolist() and ends.tolist() == np.cumsum([len(p) for p in parts]).tolist()
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(2)
+    common_pairs = rng.permutation(8000).reshape(-1, 2) + 2  # more pairs than any one round of few could take
+    phrase = rng.integers(2, 8002, 100)
+    texts = [np.r_[common_pairs[rng.permutation(4000)].ravel(), phrase, 1] for _ in range(20)]
+    tokens = np.concatenate(texts)
+    symbols, sides, sizes = token_files.compress(tokens, 1, 8002)
+    free = (symbols[:-1] != 1) & (symbols[1:] != 1)
+    counts = np.unique((symbols[:-1] << 32 | symbols[1:])[free], return_counts=True)[1]
+    assert counts.max() < 16 and len(sides) > 4000 and sizes.max() > 16
+    assert len(np.unique(sides, axis=0)) == len(sides)
+    shard = token_files.Shard(token_files.pack_shard(0, 0, [*range(20)], [len(t) for t in texts], tokens, 1, 8002))
+    assert shard.all()[0].tolist() == tokens.tolist() and shard.document(7, 7990, 8050).tolist() == texts[7][7990:8050].tolist()
+
+
+@pytest.mark.parametrize("first_rule, width", [(300, 2), (1 << 16, 3), (1 << 24, 4)])
+def test_shard_with_symbols_of_any_width(first_rule, width):
+    tokens = np.array([*[5, 6, 7] * 40, 1, 8, 1])
+    data = token_files.pack_shard(0, 0, [1, 2], [121, 2], tokens, 1, first_rule)
+    shard = token_files.Shard(data + b"\n")
+    assert token_files.struct.unpack_from(token_files._HEAD, data)[7] == width and len(shard.symbols) < 40
+    assert shard.all()[0].tolist() == tokens.tolist() and shard.document(1).tolist() == [8, 1]
+
+
 def test_sentencepiece_equals_the_library_and_comes_back(spark, documents):
     import sentencepiece
 
