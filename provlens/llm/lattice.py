@@ -10,11 +10,16 @@
    another one for more than half of all words.
 4. The ids of words go back to the documents that have them.
 
+Words of more than 60 characters (text without blanks) are encoded where their text is: a fold
+over all edges takes time with the square of a word's length and more, a heap touches only a
+merge's neighbours.
+
 Characters that no piece covers become their bytes' pieces.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import uuid
 from collections.abc import Iterator
@@ -26,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provlens.llm.common import shared_path, shuffle_width
+from provlens.llm.common import kept, shared_path, shuffle_width
 
 BLANK = "▁"  # fixed value: stands for a space in pieces
 CHUNK_BITS = 12
@@ -81,7 +86,7 @@ def cut(text: str) -> list[str]:
 
 
 def word_ids(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``word, ids`` for different words (column ``word``), already dealt by word.
+    """``word, ids`` for different words (column ``word``) of at most ``SHORT`` characters, already dealt by word.
 
     The piece table has a bounded size (that of the model) and is broadcast; substrings of a
     word stay where the word is, so grouping its edges needs no shuffle.
@@ -131,8 +136,11 @@ def _viterbi(word: str, edges: Column) -> Column:
 SHORT = 60  # characters of a word whose boundaries fit in the bits of a long
 
 
-def _merged_short(word: str, edges: Column) -> Column:
-    """As :func:`_merged`, with the boundaries as bits: an edge is open if both its ends and one place inside are set."""
+def _merged(word: str, edges: Column) -> Column:
+    """Boundaries after merging: always the edge of the highest score over two symbols, leftmost first.
+
+    They are bits of a long: an edge is open if both its ends and one place inside are set.
+    """
     one = F.lit(1).cast("long")
     bit = lambda p: F.call_function("shiftleft", one, p)
     masked = F.transform(F.filter(edges, lambda e: e["end"] + e["left"] > 1), lambda e: F.struct(
@@ -149,23 +157,9 @@ def _merged_short(word: str, edges: Column) -> Column:
                            bit(F.length(word) + 1) - 1, step)
 
     spread = lambda mask: F.filter(F.sequence(F.lit(0), F.length(word)), lambda p: mask.bitwiseAND(bit(p)) != 0)
-    return F.transform(F.array(F.transform(F.array(masked), fold)[0]), spread)[0]
-
-
-def _merged(word: str, edges: Column) -> Column:
-    """Boundaries after merging: always the edge of the highest score over two symbols, leftmost first."""
-
-    def step(bounds: Column, _: Column) -> Column:
-        at = lambda p: F.array_position(bounds, p)
-        open_ = F.filter(edges, lambda e: (at(e["end"]) > 2) & (at(e["end"]) == at(-e["left"]) + 2)
-                         & F.array_contains(bounds, -e["left"]))
-        return F.transform(F.array(F.array_max(open_)), lambda x: F.when(x.isNull(), bounds).otherwise(
-            F.filter(bounds, lambda p: (p <= -x["left"]) | (p >= x["end"]))))[0]
-
-    longer = F.size(F.filter(edges, lambda e: e["end"] + e["left"] > 1))
-    return F.when(F.length(word) <= SHORT, _merged_short(word, edges)).otherwise(
-        F.aggregate(F.sequence(F.lit(1), F.when(longer == 0, 1).otherwise(F.length(word))),
-                    F.sequence(F.lit(0), F.length(word)), step))
+    bounds = F.transform(F.array(F.transform(F.array(masked), fold)[0]), spread)[0]
+    return F.when(F.length(word) <= SHORT, bounds).otherwise(
+        F.raise_error(F.lit(f"a word of more than {SHORT} characters")).cast("array<int>"))
 
 
 def _ids(bounds: Column, edges: Column, word: str, pieces: Pieces) -> Column:
@@ -185,6 +179,84 @@ def _ids(bounds: Column, edges: Column, word: str, pieces: Pieces) -> Column:
     return F.transform(F.array(bounds), spell)[0]
 
 
+def long_ids(word: str, pieces: Pieces, table: dict[str, tuple[int, float]]) -> list[int]:
+    """Ids of one word of any length, as the folds find them; ``table`` has id and score by piece."""
+    ends = (_heap_ends if pieces.merges else _path_ends)(word, pieces, table)
+    out: list[int] = []
+    begin = 0
+    for end in ends:
+        found = table.get(word[begin:end])
+        out += [pieces.bytes_at[x] for x in word[begin:end].encode()] if found is None else [found[0]]
+        begin = end
+    return out
+
+
+def _heap_ends(word: str, pieces: Pieces, table: dict[str, tuple[int, float]]) -> list[int]:
+    """Where symbols end after merging by score, leftmost first; a merge renews its two neighbours."""
+    n = len(word)
+    end = list(range(1, n + 1))  # of the symbol that begins here; 0 if none does
+    before = list(range(-1, n))
+    heap: list[tuple[float, int, int, int]] = []
+
+    def offer(left: int) -> None:
+        middle = end[left]
+        if left >= 0 and middle < n and end[middle] - left <= pieces.longest:
+            found = table.get(word[left:end[middle]])
+            if found is not None:
+                heapq.heappush(heap, (-found[1], left, middle, end[middle]))
+
+    for i in range(n - 1):
+        offer(i)
+    while heap:
+        _, left, middle, stop = heapq.heappop(heap)
+        if end[left] != middle or end[middle] != stop:
+            continue  # one of the two has been merged since
+        end[left], end[middle] = stop, 0
+        before[stop] = left
+        offer(left)
+        if left:
+            offer(before[left])
+    out, at = [], 0
+    while at < n:
+        at = end[at]
+        out.append(at)
+    return out
+
+
+def _path_ends(word: str, pieces: Pieces, table: dict[str, tuple[int, float]]) -> list[int]:
+    """Where the pieces of the path with the highest sum of scores end; ties go to the longest piece."""
+    cost, back = [0.0], [0]
+    for end in range(1, len(word) + 1):
+        best = (cost[end - 1] + BYTE_SCORE, 1 - end)
+        for begin in range(max(0, end - pieces.longest), end):
+            found = table.get(word[begin:end])
+            if found is not None:
+                best = max(best, (cost[begin] + found[1], -begin))
+        cost.append(best[0])
+        back.append(-best[1])
+    out, at = [], len(word)
+    while at:
+        out.append(at)
+        at = back[at]
+    return out[::-1]
+
+
+def _piece_table(model: str) -> tuple[Pieces, dict[str, tuple[int, float]]]:
+    """A worker's pieces, for :func:`long_ids`."""
+
+    def load() -> tuple[Pieces, dict[str, tuple[int, float]]]:
+        pieces = Pieces.load(model)
+        return pieces, {p: (i, s) for p, i, s in pieces.rows}
+
+    return kept(("pieces", model), load)
+
+
+def _different(texts: list[str | None]) -> tuple[list[str], list[str]]:
+    """The different words of texts, in order: those that are sent to the fold, and the long ones."""
+    found = sorted(set().union(*(cut(t) for t in texts if t)))
+    return [w for w in found if len(w) <= SHORT], [w for w in found if len(w) > SHORT]
+
+
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the id column, ``n_tokens`` and ``ids`` (32-bit ids, little-endian).
 
@@ -202,17 +274,19 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     table = spark.table(name)
 
     def vocabulary(key: tuple, chunk: pa.Table) -> pa.Table:
-        found = sorted(set().union(*(cut(t) for t in chunk.column("_text").to_pylist() if t)))
+        found, _ = _different(chunk.column("_text").to_pylist())
         return pa.table([pa.array([key[0].as_py()] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()),
                          pa.array(found, pa.string())], ["_chunk", "number", "word"])
 
     def put(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
         texts = chunk.column("_text").to_pylist()
-        found = sorted(set().union(*(cut(t) for t in texts if t)))
+        found, long_words = _different(texts)
         ids: list[bytes] = [b""] * len(found)
         for i, x in zip(answers.column("number").to_pylist(), answers.column("ids").to_pylist()):
             ids[i] = np.array(x, "<i4").tobytes()
         of = dict(zip(found, ids))
+        for w in long_words:
+            of[w] = np.array(long_ids(w, *_piece_table(model)), "<i4").tobytes()
         made = [b"".join([of[w] for w in cut(t)]) if t else b"" for t in texts]
         return pa.table([chunk.column("_id"), pa.array([len(m) // 4 for m in made], pa.int64()), pa.array(made, pa.binary())],
                         [id_col, "n_tokens", "ids"])

@@ -147,6 +147,39 @@ def test_sentencepiece_equals_the_library_and_comes_back(spark, documents):
     assert got == wanted
 
 
+def test_sentencepiece_of_long_words(spark, documents):
+    import random
+
+    import sentencepiece
+
+    rng = random.Random(5)
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    letters = "ABCDEFabcdefghijklmnop0123456789+/"
+    rows = [(d, t) for d, t in documents if t is not None and len(t) >= 3000]
+    rows += [(300, "".join(rng.choice(letters) for _ in range(20000))), (301, "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(8000))),
+             (302, "internationalizationof" * 900 + " then short"), (303, "é" * 59), (304, "ab" * 30 + " " + "ab" * 29 + "a"), (305, " " * 9000 + "x")]
+    out = lattice.decode(lattice.encode(spark.createDataFrame(rows, "doc_id long, text string"), MODEL), MODEL).collect()
+    got = {r.doc_id: (np.frombuffer(r.ids, "<i4").tolist(), r.text) for r in out}
+    assert len(out) == len(rows) and any(len(t) == 50000 for _, t in rows)
+    assert got == {d: (model.encode(t), t) for d, t in rows}
+
+
+def test_long_words_follow_the_folds(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    scores = {"a": -1.0, "b": -1.5, "ab": -2.2, "bc": -1.1, "c": -3.0, "abc": -4.0, "d": -1.0, "aa": -2.0}
+    words = sorted({"".join(rng.choice("abcdé") for _ in range(rng.randint(1, 40))) for _ in range(60)})
+    df = spark.createDataFrame([(w,) for w in words], "word string").repartition(2, "word")
+    for merges in (False, True):
+        pieces = lattice.Pieces([(p, i, s) for i, (p, s) in enumerate(scores.items())], list(range(100, 356)), 3, [], merges)
+        folded = {r.word: r.ids for r in lattice.word_ids(df, pieces).select("word", F.col("ids")).collect()}
+        table = {p: (i, s) for p, i, s in pieces.rows}
+        assert folded == {w: lattice.long_ids(w, pieces, table) for w in words}
+
+
 def test_sentencepiece_of_nothing(nothing):
     assert lattice.decode(lattice.encode(nothing, MODEL), MODEL).collect() == []
 
