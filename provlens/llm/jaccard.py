@@ -263,9 +263,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each class, columns unchanged; ids must be unique.
+    """The document with the smallest id of each class, columns unchanged.
 
-    What goes is decided by id: documents that are not the first of their class.
+    What goes is decided by row: of rows that share the smallest id (repeated rows, null ids)
+    one stays, and rows of one id with different texts are judged on their own.
     """
-    gone = classes(docs, id_col, text_col).filter("NOT (doc_id <=> class_id)").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    number = "_one_of_each_row"
+    # Written, so that a row has the same number wherever it is read.
+    rows = landed(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    ids = rows.select(F.col(number).alias("doc_id"), F.col(id_col).cast("long").alias("_id"))
+    first = (classes(rows, number, text_col).join(ids, "doc_id").groupBy("class_id")
+             .agg(F.min(F.struct(F.col("_id").isNotNull().alias("k"), "_id", "doc_id"))["doc_id"].alias(number)))
+    return rows.join(first.select(number), number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -207,6 +207,22 @@ def test_difference_of_two_fingerprints():
     assert fingerprints.difference(one, far) is None
 
 
+def test_one_of_each_decides_by_row(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(1)), (1, text(1)), (5, text(1)),  # repeated rows that are the first of their class
+            (None, text(2)), (None, text(2)), (7, text(2)),
+            (0, text(3)), (2, text(3)), (2, text(4)),  # one text under id 2 is a copy, the other is not
+            (3, text(5)), (3, text(5) + " more"),  # near copies under one id
+            (4, ""), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in jaccard.one_of_each(df).collect()]
+    near = [g for g in got if g[0] == 3]
+    assert len(near) == 1 and near[0] in rows
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    assert sorted((g for g in got if g[0] != 3), key=key) == sorted(
+        [(1, text(1)), (None, text(2)), (0, text(3)), (2, text(4)), (4, ""), (4, None)], key=key)
+
+
 @pytest.mark.parametrize("operator", [quality.report, quality.kept_documents, substring.dedup, substring.without_repeats, jaccard.classes,
                                       jaccard.one_of_each, fingerprints.versions, fingerprints.fingerprints, language.in_known_language])
 def test_empty_tables(nothing, operator):
