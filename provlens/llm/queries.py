@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlens.llm import chat, fingerprints, jaccard, language, lattice, packing, quality, substring, token_files, warc
+from provlens.llm import chat, fingerprints, jaccard, language, lattice, packing, quality, repair, substring, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,3 +136,65 @@ def _(spark, folder):
 @query("op10_fingerprints")
 def _(spark, folder):
     return fingerprints.versions(table(spark, folder, "documents"))
+
+
+def _cheaper(*ways: str) -> str:
+    return f"least({', '.join(ways)})"
+
+
+def _way(state: str, cost: int | str, letter: str) -> str:
+    """A way one edit further: nine digits of cost, then the audit, so that text order is (cost, audit)."""
+    return f"(lpad(CAST(CAST(left({state}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({state}, 10) || '{letter}')"
+
+
+def _after(top: str, symbol: str, sources: list[str]) -> str:
+    """The best way to a stack top over one turn: delete it there, or shift it from one of ``sources``."""
+    kept = [f"CASE WHEN c <> 'x' AND lower(c) = '{symbol}' THEN {_way(s, 'x', 'K')} END" for s in sources]
+    given = [f"CASE WHEN c <> 'x' THEN {_way(s, '2 + x', 'R')} END" for s in sources] if symbol != "s" else []
+    return _cheaper(_way(top, 3, "D"), *kept, *given)
+
+
+_CRC = ("list_reduce(list_prepend(4294967295::UBIGINT, [ascii(k)::UBIGINT FOR k IN string_split(s, '')]), lambda a, b: "
+        "list_reduce(list_prepend(xor(a, b), [z::UBIGINT FOR z IN range(8)]), lambda p, z: xor(p >> 1, (p & 1) * 3988292384::UBIGINT)))")
+
+
+# A recursive walk over the turns keeps the best way to each of the four stack tops.
+@query("op13_repair", f"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+ coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations), h AS (
+ SELECT *, xor({_CRC}, 4294967295::UBIGINT) % 20 AS f FROM k), d AS (
+ SELECT coalesce(CAST(conv_id AS VARCHAR), '-') AS id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+ CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+ FROM h, (SELECT unnest([0, 1]) AS copy) z WHERE f > 0 AND (copy = 0 OR f = 3)), o AS (
+ SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn NULLS FIRST, role, text) AS i FROM d), q AS (
+ SELECT *, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY id ORDER BY i) AS before,
+ CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+ WHEN row_number() OVER (PARTITION BY id, role, text ORDER BY i) > 1 THEN 'duplicate'
+ WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' END AS fault FROM o), n AS (
+ SELECT id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+ count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+ count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+ count(*) FILTER (WHERE before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS turns FROM q GROUP BY id),
+ t AS (SELECT id, i, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' ELSE r END AS c,
+ CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS x FROM q), walk AS (
+ SELECT id, 0::BIGINT AS i, '000000000' AS e0, NULL::VARCHAR AS eh, NULL::VARCHAR AS eu, NULL::VARCHAR AS et FROM n
+ UNION ALL SELECT id, i, {_way('z0', 3, 'D')}, {_after('zh', 's', ['z0'])},
+ {_after('zu', 'u', ['z0', 'zh', 'zt'])}, {_after('zt', 'a', ['zu'])} FROM (
+ SELECT y.*, {_cheaper('y.zt0', _way('y.zu', 2, 'I'))} AS zt FROM (
+ SELECT t.*, e0 AS z0, eh AS zh, et AS zt0, {_cheaper('eu', *[_way(s, 2, 'I') for s in ('e0', 'eh', 'et')])} AS zu
+ FROM walk JOIN t ON t.id = walk.id AND t.i = walk.i + 1) y) z), e AS (
+ SELECT n.*, {_cheaper('e0', _way('eh', 4, 'II'), _way('eu', 2, 'I'), 'et')} AS best
+ FROM walk JOIN n ON n.id = walk.id AND n.turns = walk.i), b AS (
+ SELECT *, CAST(left(best, 9) AS BIGINT) AS cost, substr(best, 10) AS audit FROM e), l AS (
+ SELECT id, unnest(string_split(audit, '')) AS op, unnest(range(len(audit))) AS j FROM b WHERE audit <> ''), p AS (
+ SELECT *, count(*) FILTER (WHERE op <> 'I') OVER g AS i, count(*) FILTER (WHERE op <> 'D') OVER g AS m
+ FROM l WINDOW g AS (PARTITION BY id ORDER BY j)), v AS (
+ SELECT p.*, role, text, max(CASE WHEN m = 1 AND op = 'K' AND r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.id) AS head
+ FROM p LEFT JOIN q ON q.id = p.id AND q.i = p.i AND op <> 'I'), a AS (
+ SELECT id, sha256(string_agg(CASE WHEN op = 'K' THEN role WHEN (m - head) % 2 = 1 THEN 'user' ELSE 'assistant' END
+ || ':' || coalesce(text, ''), chr(10) ORDER BY j)) AS repaired_sha256 FROM v WHERE op <> 'D' GROUP BY id)
+ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+ coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+ coalesce(repaired_sha256, sha256('')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) c
+ LEFT JOIN b ON b.id = coalesce(CAST(c.conv_id AS VARCHAR), '-') LEFT JOIN a ON a.id = b.id""")
+def _(spark, folder):
+    return repair.damaged_and_repaired(table(spark, folder, "conversations"))
