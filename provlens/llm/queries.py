@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlens.llm import chat, fingerprints, jaccard, language, lattice, packing, quality, repair, substring, token_files, warc
+from provlens.llm import chat, fingerprints, jaccard, language, lattice, lexical, packing, quality, repair, substring, token_files, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -138,6 +138,30 @@ def _(spark, folder):
     return fingerprints.versions(table(spark, folder, "documents"))
 
 
+@query("op11_toxicity")
+def _(spark, folder):
+    return toxicity.predictions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+_TERMS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')")
+
+
+@query("op12_lexical_search", f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS ts FROM documents),
+ s AS (SELECT count(*) FILTER (WHERE len(ts) > 0) AS docs, sum(len(ts))::BIGINT AS length FROM d),
+ i AS (SELECT item_id, q, unnest(list_distinct(ts)) AS term FROM (
+ SELECT item_id, row_number() OVER () AS q, {_TERMS} AS ts FROM benchmark) x), v AS (SELECT DISTINCT term FROM i), p AS (
+ SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) x WHERE term IN (SELECT term FROM v) GROUP BY ALL),
+ w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term, docs),
+ m AS (SELECT r, doc_id, 100 - 50 + ((50 * len(ts) * docs) // length) AS m FROM d, s WHERE len(ts) > 0), c AS (
+ SELECT item_id, q, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+ FROM i JOIN w USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY item_id, q, r, doc_id), k AS (
+ SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM c WHERE score > 0)
+ SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50""")
+def _(spark, folder):
+    return lexical.best_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def _cheaper(*ways: str) -> str:
     return f"least({', '.join(ways)})"
 
