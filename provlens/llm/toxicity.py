@@ -88,36 +88,48 @@ class Index:
     total: np.ndarray  # weight of all
     names: list[int]  # an example of each entry
 
+    def _cosines(self, rows: list[int], weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of some blocks (a flag for each) and their cosines."""
+        sums = np.zeros(len(self.examples))
+        for t, w in zip(rows, weights):
+            span = slice(self.begins[t, 0], self.begins[t, -1])
+            entries = self.entries[span]
+            chosen = blocks[entries // BLOCK]
+            sums[entries[chosen]] += w * self.weights[span][chosen]
+        here = np.flatnonzero(np.repeat(blocks, BLOCK)[:len(sums)])
+        return here, sums[here]
+
     def nearest(self, terms: tuple[int, ...], weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Entries with the ``k`` nearest examples, and all as near as the last; their cosines.
 
-        ``without`` takes one example out of an entry.
+        The blocks of highest bound give ``k`` examples; only blocks whose bound reaches the last
+        of these can hold nearer ones. ``without`` takes one example out of an entry.
         """
         rows = list(terms)
         bounds = weights @ self.highest[rows]
-        found, cosines, counts = [], [], []
-        least = -1.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] < least - 1e-9:
+        order = np.argsort(-bounds, kind="stable")
+        examples = self.examples
+        if without is not None:
+            examples = examples.copy()
+            examples[without] -= 1
+        first = 2
+        while True:
+            blocks = np.zeros(len(bounds), bool)
+            blocks[order[:first]] = True
+            entries, cosines = self._cosines(rows, weights, blocks)
+            down = np.argsort(-cosines, kind="stable")
+            reach = np.searchsorted(np.cumsum(examples[entries[down]]), k)
+            if reach < len(down) or first >= len(order):
+                least = cosines[down[min(reach, len(down) - 1)]]
                 break
-            lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.examples))
-            sums = np.zeros(hi - lo)
-            for t, w in zip(rows, weights):
-                span = slice(self.begins[t, b], self.begins[t, b + 1])
-                sums[self.entries[span] - lo] += w * self.weights[span]
-            here = np.flatnonzero(sums >= least - 1e-9)
-            found.append(here + lo)
-            cosines.append(sums[here])
-            n = self.examples[lo:hi][here].copy()
-            if without is not None:
-                n[here + lo == without] -= 1
-            counts.append(n)
-            all_cosines, all_counts = np.concatenate(cosines), np.concatenate(counts)
-            order = np.argsort(-all_cosines, kind="stable")
-            reach = np.searchsorted(np.cumsum(all_counts[order]), k)
-            least = all_cosines[order[reach]] if reach < len(order) else -1.0
-        entries, cosines, counts = np.concatenate(found), np.concatenate(cosines), np.concatenate(counts)
-        near = (cosines >= least - 1e-9) & (counts > 0)
+            first *= 4
+        more = bounds >= least - 1e-9
+        if (more & ~blocks).any():
+            entries, cosines = self._cosines(rows, weights, more)
+            down = np.argsort(-cosines, kind="stable")
+            reach = np.searchsorted(np.cumsum(examples[entries[down]]), k)
+            least = cosines[down[min(reach, len(down) - 1)]]
+        near = (cosines >= least - 1e-9) & (examples[entries] > 0)
         order = np.lexsort((entries[near], -cosines[near]))
         return entries[near][order], np.minimum(cosines[near][order], 1.0)
 
@@ -266,11 +278,18 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
                 .groupBy("term").agg(F.sum("n").alias("n")).collect()}
         documents = held.get(len(vocabulary), 0)
         idf = np.array([np.log((1 + documents) / (1 + held.get(t, 0))) for t in range(len(vocabulary))])
+
+        def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [[(vocabulary[t], n) for t, n in zip(terms, counts) if t in vocabulary]
+                         for terms, counts in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([[t for t, _ in x] for x in found], pa.list_(pa.int64())),
+                                                  pa.array([[n for _, n in x] for x in found], pa.list_(pa.int64()))],
+                                                 ["doc_id", "toxic", "words", "terms", "counts"])
+
         # Only terms of the vocabulary leave the tasks.
-        words = F.array(*[F.lit(t) for t in vocabulary]) if vocabulary else F.array().cast("array<string>")
-        rows = examples.select("doc_id", "toxic", "words", F.filter(F.arrays_zip("terms", "counts"), lambda x: F.array_contains(
-            words, x["terms"])).alias("found")).orderBy("doc_id").collect()
-        vectors = [vector({vocabulary[x["terms"]]: x["counts"] for x in r["found"]}, r["words"], idf) for r in rows]
+        rows = examples.mapInArrow(known, "doc_id long, toxic int, words long, terms array<long>, counts array<long>").orderBy("doc_id").collect()
+        vectors = [vector(dict(zip(r["terms"], r["counts"])), r["words"], idf) for r in rows]
         toxic = [r["toxic"] for r in rows]
         label_weights = tuple(sizes.get(y, 0) / max(1, drawn.get(y, 0)) for y in (0, 1))
         index, entry_of = index_of(vectors, toxic, [r["doc_id"] for r in rows], idf, label_weights)
