@@ -27,8 +27,12 @@ def row_integrity(rows: DataFrame) -> DataFrame:
 
 
 def blob_integrity(blobs: DataFrame) -> DataFrame:
-    """``blobs``: ``archive_id, hash`` (from the path) and ``content``."""
-    return blobs.select("archive_id", "hash", (F.sha2("content", 256) == F.col("hash")).alias("ok"))
+    """``blobs``: ``archive_id, hash`` (from the path) and ``content``, or its digest as ``sha256``.
+
+    A blob that could not be read is not ok.
+    """
+    found = F.col("sha256") if "sha256" in blobs.columns else F.sha2("content", 256)
+    return blobs.select("archive_id", "hash", F.coalesce(found == F.col("hash"), F.lit(False)).alias("ok"))
 
 
 def blob_failures(evidence: DataFrame, checked: DataFrame) -> DataFrame:

@@ -5,8 +5,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +12,7 @@ from pyspark.sql import types as T
 from provlens import schemas
 from provlens.functions.canonical import self_hash
 from provlens.functions.ordered import sequenced
+from provlens.sources.archive_files import read_files
 
 # Folders inside an archive.
 ARTIFACT_DIRS = {"workspace": "workspaces", "timeline": "timelines", "snapshot": "snapshots",
@@ -37,22 +36,6 @@ def _archive_id(root: str) -> Column:
     return F.when(found != "", found).otherwise(F.raise_error(F.concat(F.lit(f"not under {whole}: "), file)))
 
 
-def hidden_files(spark: SparkSession, root: str, folder: str) -> DataFrame:
-    """``archive_id, artifact_name`` of JSON files in ``folder`` that Spark's readers pass over.
-
-    Names that begin with ``_`` or ``.`` are valid artifact names, but no reader opens them;
-    only their names are listed, like the folders of any scan.
-    """
-    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/{folder}/[_.]*.json")
-    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or []
-    up = len(folder.strip("/").split("/"))
-    rows = []
-    for status in found:
-        parts = status.getPath().toUri().getPath().split("/")
-        rows.append((parts[-2 - up].removeprefix("archive_id="), parts[-1].removesuffix(".json")))
-    return spark.createDataFrame(rows, "archive_id string, artifact_name string")
-
-
 def scan_rows(spark: SparkSession, root: str, table: str) -> DataFrame:
     """``archive_id, table, row_id, row_hash, payload`` of one table."""
     raw = (spark.read.schema("row_hash string, payload_jcs binary")
@@ -85,14 +68,17 @@ def lookup(df: DataFrame, id_column: str, row_id: str) -> DataFrame:
     return df.filter(F.col(id_column) == row_id)
 
 
-def scan_blobs(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """Blob hashes from object paths; without ``content`` no bytes are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
-        f"{root}/*/objects/sha256")
-    parts = F.regexp_extract("path", "/objects/sha256/([^/]{2})/[^/]{62}$", 1)
-    rest = F.regexp_extract("path", "/objects/sha256/[^/]{2}/([^/]{62})$", 1)
-    out = files.select(_archive_id(root).alias("archive_id"), F.concat(parts, rest).alias("hash"),
-                       F.col("length").alias("size_bytes"), *(["content"] if content else []))
+def scan_blobs(spark: SparkSession, root: str, content: bool = False, digest: bool = False) -> DataFrame:
+    """Blob hashes from object paths; without ``content`` or ``digest`` no bytes are read.
+
+    ``digest`` adds ``sha256`` of the bytes, read piece by piece, so that blobs of any size are
+    checked; ``content`` holds a blob in its row.
+    """
+    read = "digest" if digest else "bytes" if content else "none"
+    files = read_files(spark, root, "objects/sha256/??/*", content=read)
+    name = F.split("path", "/")
+    out = files.select("archive_id", F.concat(name[2], name[3]).alias("hash"), "size_bytes",
+                       *(["content"] if content else []), *(["sha256"] if digest else []))
     return out.filter(F.length("hash") == 64)
 
 
@@ -119,43 +105,37 @@ def scan_audit(spark: SparkSession, root: str, strict: bool = True, pattern: str
     return parsed.select("archive_id", "pos", *[F.col(f"e.{f.name}") for f in schemas.AUDIT_ENTRY.fields])
 
 
-def _scan_json(spark: SparkSession, root: str, pattern: str, schema: T.StructType,
-               recursive: bool = False, lines: bool = False) -> DataFrame:
-    reader = spark.read
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
+def _scan_json(spark: SparkSession, root: str, pattern: str, schema: T.StructType, lines: bool = False) -> DataFrame:
+    """JSON files as ``archive_id, path, artifact_name, text`` and the parsed record ``r``.
+
+    Every file that fits is a row: an empty or unreadable one, or one that is no UTF-8, has no
+    record. With ``lines`` the files are Spark's own, with one artifact per line.
+    """
     full = T.StructType(schema.fields + [T.StructField("_bad", T.StringType())])
-    return reader.text(f"{root}/*/{pattern}", wholetext=not lines).select(
-        _archive_id(root).alias("archive_id"), F.col("_metadata.file_path").alias("path"),
-        F.regexp_extract("_metadata.file_path", "([^/]+)\\.json$", 1).alias("artifact_name"),
-        F.col("value").alias("text"),
-        F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    record = F.from_json("text", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")
+    if lines:
+        files = spark.read.text(f"{root}/*/{pattern}").select(
+            _archive_id(root).alias("archive_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    else:
+        files = read_files(spark, root, pattern, content="bytes").select(
+            "archive_id", "path", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    return files.select("archive_id", "path", F.regexp_extract("path", "([^/]+)\\.json$", 1).alias("artifact_name"), "text", record)
 
 
 def scan_artifacts(spark: SparkSession, root: str, kind: str, pattern: str | None = None,
                    lines: bool = False) -> DataFrame:
-    """Landed artifacts of a kind; undecodable ones are rows with ``decode_error``.
-
-    So are empty files, and files whose names Spark's readers pass over (``hidden_file``).
+    """Landed artifacts of a kind; undecodable ones, empty ones among them, are rows with ``decode_error``.
 
-    With ``lines`` the files hold one artifact per line, as the writers leave them,
-    instead of one artifact per file.
+    Names that begin with ``_`` or ``.`` are read like others; one that cannot be decoded is a
+    ``hidden_file``. With ``lines`` the files hold one artifact per line, as the writers leave
+    them, instead of one artifact per file.
     """
     schema, own = schemas.ARTIFACTS[kind]
     raw = _scan_json(spark, root, f"{ARTIFACT_DIRS[kind]}/*.json" if pattern is None else pattern, schema, lines=lines)
     bad = F.col("r").isNull() | F.col("r._bad").isNotNull() | F.col(f"r.{own}").isNull()
-    read = raw.select("archive_id", "artifact_name", *[F.col(f"r.{f.name}") for f in schema.fields],
-                      F.when(bad, F.lit("ValueError")).alias("decode_error"))
-    if lines or pattern is not None:
-        return read
-    hidden = hidden_files(spark, root, ARTIFACT_DIRS[kind]).withColumn("decode_error", F.lit("hidden_file"))
-    # The listing that every scan begins with also has empty files, of which no row is read.
-    listed = [(unquote(f).split("/")[-3].removeprefix("archive_id="), unquote(f).split("/")[-1].removesuffix(".json"))
-              for f in raw.inputFiles()]
-    empty = spark.createDataFrame(listed, "archive_id string, artifact_name string").join(
-        read.select("archive_id", "artifact_name"), ["archive_id", "artifact_name"], "left_anti")
-    return (read.unionByName(hidden, allowMissingColumns=True)
-            .unionByName(empty.withColumn("decode_error", F.lit("ValueError")), allowMissingColumns=True))
+    hidden = F.col("artifact_name").rlike("^[_.]")
+    return raw.select("archive_id", "artifact_name", *[F.col(f"r.{f.name}") for f in schema.fields],
+                      F.when(bad & hidden, F.lit("hidden_file")).when(bad, F.lit("ValueError")).alias("decode_error"))
 
 
 def scan_artifact_texts(spark: SparkSession, root: str, pattern: str = "*/*.json") -> DataFrame:
@@ -191,8 +171,8 @@ def scan_transparency(spark: SparkSession, root: str) -> DataFrame:
 
 def scan_witnesses(spark: SparkSession, root: str) -> DataFrame:
     """Witness attestations per manifest folder; bad files are skipped."""
-    raw = _scan_json(spark, root, "transparency/witnesses", schemas.WITNESS, recursive=True)
-    at = F.regexp_extract("path", "/witnesses/manifest-(\\d{6,})/[a-f0-9]{64}\\.json$", 1)
+    raw = _scan_json(spark, root, "transparency/witnesses/**/*.json", schemas.WITNESS)
+    at = F.regexp_extract("path", "witnesses/manifest-(\\d{6,})/[a-f0-9]{64}\\.json$", 1)
     return (raw.withColumn("sequence", F.nullif(at, F.lit("")).cast("long"))
             .filter("sequence IS NOT NULL AND r._bad IS NULL AND r.attestation_hash IS NOT NULL")
             .select("archive_id", "sequence", *[F.col(f"r.{f.name}") for f in schemas.WITNESS.fields]))

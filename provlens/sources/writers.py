@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from io import BytesIO
+
+import pyarrow as pa
+from pyarrow import parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provlens import schemas
 from provlens.functions.canonical import canonical_struct
 from provlens.operators import aggregates, chains
+from provlens.sources.archive_files import write_files
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -34,6 +40,33 @@ def write_artifacts(df: DataFrame, kind: str, path: str) -> None:
     artifact_lines(df, kind).write.mode("overwrite").partitionBy("archive_id").text(path)
 
 
+def write_artifact_files(df: DataFrame, kind: str, folder: str, name: str, root: str) -> None:
+    """One canonical JSON file per artifact, ``<folder>/<column name>.json`` below its archive."""
+    schema, _ = schemas.ARTIFACTS[kind]
+    text = canonical_struct({f.name: (F.col(f.name), df.schema[f.name].dataType) for f in schema.fields})
+    write_files(df.select("archive_id", F.concat(F.lit(f"{folder}/"), F.col(name), F.lit(".json")).alias("path"),
+                          text.alias("content")), root)
+
+
+def write_rows(rows: DataFrame, root: str) -> None:
+    """Stored rows (``archive_id, table, row_id, row_hash, payload``) as Parquet files of one row each."""
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            archive, path, hashes, payloads = (c.to_pylist() for c in batch.columns)
+            files = []
+            for h, payload in zip(hashes, payloads):
+                out = BytesIO()
+                parquet.write_table(pa.table({"row_hash": pa.array([h], pa.string()), "payload_jcs": pa.array([payload], pa.binary())}),
+                                    out, compression="zstd", use_dictionary=False)
+                files.append(out.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array(archive, pa.string()), pa.array(path, pa.string()), pa.array(files, pa.binary())],
+                                             ["archive_id", "path", "content"])
+
+    path = F.concat(F.lit("tables/"), "table", F.lit("/"), "row_id", F.lit(".parquet"))
+    write_files(rows.select("archive_id", path.alias("path"), "row_hash", F.col("payload").cast("binary"))
+                .mapInArrow(packed, "archive_id string, path string, content binary"), root)
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Typed Parquet, partitioned by archive so later scans prune to one."""
     df.write.mode("overwrite").partitionBy("archive_id").parquet(path)

@@ -17,7 +17,7 @@ from provlens.plans import ingest as ingesting
 from provlens.plans import report, verify
 from provlens.session import ensure_checkpoint_dir
 from provlens.sources import readers, writers
-from provlens.streaming import streams
+from provlens.streaming import chain_state, streams
 from provlens.workload.sqlworld import (CERT, ZERO, arr, entry_text, iso, lit, manifest_text, n, obj, q, s, sn,
                                         with_world)
 from provlens.workload.world import World, sha
@@ -53,9 +53,12 @@ def text(c: str | Column) -> Column:
  source_id, {iso("ingested_at")} AS ingested_at FROM ev JOIN rhash r ON r.archive_id = ev.archive_id
  AND r.row_id = ev.hash AND r.tbl = 'evidence'""")
 def _(w):
-    parsed = readers.parse_rows(w.payload(w.evidence, "evidence", "hash"), "evidence")
-    return parsed.select("archive_id", "row_id", "row_hash", "kind", "mime_type", "size_bytes", "source_id",
-                         text("ingested_at").alias("ingested_at"))
+    # Each record is a Parquet file of its own, as archives store them.
+    root = scratch(w.spark, "tables")
+    writers.write_rows(w.payload(w.evidence, "evidence", "hash"), root)
+    return readers.scan_table(w.spark, root, "evidence").select(
+        "archive_id", "row_id", "row_hash", "kind", "mime_type", "size_bytes", "source_id",
+        text("ingested_at").alias("ingested_at"))
 
 
 @query("src_2_lookup", "SELECT archive_id, id, name, jurisdiction FROM src WHERE id = 'src0'")
@@ -71,6 +74,23 @@ def _(w):
                           ["archive_id", "hash"], ["doc_id"])
 
 
+@query("src_4_scan_blobs", """SELECT archive_id, hash, octet_length(encode(text)) + CASE WHEN doc_id % 7 = 3 THEN 1 ELSE 0 END AS size_bytes,
+ doc_id % 7 <> 3 AS intact FROM ev JOIN documents d USING (doc_id) WHERE hash IS NOT NULL""")
+def _(w):
+    # Every record's text is a file under its hash; some were changed, and others have no blob's name.
+    root = scratch(w.spark, "blobs")
+    content = F.concat("text", F.when(F.col("doc_id") % 7 == 3, F.lit("!")).otherwise(F.lit("")))
+    blobs = w.evidence.filter("hash IS NOT NULL").select("archive_id", "hash", "doc_id").join(w.table("documents").select("doc_id", "text"), "doc_id")
+    named = F.concat(F.lit("objects/sha256/"), F.substring("hash", 1, 2), F.lit("/"), F.expr("substring(hash, 3)"))
+    strays = [(F.concat(named, F.lit(".part")), "text"), (F.concat(F.lit("objects/sha256/"), "hash"), "text")]
+    every_tenth = blobs.filter("doc_id % 10 = 0")
+    for path, body in strays:
+        writers.write_files(every_tenth.select("archive_id", path.alias("path"), F.col(body).alias("content")), root)
+    writers.write_files(blobs.select("archive_id", named.alias("path"), content.alias("content")), root)
+    found = readers.scan_blobs(w.spark, root, digest=True)
+    return found.select("archive_id", "hash", "size_bytes", (F.col("sha256") == F.col("hash")).alias("intact"))
+
+
 @query("src_5_scan_audit", f"""SELECT archive_id, pos, pos AS seq, event_type AS action, timestamp, cents
  FROM ebase""")
 def _(w):
@@ -90,21 +110,91 @@ def _(w):
 @query("src_6_scan_artifacts", """SELECT archive_id, assessment_id AS justification_id, justification_hash,
  n_steps AS steps, true AS intact FROM just""")
 def _(w):
+    # Written as lines, and again as files: named by id, or hidden names, and some that are empty or no JSON.
     root = scratch(w.spark, "artifacts")
     writers.write_artifacts(w.justifications, "justification", root)
-    read = readers.scan_artifacts(w.spark, root, "justification", pattern="", lines=True)
-    intact = canon.self_hash(read, "justification") == F.col("justification_hash")
-    return read.filter("decode_error IS NULL").select(
+    lines = readers.scan_artifacts(w.spark, root, "justification", pattern="", lines=True)
+    named = w.justifications.withColumn("name", F.concat(
+        F.when(F.col("justification_id") < "8", F.lit("_")).otherwise(F.lit("")), "justification_id"))
+    files = scratch(w.spark, "artifacts")
+    writers.write_artifact_files(named, "justification", readers.ARTIFACT_DIRS["justification"], "name", files)
+    for name, body in (("empty", ""), (".cut", "{")):
+        path = F.concat(F.lit(f"{readers.ARTIFACT_DIRS['justification']}/{name}-"), "id", F.lit(".json"))
+        writers.write_files(w.sources.select("archive_id", path.alias("path"), F.lit(body).alias("content")), files)
+    read = readers.scan_artifacts(w.spark, files, "justification")
+    # Each broken file is reported: none is left after one was taken off for each that was written.
+    broken = (read.filter("decode_error IS NOT NULL").groupBy("archive_id").count()
+              .join(w.sources.groupBy("archive_id").agg((2 * F.count("*")).alias("made")), "archive_id", "full"))
+    every = broken.filter("NOT (count <=> made)").select("archive_id", F.lit("unreported").alias("justification_id"), F.lit("").alias("justification_hash"),
+                                                         F.lit(0).alias("steps"), F.lit(False).alias("intact"))
+    intact = (canon.self_hash(read, "justification") == F.col("justification_hash"))
+    out = read.filter("decode_error IS NULL").select(
         "archive_id", "justification_id", "justification_hash",
         F.size("provenance_chain").alias("steps"), intact.alias("intact"))
+    same = lines.select("archive_id", "justification_id", F.col("justification_hash").alias("line_hash"))
+    return (out.join(same, ["archive_id", "justification_id"], "full")
+            .withColumn("intact", F.col("intact") & (F.col("line_hash") == F.col("justification_hash"))).drop("line_hash")
+            .unionByName(every))
+
+
+@query("src_7_scan_manifest", """SELECT archive_id, tbl AS "table", row_count, schema_hash, sha256(hashes)
+ AS partition_digest FROM tman""")
+def _(w):
+    # A manifest file per archive; broken ones stand beside them in archives of their own.
+    root = scratch(w.spark, "manifests")
+    lists = w.rows.groupBy("archive_id", "table").agg(F.array_sort(F.collect_list("row_hash")).alias("h"))
+    tables = aggregates.table_counts(w.rows, w.archives).join(lists, ["archive_id", "table"], "left")
+    entry = F.struct(F.coalesce("h", F.array().cast("array<string>")).alias("partition_hashes"), "row_count", "schema_hash")
+    body = F.to_json(F.struct(F.lit(schemas.SCHEMA_VERSION).alias("schema_version"), F.lit("2024-01-01T00:00:00Z").alias("generated_at"),
+                              F.map_from_entries(F.collect_list(F.struct("table", entry))).alias("tables")))
+    stored = tables.groupBy("archive_id").agg(body.alias("content"))
+    broken = stored.select(F.concat("archive_id", F.lit("-broken")).alias("archive_id"), F.expr("substring(content, 2)").alias("content"))
+    writers.write_files(stored.unionByName(broken).withColumn("path", F.lit("manifest.json")), root)
+    return readers.scan_manifest(w.spark, root)[1]
+
+
+@query("src_8_scan_transparency", """SELECT archive_id, sequence, manifest_hash, audit_entry_count, signed_at, operator_id,
+ previous_manifest_hash FROM man""")
+def _(w):
+    # One numbered file per manifest; other names in the folder, and what is no JSON, don't count.
+    root = scratch(w.spark, "log")
+    body = F.to_json(F.struct(*[f.name for f in schemas.TRANSPARENCY.fields]))
+    at = F.format_string("transparency/manifest-%06d.json", F.col("sequence"))
+    good = w.manifests.select("archive_id", at.alias("path"), body.alias("content"))
+    strays = w.manifests.filter("sequence % 5 = 0").select(
+        "archive_id", F.explode(F.array(F.format_string("transparency/manifest-%d.json.bak", F.col("sequence")), F.lit("transparency/latest.json"),
+                                        F.format_string("transparency/old/manifest-%06d.json", F.col("sequence")))).alias("path"), body.alias("content"))
+    torn = w.manifests.filter("sequence % 5 = 1").select(
+        "archive_id", F.format_string("transparency/manifest-9%06d.json", F.col("sequence")).alias("path"), F.lit("{").alias("content"))
+    for files in (strays.dropDuplicates(["archive_id", "path"]), torn, good):
+        writers.write_files(files, root)
+    return readers.scan_transparency(w.spark, root).select(
+        "archive_id", "sequence", "manifest_hash", "audit_entry_count", "signed_at", "operator_id", "previous_manifest_hash")
+
+
+@query("src_9_scan_witnesses", """SELECT archive_id, sequence, attestation_hash, source_id AS witness_operator_id FROM wit""")
+def _(w):
+    root = scratch(w.spark, "witnesses")
+    body = F.to_json(F.struct(*[f.name for f in schemas.WITNESS.fields]))
+    at = F.format_string("transparency/witnesses/manifest-%06d/%s.json", F.col("target_manifest_sequence"), F.col("attestation_hash"))
+    good = w.witnesses.select("archive_id", at.alias("path"), body.alias("content"))
+    bad = w.manifests.select("archive_id", F.explode(F.array(
+        F.format_string("transparency/witnesses/manifest-%06d/%s.json", F.col("sequence"), F.col("manifest_hash")),
+        F.format_string("transparency/witnesses/manifest-%06d/note.json", F.col("sequence")))).alias("path"), F.lit("[]").alias("content"))
+    for files in (good, bad):
+        writers.write_files(files, root)
+    return readers.scan_witnesses(w.spark, root).select("archive_id", "sequence", "attestation_hash", "witness_operator_id")
 
 
 @query("src_10_scan_sidecars", """SELECT archive_id, certificate_hash, source_id AS operator_id, captured_at, device_id,
  toxic = 0 AS intact FROM cert""")
 def _(w):
     root = scratch(w.spark, "sidecars")
-    writers.write_artifacts(w.certificates, "certificate", root)
-    read = readers.scan_sidecars(w.spark, root, "certificate", pattern="", lines=True)
+    folder = readers.SIDECAR_DIRS["certificate"]
+    writers.write_artifact_files(w.certificates, "certificate", folder, "certificate_hash", root)
+    for name, body in (("empty", ""), ("_list", "[]")):
+        writers.write_files(w.archives.select("archive_id", F.lit(f"{folder}/{name}.json").alias("path"), F.lit(body).alias("content")), root)
+    read = readers.scan_sidecars(w.spark, root, "certificate")
     return read.select("archive_id", "certificate_hash", "operator_id", "captured_at", "device_id",
                        (canon.self_hash(read, "certificate") == F.col("certificate_hash")).alias("intact"))
 
@@ -1512,13 +1602,15 @@ def _(w):
 @query("str_2_stream_verify_chain", f"""SELECT archive_id, pos, seq, reason FROM (SELECT *, {_REASON} AS reason
  FROM tlink) x WHERE reason IS NOT NULL""")
 def _(w):
-    landing, state, failures, log = (scratch(w.spark, n) for n in ("entries", "heads", "failures", "progress"))
-    w.tampered_log.write.parquet(landing)
-    stream = w.spark.readStream.schema(w.tampered_log.schema).parquet(landing)
-    run = (stream.writeStream.foreachBatch(streams.follow_chain(state, failures))
-           .option("checkpointLocation", log).trigger(availableNow=True).start())
-    run.awaitTermination()
-    return w.spark.read.parquet(failures).select("archive_id", "pos", "seq", "reason")
+    # Entries come in no order, a file at a time; each part of a log waits for what is missing.
+    landing, failures, log = (scratch(w.spark, n) for n in ("entries", "failures", "progress"))
+    w.tampered_log.repartition(4).write.parquet(landing)
+    stream = w.spark.readStream.schema(w.tampered_log.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    with chain_state.keyed_state_store(w.spark):
+        run = (chain_state.stream_verify_chain(stream).writeStream.format("parquet").option("path", failures)
+               .option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start())
+        run.awaitTermination()
+    return w.spark.read.schema("archive_id string, pos long, seq long, reason string").parquet(failures)
 
 
 @query("str_3_stream_action_counts", """SELECT strftime(date_trunc('day', ts), '%Y-%m-%dT%H:%M:%SZ') AS window_start,
