@@ -204,10 +204,10 @@ def upper_bounds(items: Items, slots: list[list[np.ndarray]], bitmaps: np.ndarra
 
 def _found(index: DataFrame, items: Items, keep: int) -> DataFrame:
     """Of each task the ``keep`` best documents of every item that reach its floor: number, item_id, doc_id, score."""
-    sent = index.sparkSession.sparkContext.broadcast(items)  # bounded by QUERY_TERMS
+    sent = index.sparkSession.sparkContext.broadcast(vars(items))  # bounded by QUERY_TERMS; plain, as workers may not have this package
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = sent.value
+        q = Items(**sent.value)
         names = list(q.terms)
         data, starts, ends, _ = joined([b" ".join(names).decode("utf-8")])
         hashes = Hasher(12).spans(data, starts, ends)

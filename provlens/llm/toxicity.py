@@ -28,6 +28,7 @@ PER_LABEL = 4000  # labelled documents of each label, at most, that are learned
 TERMS = 1024  # in the vocabulary, at most
 STEM = 5  # letters of a word's beginning that are a term too
 LEAST_LINK = 15.0  # log-likelihood ratio of a term and the label
+LEAST_LIFT = 3.0  # times that a term is likelier in toxic examples than in clean ones
 LEAST_SEEN = 3  # toxic examples that have the term
 REST = 1.0  # weight of all other words of a text
 NEAREST = 15
@@ -222,14 +223,17 @@ def _sampled(docs: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame,
 
 
 def _linked(toxic: Column, clean: Column, toxics: int, cleans: int) -> Column:
-    """Log-likelihood ratio of a term and the label, zero where it rather goes with clean texts."""
+    """Log-likelihood ratio of a term and the label, zero where it is not far likelier in toxic texts.
+
+    Common words of a language that has more toxic texts than others are no sign of one.
+    """
     cell = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     share = toxics / (toxics + cleans)
     both = toxic + clean
     rest = F.lit(toxics + cleans) - both
     value = 2 * (cell(toxic, both * share) + cell(clean, both * (1 - share))
                  + cell(toxics - toxic, rest * share) + cell(cleans - clean, rest * (1 - share)))
-    return F.when(toxic * cleans > clean * toxics, value).otherwise(0.0)
+    return F.when(toxic * cleans > LEAST_LIFT * clean * toxics, value).otherwise(0.0)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
@@ -293,10 +297,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         toxic = [r["toxic"] for r in rows]
         label_weights = tuple(sizes.get(y, 0) / max(1, drawn.get(y, 0)) for y in (0, 1))
         index, entry_of = index_of(vectors, toxic, [r["doc_id"] for r in rows], idf, label_weights)
-        sent = spark.sparkContext.broadcast((index, vectors, toxic, entry_of))  # bounded by PER_LABEL and TERMS
+        # Bounded by PER_LABEL and TERMS; plain, as workers may not have this package.
+        sent = spark.sparkContext.broadcast((vars(index), vectors, toxic, entry_of))
 
         def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            here, all_vectors, labels_of, entries_of = sent.value
+            parts, all_vectors, labels_of, entries_of = sent.value
+            here = Index(**parts)
             for batch in batches:
                 at = batch.column(0).to_pylist()
                 votes = []
@@ -320,10 +326,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     examples that have none either. A model without examples scores all 0. Repeated rows get
     equal scores; other columns are not looked at.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.idf, model.index, model.curve))
+    sent = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.idf, model.index and vars(model.index), model.curve))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, seen = Model(*sent.value), {}
+        vocabulary, idf, index, curve = sent.value
+        here, seen = Model(vocabulary, idf, index and Index(**index), curve), {}
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.float64())]))
         for batch in batches:
             if len(seen) > 1 << 14:
