@@ -6,12 +6,14 @@ src_id, dst_kind, dst_id``. An edge points from what depends to what it needs.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provlens.session import stable
+from provlens.functions.ordered import sequenced
+from provlens.session import landed, stable
 
 EDGE = ["archive_id", "kind", "src_kind", "src_id", "dst_kind", "dst_id"]
 
@@ -63,35 +65,142 @@ def evidence_of(edges: DataFrame, assessments: DataFrame | None = None) -> DataF
         assessments, ["archive_id", "assessment_id"], "left_semi")
 
 
-def _reach(edges: DataFrame, roots: DataFrame, incoming: bool) -> DataFrame:
-    """Breadth-first levels of all roots at once.
+MOST_STAGES = 8
+PAIR = ["archive_id", "root", "node"]
+
+
+def _name(kind: str, id: str) -> Column:
+    """A node as one string, so rows are narrow to shuffle, sort and compare."""
+    return F.concat_ws("\x00", kind, id)
+
+
+def _kind(node: str) -> Column:
+    return F.split_part(F.col(node), F.lit("\x00"), F.lit(1))
+
+
+def _kind_steps(edges: DataFrame, near: str, far: str) -> dict[str, set[str]] | None:
+    """Which kinds of nodes lead to which; nothing if there are too many kinds to look at."""
+    found = edges.select(f"{near}_kind", f"{far}_kind").distinct().limit(1001).collect()
+    if len(found) > 1000 or any(None in r for r in found):
+        return None
+    steps: dict[str, set[str]] = {}
+    for a, b in found:
+        steps.setdefault(a, set()).add(b)
+    return steps
+
+
+def _stages(steps: dict[str, set[str]]) -> tuple[int, bool] | None:
+    """The longest way through the kinds, and whether all ways between two kinds are equally long.
 
-    A level is one join and one anti join against what was reached before, so
-    cycles end and the first (shortest) distance stays. Levels are written out,
-    which keeps plans short and survives lost executors.
+    Nothing if kinds lead back to themselves.
     """
-    near, far = ("dst", "src") if incoming else ("src", "dst")
-    # A node travels as one string, so rows are narrow to shuffle, sort and compare.
-    name = lambda side: F.concat_ws("\x00", f"{side}kind", f"{side}id")
-    steps = stable(edges.select("archive_id", name(f"{near}_").alias("node"), name(f"{far}_").alias("to")).distinct())
-    pair = ["archive_id", "root", "node"]
-    frontier = stable(roots.select("archive_id", name("").alias("root"), name("").alias("node"),
-                                   F.lit(0).alias("distance")).distinct())
-    levels = [frontier]
+    lengths: dict[str, dict[str, set[int]]] = {}
+
+    def of(kind: str, open_kinds: frozenset[str]) -> dict[str, set[int]] | None:
+        if kind in open_kinds:
+            return None
+        if kind not in lengths:
+            here: dict[str, set[int]] = {}
+            for to in steps.get(kind, ()):
+                beyond = of(to, open_kinds | {kind})
+                if beyond is None:
+                    return None
+                here.setdefault(to, set()).add(1)
+                for end, n in beyond.items():
+                    here.setdefault(end, set()).update(x + 1 for x in n)
+            lengths[kind] = here
+        return lengths[kind]
+
+    for kind in steps:
+        if of(kind, frozenset()) is None:
+            return None
+    every = [n for ends in lengths.values() for n in ends.values()]
+    return max((max(n) for n in every), default=0), all(len(n) == 1 for n in every)
+
+
+def _staged(steps: DataFrame, frontier: DataFrame, kinds: dict[str, set[str]], stages: int, even: bool) -> DataFrame:
+    """Closure of a graph whose kinds don't lead back: one join a stage in a single plan, no rounds.
+
+    Nodes of kinds that lead nowhere are left out of the next join before they are shuffled.
+    """
+    levels = []
+    for distance in range(1, stages + 1):
+        going = frontier.filter(_kind("node").isin(*kinds))
+        frontier = (going.join(steps, ["archive_id", "node"])
+                    .select("archive_id", "root", F.col("to").alias("node")).distinct())
+        levels.append(frontier.withColumn("distance", F.lit(distance)))
+    if not levels:
+        return frontier.withColumn("distance", F.lit(0)).limit(0)
+    every = reduce(DataFrame.unionByName, levels)
+    return every if even else every.groupBy(*PAIR).agg(F.min("distance").alias("distance"))
+
+
+def _bit_parallel(steps: DataFrame, roots: DataFrame) -> DataFrame:
+    """Breadth-first levels of 64 roots at a time: a node holds a bit for each root that has reached it.
+
+    What was reached lies in a table bucketed by node, so a round shuffles only what it has found
+    anew; cycles end when no bit is new. A level's new bits are written as they are found.
+    """
+    spark = steps.sparkSession
+    key = ["archive_id", "block", "node"]
+    numbered = stable(sequenced(roots, ["archive_id"], ["root"]).select(
+        "archive_id", "root", F.floor(F.col("position") / 64).cast("long").alias("block"), (F.col("position") % 64).cast("int").alias("bit")))
+    bit = F.expr("shiftleft(1L, bit)")
+    frontier = numbered.select("archive_id", "block", F.col("root").alias("node"), bit.alias("new"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"closure_{uuid.uuid4().hex}"
+    levels: list[DataFrame] = []
+    held: str | None = None
     while True:
-        seen = reduce(DataFrame.unionByName, [lv.select(*pair) for lv in levels])
-        found = (frontier.join(steps, ["archive_id", "node"])
-                 .select("archive_id", "root", F.col("to").alias("node")).distinct()
-                 .join(seen, pair, "left_anti").withColumn("distance", F.lit(len(levels))))
-        frontier = stable(found)
-        if frontier.isEmpty():
+        found = (frontier.join(steps, ["archive_id", "node"]).groupBy("archive_id", "block", F.col("to").alias("node"))
+                 .agg(F.bit_or("new").alias("found")))
+        if held is None:
+            # A root is reached from the start, at no distance.
+            before = numbered.select("archive_id", "block", F.col("root").alias("node"), bit.alias("seen"))
+        else:
+            before = spark.table(held).select(*key, "seen")
+        seen, now = F.coalesce("seen", F.lit(0)), F.coalesce("found", F.lit(0))
+        merged = before.join(found, key, "full").select(
+            *key, seen.bitwiseOR(now).alias("seen"), now.bitwiseAND(F.bitwise_not(seen)).alias("new"))
+        table = f"{name}_{len(levels)}"
+        merged.write.bucketBy(buckets, *key).format("parquet").saveAsTable(table)
+        if held is not None:
+            spark.sql(f"DROP TABLE {held}")
+        held = table
+        fresh = spark.table(held).filter("new <> 0").select(*key, "new")
+        if fresh.isEmpty():
+            spark.sql(f"DROP TABLE {held}")
             break
-        levels.append(frontier)
+        frontier = landed(fresh)
+        levels.append(frontier.withColumn("distance", F.lit(len(levels) + 1)))
+    if not levels:
+        return steps.sparkSession.createDataFrame([], "archive_id string, root string, node string, distance int")
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("new", i) == 1)
+    pairs = reduce(DataFrame.unionByName, levels).select(*key, "distance", F.explode(bits).alias("bit"))
+    return pairs.join(numbered, ["archive_id", "block", "bit"]).select(*PAIR, "distance")
+
+
+def _reach(edges: DataFrame, roots: DataFrame, incoming: bool) -> DataFrame:
+    """All that roots reach, with least distance, the root itself left out.
+
+    Where kinds of nodes don't lead back to themselves, as in an archive's own graph, the closure
+    is a few joins; else it goes level by level for 64 roots at once.
+    """
+    near, far = ("dst", "src") if incoming else ("src", "dst")
+    steps = edges.select("archive_id", _name(f"{near}_kind", f"{near}_id").alias("node"),
+                         _name(f"{far}_kind", f"{far}_id").alias("to")).distinct()
+    starts = roots.select("archive_id", _name("kind", "id").alias("root")).distinct()
+    kinds = _kind_steps(edges, near, far)
+    stages = _stages(kinds) if kinds is not None else None
+    if stages is not None and stages[0] <= MOST_STAGES:
+        found = _staged(steps, starts.withColumn("node", F.col("root")), kinds, *stages)
+    else:
+        found = _bit_parallel(stable(steps), starts)
 
     def part(column: str, i: int) -> Column:
         return F.split_part(F.col(column), F.lit("\x00"), F.lit(i))
 
-    return reduce(DataFrame.unionByName, levels).filter(F.col("distance") > 0).select(
+    return found.select(
         "archive_id", part("root", 1).alias("root_kind"), part("root", 2).alias("root_id"),
         part("node", 1).alias("node_kind"), part("node", 2).alias("node_id"), "distance")
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from provlens import schemas
 from provlens.operators import graph, proofs
 
@@ -46,6 +48,33 @@ def test_random_graphs_keep_least_distance(spark):
     assert got == {n: b for n in names if (b := brute(pairs, n, True))}
 
 
+def test_many_roots_share_bits(spark):
+    rnd = random.Random(6)
+    pairs = list({(f"v{rnd.randrange(150)}", f"v{rnd.randrange(150)}") for _ in range(220)})
+    names = [f"v{i}" for i in range(150)]
+    for incoming, fn in ((True, graph.dependents_closure), (False, graph.dependency_closure)):
+        got = {}
+        for r in fn(edges(spark, pairs), nodes(spark, names)).collect():
+            assert r.node_id not in got.setdefault(r.root_id, {})
+            got[r.root_id][r.node_id] = r.distance
+        assert got == {n: b for n in names if (b := brute(pairs, n, incoming))}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("closure_")]
+
+
+def test_kinds_that_dont_lead_back_take_joins_only(spark):
+    # Two ways of different length lead from a to c; the shorter one counts.
+    rows = [("x", "e", "a", "1", "b", "1"), ("x", "e", "a", "2", "b", "1"), ("x", "e", "b", "1", "c", "1"), ("x", "e", "a", "1", "c", "1"),
+            ("x", "e", "b", "2", "c", "1"), ("y", "e", "b", "1", "c", "9")]
+    kinds = graph._kind_steps(spark.createDataFrame(rows, EDGE), "src", "dst")
+    assert graph._stages(kinds) == (2, False) and graph._stages({"a": {"b"}, "b": {"c"}}) == (2, True)
+    assert graph._stages({"a": {"b"}, "b": {"a"}}) is None and graph._stages({"a": {"a"}}) is None and graph._stages({}) == (0, True)
+    roots = spark.createDataFrame([("x", "a", "1"), ("x", "a", "2"), ("y", "b", "1"), ("z", "b", "1")], "archive_id string, kind string, id string")
+    got = {(r.archive_id, r.root_id, r.node_kind, r.node_id, r.distance)
+           for r in graph.dependency_closure(spark.createDataFrame(rows, EDGE), roots).collect()}
+    assert got == {("x", "1", "b", "1", 1), ("x", "1", "c", "1", 1), ("x", "2", "b", "1", 1), ("x", "2", "c", "1", 2), ("y", "1", "c", "9", 1)}
+    assert graph.dependency_closure(spark.createDataFrame([], EDGE), roots).collect() == []
+
+
 def test_unknown_root_is_told_apart(spark):
     known = graph.known_roots(nodes(spark, ["a"]), nodes(spark, ["a", "zz"])).collect()
     assert {r.id: r.exists for r in known} == {"a": True, "zz": False}
@@ -131,3 +160,77 @@ def test_level_of_a_claim_with_two_producers(spark):
              ("5", best, ["d"], "e"), ("6", "conjunction_intro", ["c", "e"], "f")]
     p = landed(spark, {"l": (["p"], steps, [("c", "1"), ("c1", "3"), ("d", "4"), ("e", "5"), ("f", "6")], "f")})
     assert {r.claim_id: r.level for r in proofs.proof_levels(p).collect()} == {"p": 0, "c1": 1, "c": 2, "d": 3, "e": 4, "f": 5}
+
+
+def plain_levels(premises, steps, cyclic):
+    levels = {p: 0 for p in premises}
+    for _ in range(len(steps) + 2):
+        for _, _, inputs, out in steps:
+            if out not in cyclic and inputs and all(i in levels for i in inputs):
+                levels[out] = max(levels.get(out, 0), 1 + max(levels[i] for i in inputs))
+    return levels
+
+
+@pytest.mark.parametrize("small", [10_000, 8])
+def test_random_proofs_have_the_cycles_and_levels_of_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(proofs, "SMALL_PROOF", small)
+    rnd = random.Random(11)
+    specs, want, levels = {}, set(), {}
+    for k in range(40):
+        n = rnd.randrange(3, 14)
+        names = [f"c{i:02d}" for i in range(n)]
+        forward = k % 2  # half of the proofs have no cycle
+        steps = []
+        for j in range(rnd.randrange(2, 2 * n)):
+            out = rnd.randrange(1, n)
+            pool = names[:out] if forward else names
+            steps.append((f"i{j}", "conjunction_intro", rnd.sample(pool, min(len(pool), rnd.choice([1, 1, 1, 2, 3]))), names[out]))
+        specs[f"p{k}"] = ([names[0]], steps, [(c, "i0") for c in names[1:]], names[-1])
+        ahead = {}
+        for _, _, inputs, out in steps:
+            for i in inputs:
+                ahead.setdefault(i, set()).add(out)
+        for a in names:
+            seen, todo = set(), list(ahead.get(a, ()))
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += ahead.get(x, ())
+            if a in seen:
+                want.add((f"p{k}", a))
+        cyclic = {c for p, c in want if p == f"p{k}"}
+        levels |= {(f"p{k}", c): v for c, v in plain_levels([names[0]], steps, cyclic).items()}
+    p = landed(spark, specs)
+    got = [(r.proof_id, r.claim_id) for r in proofs.proof_cycles(p).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    made = proofs.proof_levels(p).collect()
+    assert len(made) == len(levels) and {(r.proof_id, r.claim_id): r.level for r in made} == levels
+
+
+def test_long_lines_and_rings_take_few_rounds(spark, monkeypatch):
+    n = 10_000
+    key = "archive_id string, proof_id string"
+    frame = lambda rows, more: spark.createDataFrame([("x", *r) for r in rows], f"{key}, {more}")
+    best = "abduction_to_best_explanation"
+    ring = [("ring", f"i{i}", best, f"c{(i + 1) % n}") for i in range(n)]
+    line = [("line", f"i{i}", best, f"c{i + 1}") for i in range(n)]
+    steps = frame(ring + line, "inference_id string, rule string, output_id string")
+    inputs = frame([(p, i, f"c{i[1:]}") for p, i, _, _ in ring + line] + [("line", f"i{i}", "p") for i in range(n)],
+                   "inference_id string, claim_id string")
+    claims = frame([(p, c, i) for p, i, _, c in ring + line], "claim_id string, inferred_by string")
+    premises = frame([("line", 0, "c0"), ("line", 1, "p")], "position int, claim_id string")
+    heads = frame([("line", "t", "h", "j", "jh", f"c{n}"), ("ring", "t", "h", "j", "jh", "c0")],
+                  "proof_type string, proof_hash string, target_justification_id string, target_justification_hash string, conclusion_claim_id string")
+    p = proofs.Proofs(heads, premises, None, steps, inputs, claims)
+    rounds = []
+    monkeypatch.setattr(proofs, "SMALL_PROOF", n - 1)
+    monkeypatch.setattr(proofs, "stable", lambda df, real=proofs.stable: (rounds.append(1), real(df))[1])
+    found = proofs.proof_cycles(p).groupBy("proof_id").count().collect()
+    assert [(r.proof_id, r["count"]) for r in found] == [("ring", n)] and len(rounds) <= 60
+    rounds.clear()
+    top = proofs.proof_levels(p).filter("proof_id = 'line'").orderBy("level").collect()
+    assert [r.level for r in top] == [0, *range(n + 1)] and len(rounds) <= 100
+    rounds.clear()
+    edges = proofs.claim_edges(p).filter("proof_id = 'line'")
+    assert proofs.reached_claims(edges, premises.filter("claim_id = 'c0'")).count() == n + 1 and len(rounds) <= 60
