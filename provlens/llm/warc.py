@@ -118,8 +118,23 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4
 
 
+def expanded(data: bytes, step: int = 1 << 16) -> bytes:
+    """All members of a gzip file; archives from elsewhere have one for each record."""
+    out, member = [], zlib.decompressobj(31)
+    for at in range(0, len(data), step):
+        piece = data[at:at + step]
+        while piece:
+            if member.eof:
+                member = zlib.decompressobj(31)
+            out.append(member.decompress(piece))
+            piece = member.unused_data if member.eof else b""
+    if data and not member.eof:
+        raise ValueError("archive is cut off")
+    return b"".join(out)
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per record of the archives in ``folder``.
+    """A row per response and revisit record of the archives in ``folder``; other records are passed over.
 
     page_id, url, record_type, refers_to, payload_bytes, payload_digest as the header and the
     HTTP head give them, stored_digest (recomputed; null for revisits) and payload (null for revisits).
@@ -136,14 +151,16 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 rows, held = [], 0
-                for fields, block in parse(zlib.decompress(data.as_py(), 31)):
+                for fields, block in parse(expanded(data.as_py())):
+                    if fields.get("WARC-Type") not in ("response", "revisit"):
+                        continue
                     head, _, payload = block.partition(b"\r\n\r\n")
-                    length = next(int(x.split(b": ")[1]) for x in head.split(b"\r\n") if x.startswith(b"Content-Length: "))
+                    length = next((int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
                     full = fields["WARC-Type"] == "response"
                     number = lambda k: int(fields[k]) if k in fields else None  # noqa: B023,E731
-                    rows.append((number("X-Page-ID"), fields["WARC-Target-URI"], fields["WARC-Type"],
+                    rows.append((number("X-Page-ID"), fields.get("WARC-Target-URI"), fields["WARC-Type"],
                                  number("X-Refers-To-Page-ID"), length,
-                                 fields["WARC-Payload-Digest"].removeprefix("sha256:"),
+                                 fields.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None,
                                  hashlib.sha256(payload).hexdigest() if full else None, payload if full else None))
                     held += len(payload)
                     if held > 8_000_000:

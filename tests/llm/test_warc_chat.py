@@ -45,6 +45,23 @@ def test_a_cut_archive_is_noticed():
         list(warc.parse(record))
 
 
+def test_archives_with_a_member_per_record_are_read_whole(spark, tmp_path):
+    import gzip
+
+    def record(kind, n, payload):
+        http = b"HTTP/1.1 200 OK\r\ncontent-length: %d\r\n\r\n" % len(payload) + payload
+        return (b"WARC/1.1\r\nWARC-Type: %s\r\nWARC-Target-URI: http://x/%d\r\nContent-Length: %d\r\n\r\n" % (kind, n, len(http))) + http + b"\r\n\r\n"
+
+    records = [record(b"warcinfo", 0, b"about")] + [record(b"response", n, b"p" * n * 1000) for n in range(1, 90)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    rows = warc.read(spark, str(tmp_path)).collect()
+    assert sorted((r.url, r.payload_bytes, len(r.payload), r.page_id, r.payload_digest) for r in rows) == sorted(
+        (f"http://x/{n}", n * 1000, n * 1000, None, None) for n in range(1, 90))
+    assert warc.expanded(gzip.compress(b"one") + gzip.compress(b"") + gzip.compress(b"two"), 7) == b"onetwo"
+    with pytest.raises(ValueError):
+        warc.expanded(gzip.compress(b"one" * 100)[:-9])
+
+
 def test_no_pages(pages):
     assert warc.archive(pages.limit(0)).collect() == []
 
