@@ -231,9 +231,15 @@ def key_summary(states: DataFrame) -> DataFrame:
 
 
 def anchor_match(claims: DataFrame, headers: DataFrame) -> DataFrame:
-    """Merkle root claimed at a height against bytes 36 to 67 of the block header."""
+    """Merkle root claimed at a height against bytes 36 to 67 of the block header.
+
+    A height may have several equal headers; where they name different roots, none is sure and
+    nothing is anchored there.
+    """
     root = F.lower(F.substring("header_hex", 73, 64))
-    return (claims.join(headers.select("height", root.alias("header_root")), "height", "left")
+    sure = headers.groupBy("height").agg(F.min(root).alias("low"), F.max(root).alias("header_root")).filter(
+        F.col("low") == F.col("header_root")).drop("low")
+    return (claims.join(sure, "height", "left")
             .withColumn("anchored", F.coalesce(
                 F.lower("merkle_root") == F.col("header_root"), F.lit(False))))
 
@@ -242,8 +248,11 @@ def footprint_status(references: DataFrame, fetched: DataFrame) -> DataFrame:
     """Status of each published key reference.
 
     ``references``: ``archive_id, kind, uri, declared_fingerprint``; ``fetched``:
-    ``kind, uri, fingerprints`` for every reference that could be read.
+    ``kind, uri, fingerprints`` for every reference that could be read. A reference that was read
+    several times has the fingerprints of all its rows.
     """
+    once = fetched.groupBy("kind", "uri").agg(F.when(F.count("fingerprints") > 0, F.array_distinct(
+        F.flatten(F.array_sort(F.collect_set("fingerprints"))))).alias("fingerprints"))
     got = F.col("fingerprints")
     status = (F.when(~F.col("kind").isin(schemas.FOOTPRINT_KINDS), F.lit("unsupported"))
               .when(got.isNull(), F.lit("unreachable"))
@@ -251,7 +260,7 @@ def footprint_status(references: DataFrame, fetched: DataFrame) -> DataFrame:
               .otherwise(F.lit("mismatch")))
     shown = (F.when(F.col("status") == "verified", F.col("declared_fingerprint"))
              .when(F.col("status") == "mismatch", F.try_element_at(got, F.lit(1))))
-    return (references.join(fetched.select("kind", "uri", "fingerprints"), ["kind", "uri"], "left")
+    return (references.join(once, ["kind", "uri"], "left")
             .withColumn("status", status).withColumn("fetched_fingerprint", shown)
             .drop("fingerprints"))
 

@@ -284,8 +284,9 @@ def _jumped(pointers: DataFrame) -> DataFrame:
     """
     open_ones = stable(pointers.select(*KEY, "claim_id", F.col("next").alias("end"), F.lit(1).cast("long").alias("steps"),
                                         F.col("claim_id").alias("least")))
-    total = left = open_ones.count()
-    reach, done = 1, []
+    # No line or ring is longer than the most pointers of a proof.
+    total = open_ones.groupBy(*KEY).count().agg(F.max("count")).first()[0] or 0
+    left, reach, done = total, 1, []
     while left and reach <= total:
         ahead = [d.withColumn("_ended", F.lit(True)) for d in done] + [open_ones.withColumn("_ended", F.lit(False))]
         ahead = reduce(DataFrame.unionByName, ahead).select(

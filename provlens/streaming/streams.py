@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provlens.operators import chains
+from provlens.session import stable
 
 
 def _folder_exists(spark: SparkSession, path: str) -> bool:
@@ -75,10 +76,42 @@ def follow_chain(state_path: str, failures_path: str):
 
 
 def stream_action_counts(log: DataFrame, window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
-    """Entries per window and action; ``timestamp`` must be a timestamp here."""
+    """Entries per window and action; ``timestamp`` must be a timestamp here.
+
+    In update mode with :func:`merge_counts`, windows behind the watermark leave the state.
+    """
     return (log.withWatermark("timestamp", watermark)
             .groupBy(F.window("timestamp", window).alias("w"), "action").agg(F.count("*").alias("count"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     "action", "count"))
 
 
+
+
+def merge_counts(path: str):
+    """A ``foreachBatch`` body for update mode: new totals replace those of their window and action.
+
+    A window's rows lie in a folder per version. A batch reads and rewrites only windows that it
+    has a new total for, as the version of its own number, so a repeated batch writes the same.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark: SparkSession = batch.sparkSession
+        fresh = stable(batch)
+        if _folder_exists(spark, path):
+            touched = [r["window_start"] for r in fresh.select("window_start").distinct().collect()]  # open windows only
+            held = _newest(spark.read.parquet(path).filter(F.col("window_start").isin(touched) & (F.col("version") < batch_id)))
+            fresh = stable(fresh.unionByName(held.join(fresh, ["window_start", "action"], "left_anti")))
+        (fresh.withColumn("version", F.lit(batch_id)).write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
+         .partitionBy("window_start", "version").parquet(path))
+
+    return write
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    last = rows.groupBy("window_start").agg(F.max("version").alias("version"))
+    return rows.join(last, ["window_start", "version"], "left_semi").select("window_start", "window_end", "action", "count")
+
+
+def merged_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The totals that :func:`merge_counts` has written: the newest version of each window."""
+    return _newest(spark.read.parquet(path))

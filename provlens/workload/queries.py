@@ -1031,6 +1031,87 @@ def _(w):
                     (canon.self_hash(c, "certificate") == F.col("certificate_hash")).alias("intact"))
 
 
+_ATTESTED = {"artifact_kind": q("evidence"), "artifact_hash": s("hash"), "signer_id": s("'signer-' || source_id"),
+             "public_key_fingerprint": s("sha256('key:' || source_id)"), "signature": s("sha256('a:' || hash) || sha256('b:' || hash)"),
+             "signature_algorithm": q("ed25519"), "signed_at": s(iso("ingested_at")), "schema_version": q("1")}
+
+
+@query("fn_4_self_hash_attestation", f"""SELECT archive_id, hash AS artifact_hash, sha256({obj(_ATTESTED)}) AS attestation_hash,
+ doc_id % 9 <> 4 AS intact FROM ev WHERE hash IS NOT NULL""")
+def _(w):
+    # Of every ninth attestation the signer was changed after its hash was made.
+    signer = F.concat(F.lit("signer-"), "source_id")
+    made = w.evidence.filter("hash IS NOT NULL").select(
+        "archive_id", "doc_id", F.lit("evidence").alias("artifact_kind"), F.col("hash").alias("artifact_hash"), signer.alias("signer_id"),
+        sha("key:", F.col("source_id")).alias("public_key_fingerprint"), F.concat(sha("a:", F.col("hash")), sha("b:", F.col("hash"))).alias("signature"),
+        F.lit("ed25519").alias("signature_algorithm"), text("ingested_at").alias("signed_at"), F.lit("1").alias("schema_version"))
+    stored = made.withColumn("attestation_hash", canon.self_hash(made, "attestation")).withColumn(
+        "signer_id", F.when(F.col("doc_id") % 9 == 4, F.lit("another")).otherwise(F.col("signer_id")))
+    return stored.select("archive_id", "artifact_hash", "attestation_hash",
+                         (canon.self_hash(stored, "attestation") == F.col("attestation_hash")).alias("intact"))
+
+
+_PROOF = {"proof_type": q(f"{schemas.NAMESPACE}.justification.inference-proof.v1"), "schema_version": q("1"), "proof_id": s("'proof-' || doc_id"),
+          "target_justification_id": s("'j-' || doc_id"), "target_justification_hash": s("sha256('j:' || doc_id)"), "conclusion_claim_id": q("c1"),
+          "premises": "'[' || " + obj({"id": q("p1"), "text": s("'from ' || source_id"), "kind": q("observation"), "evidence_refs": f"'[' || {s('hash')} || ']'"}) + " || ']'",
+          "inferences": "'[' || " + obj({"id": q("i1"), "rule": q("abduction_to_best_explanation"), "input_claim_ids": "'[\"p1\"]'", "output_claim_id": q("c1"),
+                                        "text": "'\"é \\\"so\\\"\\n\"'"}) + " || ']'",
+          "derived_claims": "'[' || " + obj({"id": q("c1"), "text": s("kind"), "inferred_by": q("i1")}) + " || ']'"}
+
+
+@query("fn_4_self_hash_inference_proof", f"""SELECT archive_id, 'proof-' || doc_id AS proof_id, sha256({obj(_PROOF)}) AS proof_hash,
+ doc_id % 9 <> 5 AS intact FROM ev WHERE hash IS NOT NULL""")
+def _(w):
+    # Of every ninth proof the rule was changed after its hash was made.
+    def steps(rule):
+        return F.array(F.struct(F.lit("i1").alias("id"), rule.alias("rule"), F.array(F.lit("p1")).alias("input_claim_ids"),
+                                F.lit("c1").alias("output_claim_id"), F.lit('é "so"\n').alias("text")))
+
+    number = F.col("doc_id").cast("string")
+    made = w.evidence.filter("hash IS NOT NULL").select(
+        "archive_id", "doc_id", F.lit(f"{schemas.NAMESPACE}.justification.inference-proof.v1").alias("proof_type"), F.lit("1").alias("schema_version"),
+        F.concat(F.lit("proof-"), number).alias("proof_id"), F.concat(F.lit("j-"), number).alias("target_justification_id"),
+        sha("j:", number).alias("target_justification_hash"),
+        F.array(F.struct(F.lit("p1").alias("id"), F.concat(F.lit("from "), "source_id").alias("text"), F.array("hash").alias("evidence_refs"),
+                         F.lit("observation").alias("kind"))).alias("premises"),
+        steps(F.lit("abduction_to_best_explanation")).alias("inferences"),
+        F.array(F.struct(F.lit("c1").alias("id"), F.col("kind").alias("text"), F.lit("i1").alias("inferred_by"))).alias("derived_claims"),
+        F.lit("c1").alias("conclusion_claim_id"))
+    stored = made.withColumn("proof_hash", canon.self_hash(made, "inference_proof")).withColumn(
+        "inferences", steps(F.when(F.col("doc_id") % 9 == 5, F.lit("modus_ponens")).otherwise(F.lit("abduction_to_best_explanation"))))
+    return stored.select("archive_id", "proof_id", "proof_hash",
+                         (canon.self_hash(stored, "inference_proof") == F.col("proof_hash")).alias("intact"))
+
+
+def _entry_sql(role: str, name: str) -> str:
+    return "'[' || " + obj({"entry_role": q(role), "entry_identifier": s(name), "entry_hash": s(f"sha256('{role}:' || {name})")}) + " || ']'"
+
+
+_JDIFF = {"justification_a_hash": s("sha256('ja:' || hash)"), "justification_b_hash": s("sha256('jb:' || hash)"), "removed_entries": "'[]'",
+          "added_entries": _entry_sql("evidence", "hash"), "unchanged_entries": _entry_sql("source", "source_id"), "schema_version": q("1")}
+
+
+@query("fn_4_self_hash_justification_diff", f"""SELECT archive_id, hash, sha256({obj(_JDIFF)}) AS diff_hash, doc_id % 9 <> 6 AS intact
+ FROM ev WHERE hash IS NOT NULL""")
+def _(w):
+    # Of every ninth diff an entry was taken from one list to another after its hash was made.
+    def entry(role, name):
+        return F.array(F.struct(F.lit(role).alias("entry_role"), F.col(name).alias("entry_identifier"),
+                                sha(f"{role}:", F.col(name)).alias("entry_hash")))
+
+    none = F.array().cast("array<struct<entry_role: string, entry_identifier: string, entry_hash: string>>")
+    made = w.evidence.filter("hash IS NOT NULL").select(
+        "archive_id", "doc_id", "hash", sha("ja:", F.col("hash")).alias("justification_a_hash"), sha("jb:", F.col("hash")).alias("justification_b_hash"),
+        entry("evidence", "hash").alias("added_entries"), none.alias("removed_entries"), entry("source", "source_id").alias("unchanged_entries"),
+        F.lit("1").alias("schema_version"))
+    moved = F.col("doc_id") % 9 == 6
+    stored = made.withColumn("diff_hash", canon.self_hash(made, "justification_diff")).withColumn(
+        "removed_entries", F.when(moved, F.col("added_entries")).otherwise(none)).withColumn(
+        "added_entries", F.when(moved, none).otherwise(F.col("added_entries")))
+    return stored.select("archive_id", "hash", "diff_hash",
+                         (canon.self_hash(stored, "justification_diff") == F.col("diff_hash")).alias("intact"))
+
+
 @query("fn_5_entry_hash", f"""SELECT archive_id, event_id, sha256({entry_text(lit(ZERO), seq="event_id")}) AS entry_hash
  FROM ebase""")
 def _(w):
@@ -1616,13 +1697,18 @@ def _(w):
 @query("str_3_stream_action_counts", """SELECT strftime(date_trunc('day', ts), '%Y-%m-%dT%H:%M:%SZ') AS window_start,
  event_type AS action, count(*) AS count FROM events GROUP BY ALL""")
 def _(w):
+    # Four files in order of time, a batch each; windows that are over leave the state.
     landing, table, log = (scratch(w.spark, n) for n in ("entries", "counts", "progress"))
-    w.events.select(F.col("ts").cast("timestamp").alias("timestamp"), "action").write.parquet(landing)
-    stream = w.spark.readStream.schema("timestamp timestamp, action string").parquet(landing)
-    run = (streams.stream_action_counts(stream).writeStream.foreachBatch(streams.replace_table(table))
-           .outputMode("complete").option("checkpointLocation", log).trigger(availableNow=True).start())
+    entries = w.events.select(F.col("ts").cast("timestamp").alias("timestamp"), "action")
+    low, high = entries.select(F.min(F.col("timestamp").cast("long")), F.max(F.col("timestamp").cast("long"))).first()
+    part = F.least(F.floor((F.col("timestamp").cast("long") - low) * 4 / max(1, high - low)), F.lit(3))
+    for i in range(4):
+        entries.filter(part == i).coalesce(1).write.mode("append").parquet(landing)
+    stream = w.spark.readStream.schema("timestamp timestamp, action string").option("maxFilesPerTrigger", 1).parquet(landing)
+    run = (streams.stream_action_counts(stream).writeStream.foreachBatch(streams.merge_counts(table))
+           .outputMode("update").option("checkpointLocation", log).trigger(availableNow=True).start())
     run.awaitTermination()
-    return w.spark.read.parquet(table).select(text("window_start").alias("window_start"), "action", "count")
+    return streams.merged_counts(w.spark, table).select(text("window_start").alias("window_start"), "action", "count")
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -166,3 +166,19 @@ def test_skewed_logs_stay_whole(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_repeated_headers_and_references_count_once(spark):
+    from provlens.operators import joins
+    root, other = "ab" * 32, "cd" * 32
+    claims = spark.createDataFrame([(1, root), (2, root), (3, root)], "height long, merkle_root string")
+    header = lambda r: "0" * 72 + r + "0" * 24
+    headers = spark.createDataFrame([(1, header(root)), (1, header(root)), (2, header(root)), (2, header(other))], "height long, header_hex string")
+    got = joins.anchor_match(claims, headers).collect()
+    assert sorted((r.height, r.anchored) for r in got) == [(1, True), (2, False), (3, False)]
+    refs = spark.createDataFrame([("x", "https_pem", "u", "f2"), ("x", "https_pem", "v", "f9"), ("x", "https_pem", "n", "f1")],
+                                 "archive_id string, kind string, uri string, declared_fingerprint string")
+    fetched = spark.createDataFrame([("https_pem", "u", ["f1"]), ("https_pem", "u", ["f2"]), ("https_pem", "v", ["f1"]), ("https_pem", "v", ["f1"]),
+                                     ("https_pem", "n", None)], "kind string, uri string, fingerprints array<string>")
+    got = joins.footprint_status(refs, fetched).collect()
+    assert sorted((r.uri, r.status) for r in got) == [("n", "unreachable"), ("u", "verified"), ("v", "mismatch")]

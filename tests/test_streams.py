@@ -7,7 +7,7 @@ import random
 import pytest
 
 from provlens.operators import chains
-from provlens.streaming import chain_state
+from provlens.streaming import chain_state, streams
 from tests.conftest import chain
 
 ENTRY = ("archive_id string, pos long, seq long, prev_hash string, timestamp string, actor string, action string, "
@@ -80,3 +80,31 @@ def test_a_gap_is_given_up_after_a_while(spark, tmp_path):
     land(spark, src, chain("b", 2)[1:], ENTRY, NAMES, 2)
     got = follow(spark, src, out, log, patience_ms=1)
     assert got == [("a", 5, 5, "no entry before position 5 came.")]
+
+
+def test_counts_are_merged_while_old_windows_leave_the_state(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    src, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    start, want = datetime(2026, 1, 1), {}
+    rng = random.Random(3)
+    for day in range(8):
+        rows = [{"timestamp": start + timedelta(days=day, minutes=rng.randrange(1440)), "action": rng.choice("ab")} for _ in range(20)]
+        if day:  # still open: the watermark follows by two days
+            rows += [{"timestamp": start + timedelta(days=day - 1, hours=1), "action": "c"}]
+        for r in rows:
+            k = (r["timestamp"].date(), r["action"])
+            want[k] = want.get(k, 0) + 1
+        land(spark, src, rows, "timestamp timestamp, action string", ["timestamp", "action"], day)
+    stream = spark.readStream.schema("timestamp timestamp, action string").option("maxFilesPerTrigger", 1).parquet(src)
+    run = (streams.stream_action_counts(stream, watermark="2 days").writeStream.foreachBatch(streams.merge_counts(out))
+           .outputMode("update").option("checkpointLocation", log).trigger(availableNow=True).start())
+    run.awaitTermination()
+    got = streams.merged_counts(spark, out).collect()
+    assert {(r.window_start.date(), r.action): r["count"] for r in got} == want and len(got) == len(want)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]) <= 15
+    batch = spark.createDataFrame([(start, start + timedelta(days=1), "a", 1000)], "window_start timestamp, window_end timestamp, action string, count long")
+    for _ in range(2):  # a repeated batch changes nothing more
+        streams.merge_counts(out)(batch, 900)
+    again = {(r.window_start.date(), r.action): r["count"] for r in streams.merged_counts(spark, out).collect()}
+    assert again == {**want, (start.date(), "a"): 1000}
