@@ -110,7 +110,8 @@ def stream_verify_chain(entries: DataFrame, patience_ms: int | None = None, span
     ``span`` places, so a log that holds most of all entries is followed by many tasks; the last
     entry of a span also goes to the next one. An entry waits until the one before it has come,
     which gives the failures of the table. With ``patience_ms`` it waits so long at most: then the
-    gap is a failure of its own and the chain goes on behind it.
+    gap is a failure of its own and the chain goes on behind it. Such a stream waits for clock
+    time, so it runs with a trigger of its own pace; ``availableNow`` would never find it done.
 
     Start the stream inside :func:`keyed_state_store`, in append mode.
     """
