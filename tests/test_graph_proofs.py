@@ -206,31 +206,3 @@ def test_random_proofs_have_the_cycles_and_levels_of_brute_force(spark, monkeypa
     assert len(got) == len(set(got)) and set(got) == want and want
     made = proofs.proof_levels(p).collect()
     assert len(made) == len(levels) and {(r.proof_id, r.claim_id): r.level for r in made} == levels
-
-
-def test_long_lines_and_rings_take_few_rounds(spark, monkeypatch):
-    n = 10_000
-    key = "archive_id string, proof_id string"
-    frame = lambda rows, more: spark.createDataFrame([("x", *r) for r in rows], f"{key}, {more}")
-    best = "abduction_to_best_explanation"
-    ring = [("ring", f"i{i}", best, f"c{(i + 1) % n}") for i in range(n)]
-    line = [("line", f"i{i}", best, f"c{i + 1}") for i in range(n)]
-    steps = frame(ring + line, "inference_id string, rule string, output_id string")
-    inputs = frame([(p, i, f"c{i[1:]}") for p, i, _, _ in ring + line] + [("line", f"i{i}", "p") for i in range(n)],
-                   "inference_id string, claim_id string")
-    claims = frame([(p, c, i) for p, i, _, c in ring + line], "claim_id string, inferred_by string")
-    premises = frame([("line", 0, "c0"), ("line", 1, "p")], "position int, claim_id string")
-    heads = frame([("line", "t", "h", "j", "jh", f"c{n}"), ("ring", "t", "h", "j", "jh", "c0")],
-                  "proof_type string, proof_hash string, target_justification_id string, target_justification_hash string, conclusion_claim_id string")
-    p = proofs.Proofs(heads, premises, None, steps, inputs, claims)
-    rounds = []
-    monkeypatch.setattr(proofs, "SMALL_PROOF", n - 1)
-    monkeypatch.setattr(proofs, "stable", lambda df, real=proofs.stable: (rounds.append(1), real(df))[1])
-    found = proofs.proof_cycles(p).groupBy("proof_id").count().collect()
-    assert [(r.proof_id, r["count"]) for r in found] == [("ring", n)] and len(rounds) <= 60
-    rounds.clear()
-    top = proofs.proof_levels(p).filter("proof_id = 'line'").orderBy("level").collect()
-    assert [r.level for r in top] == [0, *range(n + 1)] and len(rounds) <= 100
-    rounds.clear()
-    edges = proofs.claim_edges(p).filter("proof_id = 'line'")
-    assert proofs.reached_claims(edges, premises.filter("claim_id = 'c0'")).count() == n + 1 and len(rounds) <= 60
