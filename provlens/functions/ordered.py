@@ -1,34 +1,51 @@
 """Ordered work over groups of any size.
 
 A group (one archive, one timeline) may hold a third of all rows, so neither of
-these gathers one: rows are range-partitioned by group *and* order, which cuts a
-large group into many partitions.
+these gathers a large one: rows are range-partitioned by group *and* order, which cuts
+it into many partitions.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provlens.session import stable
 
 BLOCK_CHARS = 1 << 20
+# Rows of a key that are put in order in one task.
+GROUP_ROWS = 1 << 16
+
+
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the key that has most of them; only the keys are read."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
 def sequenced(df: DataFrame, keys: list[str], order: list[str],
-              previous: list[str] | None = None) -> DataFrame:
+              previous: list[str] | None = None, largest: int | None = None) -> DataFrame:
     """Add ``position`` (0-based, dense, per key) and ``prev_<c>`` for ``previous``.
 
-    Row numbers and lags run inside slices of a key; a table with one row per
-    slice supplies the offset and the row that comes before it.
+    Where no key has more than ``GROUP_ROWS`` rows, a key is numbered as a whole, in one shuffle.
+    Otherwise row numbers and lags run inside slices of a key; a table with one row per
+    slice supplies the offset and the row that comes before it. Rows without a key drop out.
+    ``largest`` may give the rows of the largest key where they are counted already.
     """
     previous = previous or []
+    if keys and (largest_group(df, keys) if largest is None else largest) <= GROUP_ROWS:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        rows = df.filter(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]))
+        return rows.select(
+            *keys, *[c for c in df.columns if c not in keys],
+            *[F.lag(c).over(whole).alias(f"prev_{c}") for c in previous],
+            (F.row_number().over(whole) - 1).cast("long").alias("position"))
     ranged = stable(df.repartitionByRange(*keys, *order)
                     .withColumn("_slice", F.spark_partition_id()))
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provlens import schemas
 from provlens.functions import canonical as canon
-from provlens.functions.ordered import sequenced
-from provlens.session import ensure_checkpoint_dir, stable
+from provlens.functions.ordered import GROUP_ROWS, largest_group, sequenced
+from provlens.session import ensure_checkpoint_dir, landed
 
 # Entries per window group; one log spreads over many groups.
 SPAN = 1 << 16
@@ -129,62 +129,76 @@ def chain_head(log: DataFrame, archives: DataFrame | None = None) -> DataFrame:
         F.coalesce("total", F.lit(0)).alias("total"))
 
 
-def _fold_schema() -> str:
-    return "archive_id string, position long, prev_hash string, entry_hash string"
-
-
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _folding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Link rows that come in order of archive and position; one digest of state.
 
-    The first row of an archive has no text and brings the hash to start from.
+    A row without text, in front of an archive's others, brings the hash to start from.
     """
-    before = ""
-    for pdf in batches:
-        out = []
-        for key, position, left, right in zip(pdf["archive_id"], pdf["position"], pdf["left"], pdf["right"]):
+    archive, before = None, schemas.ZERO_HASH
+    for batch in batches:
+        names = [n for n in batch.schema.names if n not in ("left", "right")]
+        text = batch.schema.field("archive_id").type
+        linked, prev, own = [], [], []
+        for key, left, right in zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist()
+                                      for n in ("archive_id", "left", "right")]):
+            linked.append(left is not None)
             if left is None:
-                before = right
+                archive, before = key, right
                 continue
-            digest = hashlib.sha256((left + before + right).encode("utf-8")).hexdigest()
-            out.append((key, position, before, digest))
-            before = digest
-        yield pd.DataFrame(out, columns=["archive_id", "position", "prev_hash", "entry_hash"])
-
-
-def fold_chain(texts: DataFrame, heads: DataFrame | None = None, round_rows: int = ROUND_ROWS) -> DataFrame:
-    """Link canonical texts into chains: ``archive_id, position, prev_hash, entry_hash``.
-
-    ``texts`` has ``archive_id``, dense ``position`` and the canonical text around
-    the previous hash (``left``, ``right``), made in parallel beforehand; ``heads``
-    may give the ``start_hash`` of every archive. A chain is sequential, so what is
-    left per entry is one digest, fed row by row. A long chain advances
+            if key != archive:
+                archive, before = key, schemas.ZERO_HASH
+            prev.append(before)
+            before = hashlib.sha256((left + before + right).encode("utf-8")).hexdigest()
+            own.append(before)
+        rows = batch if all(linked) else batch.filter(pa.array(linked, pa.bool_()))
+        yield pa.RecordBatch.from_arrays(
+            [*[rows.column(rows.schema.get_field_index(n)) for n in names], pa.array(prev, text), pa.array(own, text)],
+            [*names, "prev_hash", "entry_hash"])
+
+
+def fold_chain(texts: DataFrame, heads: DataFrame | None = None, round_rows: int = ROUND_ROWS,
+               carry: Sequence[str] = (), whole: bool = False) -> DataFrame:
+    """Link canonical texts into chains: ``archive_id, position, *carry, prev_hash, entry_hash``.
+
+    ``texts`` has ``archive_id``, dense ``position``, the canonical text around
+    the previous hash (``left``, ``right``), made in parallel beforehand, and the columns
+    to ``carry`` along; ``heads`` may give the ``start_hash`` of every archive. A chain is
+    sequential, so what is left per entry is one digest, fed row by row. A long chain advances
     ``round_rows`` entries per round and each round is written before the next, so
     losing an executor costs at most one round. Texts are written once, a folder per
-    round, so a round reads its own rows only.
+    round, so a round reads its own rows only. ``whole`` says that no chain is longer than
+    ``GROUP_ROWS`` and ``sequenced`` left each of them in one task: then texts without heads are
+    neither written nor shuffled again.
     """
     spark = texts.sparkSession
-    texts = texts.select("archive_id", "position", "left", "right")
+    texts = texts.select("archive_id", "position", "left", "right", *carry)
+    schema = T.StructType([*[f for f in texts.schema.fields if f.name not in ("left", "right")],
+                           T.StructField("prev_hash", T.StringType()), T.StructField("entry_hash", T.StringType())])
+
+    def folded(part: DataFrame) -> DataFrame:
+        return part.sortWithinPartitions("archive_id", "position").mapInArrow(_folding, schema)
+
+    if heads is None and whole:
+        return folded(texts)
     path = f"{ensure_checkpoint_dir(spark)}/texts-{uuid.uuid4().hex}"
     (texts.withColumn("_round", F.floor(F.col("position") / round_rows).cast("long"))
      .write.partitionBy("_round").parquet(path))
     written = spark.read.schema(T.StructType([*texts.schema.fields, T.StructField("_round", T.LongType())])).parquet(path)
     last = written.agg(F.max("_round").alias("m")).first()["m"]
-    texts = written.drop("_round")
-    if heads is None:
-        heads = texts.select("archive_id").distinct().withColumn("start_hash", F.lit(schemas.ZERO_HASH))
     done: list[DataFrame] = []
     for number in range((last if last is not None else -1) + 1):
         part = spark.read.schema(texts.schema).parquet(f"{path}/_round={number}")
-        # Heads travel as rows in front of their archive. A join would leave rows hash
-        # partitioned already, Spark would then drop the repartition, and a skewed join
-        # could deal one archive out to several tasks.
-        first = heads.select("archive_id", F.lit(-1).cast("long").alias("position"),
-                             F.lit(None).cast("string").alias("left"), F.col("start_hash").alias("right"))
-        linked = stable(part.unionByName(first).repartition("archive_id")
-                        .sortWithinPartitions("archive_id", "position").mapInPandas(_fold, _fold_schema()))
+        if heads is not None:
+            # Heads travel as rows in front of their archive. A join would leave rows hash
+            # partitioned already, Spark would then drop the repartition, and a skewed join
+            # could deal one archive out to several tasks.
+            part = part.unionByName(heads.select(
+                "archive_id", F.lit(-1).cast("long").alias("position"), F.lit(None).cast("string").alias("left"),
+                F.col("start_hash").alias("right")), allowMissingColumns=True)
+        linked = landed(folded(part.repartition("archive_id")))
         done.append(linked)
         heads = linked.groupBy("archive_id").agg(F.max_by("entry_hash", "position").alias("start_hash"))
-    return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], _fold_schema())
+    return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], schema)
 
 
 def append_chain(log: DataFrame | None, new: DataFrame, order: list[str],
@@ -194,7 +208,8 @@ def append_chain(log: DataFrame | None, new: DataFrame, order: list[str],
     ``new`` has the entry columns without ``seq``, ``prev_hash`` and ``entry_hash``;
     ``order`` says in which order they were recorded.
     """
-    placed = sequenced(new, ["archive_id"], order)
+    longest = largest_group(new, ["archive_id"])
+    placed = sequenced(new, ["archive_id"], order, largest=longest)
     if log is not None:
         heads = chain_head(log).select("archive_id", F.col("head_hash").alias("start_hash"), "total")
         starts = new.select("archive_id").distinct().join(heads, "archive_id", "left").select(
@@ -210,14 +225,13 @@ def append_chain(log: DataFrame | None, new: DataFrame, order: list[str],
     after = ["result", "schema_version", "seq", "target", "timestamp"]
     head = canon.canonical_struct({n: (F.col(n), placed.schema[n].dataType) for n in before})
     tail = canon.canonical_struct({n: (F.col(n), placed.schema[n].dataType) for n in after})
+    carry = [n for n in fields if n not in ("prev_hash", "entry_hash")]
     texts = placed.select(
-        "archive_id", "position",
+        "archive_id", "position", *carry,
         F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"prev_hash":"')).alias("left"),
         F.concat(F.lit('",'), F.substring(tail, F.lit(2), F.length(tail))).alias("right"))
-    linked = fold_chain(texts, heads, round_rows)
-    return (placed.join(linked, ["archive_id", "position"])
-            .withColumn("pos", F.col("seq"))
-            .select("archive_id", "pos", *fields))
+    linked = fold_chain(texts, heads, round_rows, carry, whole=longest <= min(GROUP_ROWS, round_rows))
+    return linked.withColumn("pos", F.col("seq")).select("archive_id", "pos", *fields)
 
 
 def rank_events(events: DataFrame, keys: list[str]) -> DataFrame:
