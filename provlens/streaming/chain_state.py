@@ -35,8 +35,9 @@ def keyed_state_store(spark: SparkSession) -> Iterator[None]:
 class ChainFollower(StatefulProcessor):
     """One part of a log: the entry that the next one must link to, and entries that wait for theirs.
 
-    ``last`` holds the place that comes next with the sequence number and hash it must follow;
-    ``waiting`` maps places to entries that came too early. A part is done when its last place is
+    Both are one list, so a batch reads and writes the state of a part in one call each: the row
+    that doesn't wait holds the place that comes next with the sequence number and hash it must
+    follow, the others are entries that came too early. A part is done when its last place is
     judged; of the state only the place then stays, so that repeats are known as such.
     """
 
@@ -45,27 +46,33 @@ class ChainFollower(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "place long, seq long, entry_hash string")
-        self.waiting = handle.getMapState("waiting", "pos long", "seq long, prev_hash string, entry_hash string, computed_hash string")
+        self.part = handle.getListState(
+            "part", "pos long, seq long, prev_hash string, entry_hash string, computed_hash string, waits boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         archive, part = key
         came: dict[int, tuple] = {}
         for pdf in rows:
-            for r in pdf[["pos", *LINK]].itertuples(index=False, name=None):
+            for r in zip(*[pdf[c] for c in ("pos", *LINK)]):
                 came.setdefault(int(r[0]), r[1:])
-        yield self._judged(archive, part, came, timerValues, skip=False)
+        yield from self._judged(archive, part, came, timerValues, skip=False)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         archive, part = key
-        yield self._judged(archive, part, {}, timerValues, skip=True)
+        yield from self._judged(archive, part, {}, timerValues, skip=True)
 
-    def _judged(self, archive: str, part: int, came: dict[int, tuple], timers: Any, skip: bool) -> pd.DataFrame:
+    def _judged(self, archive: str, part: int, came: dict[int, tuple], timers: Any, skip: bool) -> Iterator[pd.DataFrame]:
         begin, end = part * self.span, (part + 1) * self.span
-        known = tuple(self.last.get()) if self.last.exists() else (
-            (0, -1, schemas.ZERO_HASH) if part == 0 else (begin - 1, None, None))
+        known, held = None, {}
+        for pos, *entry, waits in self.part.get():
+            if waits:
+                held[pos] = tuple(entry)
+            else:
+                known = (pos, entry[0], entry[2])
+        new = known is None
+        if known is None:
+            known = (0, -1, schemas.ZERO_HASH) if part == 0 else (begin - 1, None, None)
         place, seq, link = known
-        held = {int(k[0]): tuple(v) for k, v in self.waiting.iterator()} if self.waiting.exists() else {}
         came = {p: v for p, v in came.items() if p >= place and p not in held}
         out = []
         open_entries = {**held, **came}
@@ -82,21 +89,19 @@ class ChainFollower(StatefulProcessor):
                 if own_seq != expected_seq or prev != expected or own != computed:
                     out.append((archive, place, own_seq, prev, own, computed, expected_seq, expected, False))
             seq, link, place = own_seq, own, place + 1
-        if (place, seq, link) != known or not self.last.exists():
-            self.last.update((place, seq, link))
-        for p in held:
-            if p < place:
-                self.waiting.removeKey((p,))
-        for p, entry in came.items():
-            if p >= place:
-                self.waiting.updateValue((p,), entry)
+        if new or (place, seq, link) != known:
+            waiting = [(p, *v, True) for p, v in open_entries.items() if p >= place]
+            self.part.put([(place, seq, None, link, None, False), *waiting])
+        elif came:
+            self.part.appendList([(p, *v, True) for p, v in came.items()])
         if self.patience_ms is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
             if any(p >= place for p in open_entries):
                 self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.patience_ms)
-        return pd.DataFrame(out, columns=[x.split()[0] for x in _JUDGED.split(", ")]).astype(
-            {"pos": "int64", "seq": "Int64", "expected_seq": "Int64", "missing": "bool"})
+        if out:
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in _JUDGED.split(", ")]).astype(
+                {"pos": "int64", "seq": "Int64", "expected_seq": "Int64", "missing": "bool"})
 
     def close(self) -> None:
         pass

@@ -50,3 +50,33 @@ def test_logs_are_chained_alike_in_rounds_and_at_once(spark, monkeypatch, rows,
         assert plan_of(log).count("Exchange") == plan_of(new).count("Exchange") + 1 and "Join" not in plan_of(log)
     got = {(r.archive_id, r.pos): (r.entry_hash, r.prev_hash, r.parameters, r.target) for r in log.collect()}
     assert got == {(r["archive_id"], r["pos"]): (r["entry_hash"], r["prev_hash"], r["parameters"], r["target"]) for r in entries}
+
+
+class _List:
+    """A list state that counts calls."""
+
+    def __init__(self):
+        self.rows, self.calls = [], 0
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls += 1
+        self.rows = list(rows)
+
+    def appendList(self, rows):  # noqa: N802
+        self.calls += 1
+        self.rows += rows
+
+
+def test_state_of_a_part_takes_two_calls_a_batch():
+    follower, state = chain_state.ChainFollower(100, None), _List()
+    follower.part = state
+    rows = {r["pos"]: (r["seq"], r["prev_hash"], r["entry_hash"], r["entry_hash"]) for r in chain("a", 60)}
+    rows[50] = (50, "f" * 64, rows[50][2], rows[50][3])
+    out = []
+    for came in (range(40, 60), range(20, 40), range(20)):
+        out += [f for pdf in follower._judged("a", 0, {p: rows[p] for p in came}, None, False) for f in pdf["pos"]]
+    assert out == [50] and state.calls == 6 and len(state.rows) == 1
