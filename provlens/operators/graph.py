@@ -121,13 +121,15 @@ def _stages(steps: dict[str, set[str]]) -> tuple[int, bool] | None:
 def _staged(steps: DataFrame, frontier: DataFrame, kinds: dict[str, set[str]], stages: int, even: bool) -> DataFrame:
     """Closure of a graph whose kinds don't lead back: one join a stage in a single plan, no rounds.
 
-    Nodes of kinds that lead nowhere are left out of the next join before they are shuffled.
+    Nodes of kinds that lead nowhere are left out of the next join before they are shuffled. Where
+    no node is led to by two others, a root finds none twice and nothing is sought to be dropped.
     """
+    single = steps.groupBy("archive_id", "to").count().filter("count > 1").isEmpty()
     levels = []
     for distance in range(1, stages + 1):
         going = frontier.filter(_kind("node").isin(*kinds))
-        frontier = (going.join(steps, ["archive_id", "node"])
-                    .select("archive_id", "root", F.col("to").alias("node")).distinct())
+        frontier = going.join(steps, ["archive_id", "node"]).select("archive_id", "root", F.col("to").alias("node"))
+        frontier = frontier if single else frontier.distinct()
         levels.append(frontier.withColumn("distance", F.lit(distance)))
     if not levels:
         return frontier.withColumn("distance", F.lit(0)).limit(0)

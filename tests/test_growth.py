@@ -80,3 +80,14 @@ def test_state_of_a_part_takes_two_calls_a_batch():
     for came in (range(40, 60), range(20, 40), range(20)):
         out += [f for pdf in follower._judged("a", 0, {p: rows[p] for p in came}, None, False) for f in pdf["pos"]]
     assert out == [50] and state.calls == 6 and len(state.rows) == 1
+
+
+def test_closures_of_forests_drop_no_repeats(spark):
+    nodes = spark.createDataFrame([("a", k, n) for k, n in [("x", "1"), ("y", "1"), ("y", "2"), ("z", "1"), ("z", "2")]],
+                                  "archive_id string, kind string, id string")
+    forest = [("a", "e", "y", "1", "x", "1"), ("a", "e", "y", "2", "x", "1"), ("a", "e", "z", "1", "y", "1"), ("a", "e", "z", "2", "y", "2")]
+    for pairs, repeats in ((forest, False), ([*forest, ("a", "e", "z", "1", "y", "2")], True)):
+        out = graph.impact(nodes, spark.createDataFrame(pairs, ", ".join(f"{c} string" for c in graph.EDGE)), nodes)
+        got = [(r.root_id, r.node_kind, r.node_id, r.distance) for r in out.filter("root_kind = 'x'").collect()]
+        assert sorted(got) == [("1", "y", "1", 1), ("1", "y", "2", 1), ("1", "z", "1", 2), ("1", "z", "2", 2)]
+        assert bool(re.search(r"keys=\[archive_id#\d+, root#\d+, \w+#\d+", plan_of(out))) == repeats
