@@ -5,6 +5,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +15,7 @@ from pyspark.sql import types as T
 from provlens import schemas
 from provlens.functions.canonical import self_hash
 from provlens.functions.ordered import sequenced
+from provlens.session import landed
 from provlens.sources.archive_files import read_files
 
 # Folders inside an archive.
@@ -82,19 +86,34 @@ def scan_blobs(spark: SparkSession, root: str, content: bool = False, digest: bo
     return out.filter(F.length("hash") == 64)
 
 
+@contextmanager
+def _few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Folders that are listed inside share a few tasks a core; by default each has one of its own."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def scan_audit(spark: SparkSession, root: str, strict: bool = True, pattern: str = "audit.log") -> DataFrame:
     """Audit entries with their dense line position ``pos``.
 
     Lines are read in splits, so one log may be as large as it likes, or be a folder
     of part files: file name, block start and row number in the split give the order.
+    Many logs are many small files, so they are opened once and the lines written to a table.
     """
-    lines = (spark.read.text(f"{root}/*/{pattern}")
+    with _few_listing_tasks(spark):
+        files = spark.read.text(f"{root}/*/{pattern}")
+    lines = (files
              .select(_archive_id(root).alias("archive_id"), "value",
                      F.col("_metadata.file_path").alias("path"),
                      F.col("_metadata.file_block_start").alias("block"),
                      F.monotonically_increasing_id().alias("line"))
              .filter(F.length(F.trim("value")) > 0))
-    placed = sequenced(lines, ["archive_id"], ["path", "block", "line"])
+    placed = sequenced(landed(lines), ["archive_id"], ["path", "block", "line"])
     schema = T.StructType(schemas.AUDIT_ENTRY.fields + [T.StructField("_bad", T.StringType())])
     mode = {"mode": "FAILFAST"} if strict else {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     shape = schemas.AUDIT_ENTRY if strict else schema

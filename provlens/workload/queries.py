@@ -94,14 +94,20 @@ def _(w):
 @query("src_5_scan_audit", f"""SELECT archive_id, pos, pos AS seq, event_type AS action, timestamp, cents
  FROM ebase""")
 def _(w):
-    # Write the logs as line files per archive, in order, and read them back.
+    from provlens.functions.ordered import sequenced
+    # Write the logs as line files per archive, 10,000 lines in each, in order, and read them back.
     root = scratch(w.spark, "logs")
     entries = w.events.withColumn("seq", F.lit(0).cast("long")).withColumn(
         "prev_hash", F.lit(schemas.ZERO_HASH)).withColumn("entry_hash", F.lit(schemas.ZERO_HASH))
     line = F.to_json(F.struct(*[f.name for f in schemas.AUDIT_ENTRY.fields]))
-    (entries.select("archive_id", "ts", "event_id", line.alias("value"))
-     .repartitionByRange("archive_id", "ts", "event_id").sortWithinPartitions("archive_id", "ts", "event_id")
-     .select("archive_id", "value").write.partitionBy("archive_id").text(root))
+    # Events of no user lie in a folder named as Spark names it.
+    owner = F.coalesce("archive_id", F.lit("__HIVE_DEFAULT_PARTITION__")).alias("archive_id")
+    lines = sequenced(entries.select(owner, "ts", "event_id", line.alias("value")), ["archive_id"], ["ts", "event_id"])
+    parts = lines.groupBy("archive_id", F.floor(F.col("position") / 10_000).alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("position", "value"))).alias("lines"))
+    writers.write_files(parts.select(
+        "archive_id", F.format_string("part-%012d", "part").alias("path"),
+        F.concat(F.array_join(F.col("lines.value"), "\n"), F.lit("\n")).alias("content")), root)
     read = readers.scan_audit(w.spark, root, pattern="")
     return read.select("archive_id", "pos", F.col("pos").alias("seq"), "action", "timestamp",
                        F.element_at("parameters", "cents").alias("cents"))

@@ -91,3 +91,17 @@ def test_closures_of_forests_drop_no_repeats(spark):
         got = [(r.root_id, r.node_kind, r.node_id, r.distance) for r in out.filter("root_kind = 'x'").collect()]
         assert sorted(got) == [("1", "y", "1", 1), ("1", "y", "2", 1), ("1", "z", "1", 2), ("1", "z", "2", 2)]
         assert bool(re.search(r"keys=\[archive_id#\d+, root#\d+, \w+#\d+", plan_of(out))) == repeats
+
+
+def test_small_logs_are_listed_in_few_tasks_and_opened_once(spark, tmp_path):
+    root = str(tmp_path / "logs")
+    entries = frame(spark, [r for i in range(40) for r in chain(f"a{i}", 2)])
+    line = F.to_json(F.struct(*[c for c in entries.columns if c not in ("archive_id", "pos")]))
+    writers.write_files(entries.groupBy("archive_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("pos", line.alias("v")))), lambda r: r["v"]), "\n").alias("content")).select(
+        "archive_id", F.lit("audit.log").alias("path"), "content"), root)
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism", None)
+    out = readers.scan_audit(spark, root)
+    assert "FileScan text" not in plan_of(out)
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism", None) == before
+    assert sorted((r.archive_id, r.pos, r.seq) for r in out.collect()) == sorted((f"a{i}", n, n) for i in range(40) for n in range(2))
