@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,21 +15,29 @@ def media_chain_status(manifests: DataFrame) -> DataFrame:
     signature_verified, declared_sha256``.
     """
     key = ["archive_id", "evidence_sha256"]
-    rows = manifests.select(*key, "label", "parent_label", "signature_verified", "declared_sha256")
-    parents = rows.filter("parent_label IS NOT NULL").groupBy(*key, F.col("parent_label").alias("label")).agg(
-        F.count("*").alias("children"))
-    labels = rows.groupBy(*key, "label").agg(
-        F.count("*").alias("copies"), F.count_if(F.col("parent_label").isNull()).alias("roots"),
-        F.count_if(~F.coalesce("signature_verified", F.lit(False))).alias("unsigned"),
-        F.max("declared_sha256").alias("declared"))
-    joined = labels.join(parents, [*key, "label"], "full_outer")
-    leaf = F.col("copies").isNotNull() & F.col("children").isNull()
-    facts = joined.groupBy(*key).agg(
-        F.sum("roots").alias("roots"), F.max("copies").alias("most_copies"),
-        F.count_if(F.col("copies").isNull()).alias("unknown_parents"),
+    # A row stands for its own label and, as a child, for its parent's: one grouping finds copies,
+    # children and unknown parents. Of the declared hash only its verdict is shuffled.
+    own = F.struct(
+        F.col("label"), F.lit(1).alias("copies"), F.col("parent_label").isNull().cast("int").alias("roots"),
+        (~F.coalesce("signature_verified", F.lit(False))).cast("int").alias("unsigned"), F.lit(0).alias("children"),
+        F.col("declared_sha256").isNotNull().alias("declares"),
+        (F.lower("declared_sha256") != F.lower("evidence_sha256")).alias("differs"))
+    above = F.struct(
+        F.col("parent_label").alias("label"), F.lit(0).alias("copies"), F.lit(0).alias("roots"), F.lit(0).alias("unsigned"),
+        F.lit(1).alias("children"), F.lit(False).alias("declares"), F.lit(None).cast("boolean").alias("differs"))
+    both = manifests.select(*key, F.explode(F.when(F.col("parent_label").isNull(), F.array(own)).otherwise(F.array(own, above))).alias("r"))
+    # Without a key a parent is nobody's.
+    apart = F.when(reduce(Column.__or__, [F.col(k).isNull() for k in key]), F.col("r.children") > 0)
+    labels = both.select(*key, "r.*", apart.alias("apart")).groupBy(*key, "label", "apart").agg(
+        *[F.sum(c).alias(c) for c in ("copies", "roots", "unsigned", "children")],
+        F.bool_or("declares").alias("declares"), F.bool_or("differs").alias("differs"))
+    leaf = (F.col("copies") > 0) & (F.col("children") == 0)
+    facts = labels.groupBy(*key).agg(
+        F.sum(F.when(F.col("copies") > 0, F.col("roots"))).alias("roots"), F.max("copies").alias("most_copies"),
+        F.count_if(F.col("copies") == 0).alias("unknown_parents"),
         F.sum("unsigned").alias("unsigned"),
-        F.coalesce(F.sum(F.when(leaf, F.col("copies"))), F.lit(0)).alias("leaves"),
-        F.max(F.when(leaf, F.col("declared"))).alias("leaf_hash"))
+        F.sum(F.when(leaf, F.col("copies")).otherwise(0)).alias("leaves"),
+        F.bool_or(leaf & F.col("declares")).alias("declares"), F.bool_or(leaf & F.col("differs")).alias("differs"))
     reason = (F.when(F.col("roots") != 1, F.concat(F.lit("expected one root, found "),
                                                    F.col("roots").cast("string")))
               .when(F.col("most_copies") > 1, F.lit("duplicate labels"))
@@ -35,8 +45,8 @@ def media_chain_status(manifests: DataFrame) -> DataFrame:
               .when(F.col("unsigned") > 0, F.lit("signature did not verify"))
               .when(F.col("leaves") != 1, F.concat(F.lit("expected one leaf, found "),
                                                    F.col("leaves").cast("string")))
-              .when(F.col("leaf_hash").isNull(), F.lit("leaf has no hash assertion"))
-              .when(F.lower("leaf_hash") != F.lower("evidence_sha256"), F.lit("leaf hash differs")))
+              .when(~F.col("declares"), F.lit("leaf has no hash assertion"))
+              .when(F.col("differs"), F.lit("leaf hash differs")))
     return facts.select(*key, reason.isNull().alias("chain_verified"), reason.alias("failure_reason"))
 
 

@@ -105,3 +105,22 @@ def test_small_logs_are_listed_in_few_tasks_and_opened_once(spark, tmp_path):
     assert "FileScan text" not in plan_of(out)
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism", None) == before
     assert sorted((r.archive_id, r.pos, r.seq) for r in out.collect()) == sorted((f"a{i}", n, n) for i in range(40) for n in range(2))
+
+
+def test_media_chains_are_grouped_without_a_join(spark):
+    e = "ab" * 32
+    rows = [("a", e, "1", None, True, "x"), ("a", e, "2", "1", True, e.upper()),
+            ("a", "two", "1", None, True, "two"), ("a", "two", "2", None, True, "two"),
+            ("a", "copies", "1", None, True, "c"), ("a", "copies", "2", "1", True, "c"), ("a", "copies", "2", "1", True, "c"),
+            ("a", "lost", "1", None, True, "x"), ("a", "lost", "3", "2", True, "lost"),
+            ("a", "sig", "1", None, None, "sig"), ("a", "fork", "1", None, True, "x"), ("a", "fork", "2", "1", True, "x"),
+            ("a", "fork", "3", "1", True, "x"), ("a", "bare", "1", None, True, None), ("a", "other", "1", None, True, "x"),
+            ("a", None, "1", None, True, "x"), ("a", None, "2", "1", True, "x"), ("a", "rootless", "2", "2", True, "x")]
+    df = spark.createDataFrame(rows, "archive_id string, evidence_sha256 string, label string, parent_label string, "
+                                     "signature_verified boolean, declared_sha256 string")
+    out = media.media_chain_status(df)
+    assert "Join" not in plan_of(out)
+    assert {r.evidence_sha256: r.failure_reason for r in out.collect()} == {
+        e: None, "two": "expected one root, found 2", "copies": "duplicate labels", "lost": "unknown parent",
+        "sig": "signature did not verify", "fork": "expected one leaf, found 2", "bare": "leaf has no hash assertion",
+        "other": "leaf hash differs", None: "unknown parent", "rootless": "expected one root, found 0"}
