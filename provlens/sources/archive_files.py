@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import fnmatch
 import hashlib
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -52,6 +53,26 @@ def _matches(path: str, pattern: str) -> bool:
     return fits(path.split("/"), pattern.split("/"))
 
 
+def _entries(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, fs.FileInfo | os.DirEntry]]:
+    """Name, whether it is a folder, and more of what lies in a folder; nothing if there is no such folder.
+
+    A local folder is gone through entry by entry. Others come as a whole, as ``pyarrow.fs`` lists them.
+    """
+    if isinstance(system, fs.LocalFileSystem):
+        try:
+            found = os.scandir(folder)
+        except (FileNotFoundError, NotADirectoryError):
+            return
+        with found:
+            for x in found:
+                if x.is_dir() or x.is_file():
+                    yield x.name, x.is_dir(), x
+        return
+    for x in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        if x.type in (fs.FileType.File, fs.FileType.Directory):
+            yield x.base_name, x.type == fs.FileType.Directory, x
+
+
 @dataclass
 class ArchiveSlice(InputPartition):
     archive_id: str
@@ -105,16 +126,17 @@ class ArchiveFilesReader(DataSourceReader):
             fixed += 1
 
         def walk(folder: str, depth: int, deep: bool) -> Iterator[fs.FileInfo]:
-            for x in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
-                if depth == fixed and zlib.crc32(x.base_name.encode()) % part.slices != part.slice:
+            for name, is_folder, x in _entries(system, folder):
+                if depth == fixed and zlib.crc32(name.encode()) % part.slices != part.slice:
                     continue
-                if x.type == fs.FileType.File:
-                    if (deep or depth == len(globs) - 1) and _matches(x.path[len(part.folder) + 1:], self.pattern):
-                        yield x
-                elif x.type == fs.FileType.Directory:
+                path = f"{folder}/{name}"
+                if not is_folder:
+                    if (deep or depth == len(globs) - 1) and _matches(path[len(part.folder) + 1:], self.pattern):
+                        yield x if isinstance(x, fs.FileInfo) else system.get_file_info(path)
+                else:
                     into = deep or globs[depth] == "**"
-                    if into or depth < len(globs) - 1 and fnmatch.fnmatchcase(x.base_name, globs[depth]):
-                        yield from walk(x.path, depth + 1, into)
+                    if into or depth < len(globs) - 1 and fnmatch.fnmatchcase(name, globs[depth]):
+                        yield from walk(path, depth + 1, into)
 
         yield from walk("/".join([part.folder, *globs[:fixed]]), fixed, globs[fixed] == "**")
 

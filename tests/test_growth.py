@@ -52,6 +52,24 @@ def test_logs_are_chained_alike_in_rounds_and_at_once(spark, monkeypatch, rows,
     assert got == {(r["archive_id"], r["pos"]): (r["entry_hash"], r["prev_hash"], r["parameters"], r["target"]) for r in entries}
 
 
+def test_local_folders_are_listed_entry_by_entry(tmp_path):
+    folder = tmp_path / "a" / "justifications"
+    folder.mkdir(parents=True)
+    for i in range(5000):
+        (folder / f"{i:064d}.json").touch()
+    listing = []
+
+    class Whole(fs.LocalFileSystem):
+        def get_file_info(self, what):
+            if isinstance(what, fs.FileSelector):
+                listing.append(what)
+            return super().get_file_info(what)
+
+    reader = archive_files.ArchiveFilesReader({"root": str(tmp_path), "pattern": "justifications/*.json"})
+    found = list(reader._files(Whole(), archive_files.ArchiveSlice("a", str(tmp_path / "a"), 0, 1)))
+    assert len(found) == 5000 and not listing
+
+
 class _List:
     """A list state that counts calls."""
 
