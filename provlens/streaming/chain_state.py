@@ -6,8 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -49,19 +48,18 @@ class ChainFollower(StatefulProcessor):
         self.part = handle.getListState(
             "part", "pos long, seq long, prev_hash string, entry_hash string, computed_hash string, waits boolean")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         archive, part = key
         came: dict[int, tuple] = {}
-        for pdf in rows:
-            for r in zip(*[pdf[c] for c in ("pos", *LINK)]):
-                came.setdefault(int(r[0]), r[1:])
+        for r in rows:
+            came.setdefault(r["pos"], tuple(r[c] for c in LINK))
         yield from self._judged(archive, part, came, timerValues, skip=False)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         archive, part = key
         yield from self._judged(archive, part, {}, timerValues, skip=True)
 
-    def _judged(self, archive: str, part: int, came: dict[int, tuple], timers: Any, skip: bool) -> Iterator[pd.DataFrame]:
+    def _judged(self, archive: str, part: int, came: dict[int, tuple], timers: Any, skip: bool) -> Iterator[Row]:
         begin, end = part * self.span, (part + 1) * self.span
         known, held = None, {}
         for pos, *entry, waits in self.part.get():
@@ -85,7 +83,7 @@ class ChainFollower(StatefulProcessor):
         while place in open_entries and place < end:
             own_seq, prev, own, computed = open_entries[place]
             if place >= begin:  # the one before a part's first is judged in its own part
-                expected_seq, expected = (0 if place == 0 else seq + 1), link
+                expected_seq, expected = (0 if place == 0 or seq is None else seq + 1), link
                 if own_seq != expected_seq or prev != expected or own != computed:
                     out.append((archive, place, own_seq, prev, own, computed, expected_seq, expected, False))
             seq, link, place = own_seq, own, place + 1
@@ -99,9 +97,9 @@ class ChainFollower(StatefulProcessor):
                 self.handle.deleteTimer(t)
             if any(p >= place for p in open_entries):
                 self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.patience_ms)
-        if out:
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in _JUDGED.split(", ")]).astype(
-                {"pos": "int64", "seq": "Int64", "expected_seq": "Int64", "missing": "bool"})
+        names = [x.split()[0] for x in _JUDGED.split(", ")]
+        for found in out:
+            yield Row(**dict(zip(names, found)))
 
     def close(self) -> None:
         pass
@@ -124,7 +122,7 @@ def stream_verify_chain(entries: DataFrame, patience_ms: int | None = None, span
     parts = F.when((F.col("pos") + 1) % span == 0, F.array(place, place + 1)).otherwise(F.array(place))
     narrow = entries.select("archive_id", "pos", "seq", "prev_hash", "entry_hash", canon.entry_hash(entries).alias("computed_hash"),
                             F.explode(parts).alias("part"))
-    judged = narrow.groupBy("archive_id", "part").transformWithStateInPandas(
+    judged = narrow.groupBy("archive_id", "part").transformWithState(
         ChainFollower(span, patience_ms), _JUDGED, "append", "None" if patience_ms is None else "ProcessingTime")
     reason = F.when(F.col("missing"), F.concat(F.lit("no entry before position "), F.col("pos").cast("string"), F.lit(" came."))).otherwise(
         chains.link_failures())

@@ -96,8 +96,12 @@ def test_state_of_a_part_takes_two_calls_a_batch():
     rows[50] = (50, "f" * 64, rows[50][2], rows[50][3])
     out = []
     for came in (range(40, 60), range(20, 40), range(20)):
-        out += [f for pdf in follower._judged("a", 0, {p: rows[p] for p in came}, None, False) for f in pdf["pos"]]
+        out += [f["pos"] for f in follower._judged("a", 0, {p: rows[p] for p in came}, None, False)]
     assert out == [50] and state.calls == 6 and len(state.rows) == 1
+    follower.part = _List()  # after an entry without a number the table, too, expects 0
+    rows[3] = (None, *rows[3][1:])
+    found = list(follower._judged("a", 0, {p: rows[p] for p in range(6)}, None, False))
+    assert [(f["pos"], f["expected_seq"]) for f in found] == [(3, 3), (4, 0)]
 
 
 def test_closures_of_forests_drop_no_repeats(spark):
