@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import sys
 import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,10 +164,11 @@ class Encoder:
 
     The tokenizer splits at white space and between letters and marks before anything
     else, so a text's ids are its words' ids put end to end, and "Word." has the ids of
-    "word" and ".". ``keep`` bounds the words, and the lower-case stems, that are kept.
+    "word" and ".". ``keep`` bounds the words that are kept, four times as many lower-case
+    stems are.
     """
 
-    MARKS = b".,;:!?"
+    MARKS = ".,;:!?#$%&*"
 
     def __init__(self, path: str, keep: int = 1 << 18) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -173,46 +177,111 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
         # Splitting off marks and case is right for tokenizers that do so themselves only.
-        self.stems = all(self._plain(x) == self._plain(x[:-1].lower()) + self._plain(x[-1])
-                         for x in ("Word.", "Ab!", "été,"))
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        marks = self.MARKS
+        self.stems = all(self._plain(a + b) == self._plain(a.lower()) + self._plain(b)
+                         for a, b in (("Word", "."), ("Ab", "!"), ("été", ","), ("Été", marks), ("x", marks[::-1])))
+        self.last = self._last_ids()
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.keep = keep
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _split(self, word: bytes) -> tuple[bytes, bytes]:
-        """A lower-case stem of letters and the marks after it; else the word itself."""
-        stem = word.rstrip(self.MARKS)
-        text = stem.decode("utf-8")
-        if self.stems and text.isalpha() and "\u03a3" not in text:  # capital sigma lowers by context
-            return text.lower().encode("utf-8"), word[len(stem):]
-        return word, b""
-
-    def _learn(self, found: list[bytes]) -> dict[bytes, bytes]:
-        split = {w: self._split(w) for w in found}
-        fresh = [p for p in dict.fromkeys(p for both in split.values() for p in both if p) if p not in self.parts]
-        made = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in fresh], add_special_tokens=False)
-        new = {p: np.array(e.ids, self.kind).tobytes() for p, e in zip(fresh, made)}
-        get = lambda p: b"" if not p else self.parts[p] if p in self.parts else new[p]
-        out = {w: get(a) + get(b) for w, (a, b) in split.items()}
-        for store, more in ((self.parts, new), (self.words, out)):
-            if len(store) < self.keep:
-                store.update([x for x in more.items() if len(x[0]) <= 64][:self.keep - len(store)])
+    def _last_ids(self) -> np.ndarray | None:
+        """Whether an id ends a run of letters, for tokenizers that mark the ends and split at blanks."""
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not self.stems or not suffix or self._plain("ab Cd é") != [*self._plain("ab"), *self._plain("cd"), *self._plain("é")]:
+            return None
+        vocab = self.tokenizer.get_vocab()
+        last = np.zeros(max(vocab.values()) + 1, bool)
+        last[[i for piece, i in vocab.items() if piece.endswith(suffix)]] = True
+        return last
+
+    def _split(self, words: list[str]) -> tuple[list[str], list[str]]:
+        """Lower-case stems of letters and the marks after them; of other words the word itself and nothing."""
+        if not self.stems:
+            return words, [""] * len(words)
+        stems = [w.rstrip(self.MARKS) for w in words]
+        lower = "\n".join(stems).lower().split("\n")
+        # Capital sigma lowers by context.
+        right = [s.isalpha() and "\u03a3" not in s for s in stems]
+        return ([low if ok else w for low, ok, w in zip(lower, right, words)],
+                [w[len(s):] if ok else "" for s, ok, w in zip(stems, right, words)])
+
+    def _made(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part; many that are letters only are put into one text and told apart by their last ids."""
+        out: list[bytes] = [b""] * len(parts)
+        rest = list(range(len(parts)))
+        if self.last is not None:
+            runs, rest = [i for i in rest if parts[i].isalpha()], [i for i in rest if not parts[i].isalpha()]
+            lists = [runs[a:a + 500] for a in range(0, len(runs), 500)]
+            texts = [" ".join([parts[i] for i in some]) for some in lists]
+            for some, made in zip(lists, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(made.ids, self.kind)
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) != len(some) or ends[-1] != len(ids):
+                    rest += some  # some part is more than one run of letters to this tokenizer
+                    continue
+                data, at = ids.tobytes(), 0
+                for i, end in zip(some, (ends * self.kind.itemsize).tolist()):
+                    out[i], at = data[at:end], end
+        made = self.tokenizer.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False)
+        for i, x in zip(rest, made):
+            out[i] = np.array(x.ids, self.kind).tobytes()
         return out
 
+    def _learn(self, found: list[str]) -> list[bytes]:
+        first, marks = self._split(found)
+        got = list(map(self.parts.get, first))
+        tails = {m: self.parts.get(m) for m in set(marks)}
+        fresh = list({p: None for parts in (zip(first, got), tails.items()) for p, x in parts if x is None})
+        new = dict(zip(fresh, self._made(fresh)))
+        tails = {m: new[m] if x is None else x for m, x in tails.items()}
+        out = [new[p] if x is None else x for p, x in zip(first, got)]
+        out = [i + tails[m] if m else i for i, m in zip(out, marks)]
+        for store, more, keep in ((self.parts, new.items(), 4 * self.keep), (self.words, zip(found, out), self.keep)):
+            if len(store) < keep:
+                store.update([x for x in more if len(x[0]) <= 64][:keep - len(store)])
+        return out
+
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts end to end, and where each text's begin, with one entry more; null has none.
+
+        Different words are looked up once, their ids put in the words' places.
+        """
+        # Split at ASCII white space only.
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = lists.flatten().dictionary_encode()
+        found = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        got = list(map(self.words.get, found))
+        fresh = [i for i, x in enumerate(got) if x is None]
+        for i, x in zip(fresh, self._learn([found[i] for i in fresh]) if fresh else ()):
+            got[i] = x
+        data = np.frombuffer(b"".join(got), self.kind)
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // self.kind.itemsize
+        index = words.indices.to_numpy(zero_copy_only=False)
+        ends = np.r_[0, np.cumsum(sizes[index])]
+        shift = (np.cumsum(sizes) - sizes)[index] - ends[:-1]
+        ids = data[np.repeat(shift, sizes[index]) + np.arange(ends[-1])]
+        begins = lists.offsets.to_numpy()
+        return ids, ends[begins - begins[0]]
+
+    def each(self, texts: pa.Array, limit: int = 1 << 22) -> Iterator[np.ndarray]:
+        """Ids of each text, in order; about ``limit`` bytes of text are looked at together."""
+        sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < len(texts):
+            before = sizes[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(sizes, before + limit, "right")))
+            ids, at = self.many(texts.slice(begin, end - begin))
+            for a, b in itertools.pairwise(at.tolist()):
+                yield ids[a:b]
+            begin = end
+
     def ids(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, self.kind)
-        # Bytes split at ASCII white space only. Lone surrogates are not text.
-        parts = text.encode("utf-8", "replace").split()
-        known = self.words
-        got = list(map(known.get, parts))
-        if None in got:
-            fresh = self._learn(list({w: None for w, i in zip(parts, got) if i is None}))
-            got = [fresh[w] if i is None else i for w, i in zip(parts, got)]
-        return np.frombuffer(b"".join(got), self.kind)
+        # Lone surrogates are not text.
+        return self.many(pa.array([(text or "").encode("utf-8", "replace").decode()], pa.string()))[0]
 
 
 def encoder(path: str) -> Encoder:

@@ -125,8 +125,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, id_
         end = np.array([end_id], enc.kind)
         for batch in batches:
             rows = []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.concatenate([enc.ids(t), end])
+            for d, ids in zip(batch.column(0).to_pylist(), enc.each(batch.column(1))):
+                ids = np.concatenate([ids, end])
                 for a in range(0, len(ids), length):
                     piece = ids[a:a + length]
                     rows.append((d, a, len(piece), ids_crc32(piece), len(ids)))
@@ -179,10 +179,10 @@ def packed_ids(docs: DataFrame, packed: DataFrame, tokenizer: str, end_id: int,
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            names = batch.schema.names
-            cols = dict(zip(names, (c.to_pylist() for c in batch.columns)))
-            ids = [np.concatenate([enc.ids(t), np.array([end_id], enc.kind)])[a:a + n].astype(np.int64)
-                   for t, a, n in zip(cols["text"], cols["start"], cols["length"])]
+            texts = batch.column(0)
+            cols = dict(zip(batch.schema.names[1:], (c.to_pylist() for c in batch.columns[1:])))
+            ids = [np.concatenate([x, np.array([end_id], enc.kind)])[a:a + n].astype(np.int64)
+                   for x, a, n in zip(enc.each(texts), cols["start"], cols["length"])]
             yield pa.RecordBatch.from_arrays([
                 pa.array(cols["sequence_id"], pa.int64()), pa.array(cols["offset"], pa.int64()),
                 pa.array(ids, pa.list_(pa.int64()))], ["sequence_id", "offset", "ids"])

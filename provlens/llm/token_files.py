@@ -204,8 +204,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_col: str
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["value"])
 
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = enc.ids(t)
+            for d, tokens in zip(batch.column(0).to_pylist(), enc.each(batch.column(1))):
                 ids.append(d)
                 lengths.append(len(tokens) + 1)
                 arrays += [tokens, end]

@@ -31,6 +31,26 @@ def test_encoder_equals_the_library():
             assert e.ids(text).tolist() == e.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_encoder_takes_many_texts_at_once():
+    import pyarrow as pa
+
+    e = common.Encoder(PATH, keep=50)
+    rng = np.random.default_rng(4)
+    texts = [" ".join("".join(map(chr, rng.integers(97, 103, rng.integers(1, 9)))) + mark for mark in rng.choice(["", ".", "%%%", "?!"], 90))
+             for _ in range(30)]
+    texts += [None, "", "\x85", "\x85 \u3000 a", " lead\ttrail ", "İstanbul ΣΑΣ ΟΔΟΣ ᾼ ǅ ﬁn", "a\x1cb", "Ab### x%$ ... <|endoftext|>", "ª ⅷ ²", "z" * 70]
+    plain = [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    calls = []
+    made = e._made
+    e._made = lambda parts: calls.append(len(parts)) or made(parts)
+    for limit in (1 << 22, 300):
+        got = list(e.each(pa.array(texts, pa.string()).slice(0), limit))
+        assert [x.tolist() for x in got] == plain
+        assert limit < 1000 or len(calls) == 1  # the tokenizer is asked once for all of them
+    assert [x.tolist() for x in e.each(pa.array([None, *texts], pa.string()).slice(4, 9))] == plain[3:12]
+    assert not list(e.each(pa.array([], pa.string()))) and [len(x) for x in e.each(pa.array([None, ""], pa.string()))] == [0, 0]
+
+
 def test_packing_holds_every_id_once(docs, ids):
     rows = packing.pack_documents(docs, PATH, 2, length=256).collect()
     got, wanted = [], []
