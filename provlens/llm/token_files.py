@@ -45,30 +45,45 @@ def compress(tokens: np.ndarray, end_id: int, first_rule: int,
     Every round counts neighbours, turns all pairs that occur at least ``least`` times
     into nonterminals and replaces them from left to right; later rounds build on earlier
     nonterminals, until no pair occurs so often. ``end_id`` enters no rule.
+
+    Of a pair that is frequent no two symbols stay beside each other, so after the first
+    round only pairs with a nonterminal of the last round can be frequent, and only they
+    are counted.
     """
     symbols = tokens.astype(np.int64)
     sides = np.zeros((0, 2), np.int64)
     sizes = np.zeros(0, np.int64)
+    newest = 0  # symbols from this one on are of the last round
     while len(symbols) > 1:
-        key = symbols[:-1] << 32 | symbols[1:]
-        free = (symbols[:-1] != end_id) & (symbols[1:] != end_id)
-        # A frequent pair's bin is heavy; only what lies in heavy bins is counted exactly.
-        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        slot[~free] = 1 << 20
-        weight = np.bincount(slot, minlength=(1 << 20) + 1)
-        weight[-1] = 0
-        at = np.flatnonzero((weight >= least)[slot])
-        pairs, where, counts = np.unique(key[at], return_inverse=True, return_counts=True)
-        often = (counts >= least)[where]
-        at, where = at[often], where[often]
-        if not len(at):
+        changed = symbols >= newest
+        free = symbols != end_id
+        at = np.flatnonzero((changed[:-1] | changed[1:]) & free[:-1] & free[1:])
+        key = symbols.take(at) << 32 | symbols.take(at + 1)
+        ranked = np.sort(key)
+        pairs = ranked[least - 1:][ranked[least - 1:] == ranked[:max(len(ranked) - least + 1, 0)]]
+        pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
+        if not len(pairs):
             break
+        # A pair's number, by a slot of its own or, where frequent pairs share one, by search.
+        slot = lambda k: (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+        table = np.full(1 << 20, -1, np.int32)
+        table[slot(pairs)] = np.arange(len(pairs))
+        where = table[slot(key)]
+        taken = np.flatnonzero(where >= 0)
+        at, key, where = at.take(taken), key.take(taken), where.take(taken)
+        other = np.flatnonzero(pairs.take(where) != key)
+        if len(other):
+            where[other] = np.minimum(np.searchsorted(pairs, key[other]), len(pairs) - 1)
+            often = np.flatnonzero(pairs.take(where) == key)
+            at, where = at.take(often), where.take(often)
         # Of pairs that overlap, take every other one from the left.
         new_run = np.r_[True, np.diff(at) != 1]
         nth = np.arange(len(at)) - np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-        at, where = at[nth % 2 == 0], where[nth % 2 == 0]
+        first = np.flatnonzero(nth & 1 == 0)
+        at, where = at.take(first), where.take(first)
         used = np.bincount(where, minlength=len(pairs)) > 0  # overlaps may leave a pair no place
-        symbols[at] = (first_rule + len(sides) + np.cumsum(used) - 1)[where]
+        newest = first_rule + len(sides)
+        symbols[at] = (newest + np.cumsum(used) - 1)[where]
         symbols = np.delete(symbols, at + 1)
         new = np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], 1)
         sizes = np.r_[sizes, _widths(new, sizes, first_rule).sum(1)]
@@ -141,20 +156,15 @@ class Shard:
         wide = np.zeros((n_symbols, 4), "u1")
         wide[:, :width] = take("u1", n_symbols * width).reshape(-1, width)
         self.symbols = wide.view("<u4").ravel()
-        self.flat, self.flat_starts = _expansions(self.sides, self.sizes, self.first_rule)
+        flat, starts = _expansions(self.sides, self.sizes, self.first_rule)
+        # Tokens stand behind the rules, so that every symbol expands to a piece of one table.
+        self.flat, self.flat_starts = np.r_[flat, np.arange(self.first_rule)], np.r_[np.arange(self.first_rule) + len(flat), starts]
 
     def _expand(self, symbols: np.ndarray, widths: np.ndarray) -> np.ndarray:
         if not len(symbols):
             return np.zeros(0, np.int64)
-        rule = symbols >= self.first_rule
-        out = np.repeat(symbols, widths)
-        if rule.any():
-            begin = np.cumsum(widths) - widths
-            inside = np.arange(len(out)) - np.repeat(begin, widths)
-            source = np.repeat(np.where(rule, self.flat_starts[np.maximum(symbols - self.first_rule, 0)], 0), widths)
-            from_rule = np.repeat(rule, widths)
-            out[from_rule] = self.flat[(source + inside)[from_rule]]
-        return out
+        shift = self.flat_starts[symbols] - (np.cumsum(widths) - widths)
+        return self.flat[np.repeat(shift, widths) + np.arange(widths.sum())]
 
     def document(self, i: int, begin: int = 0, end: int | None = None) -> np.ndarray:
         """Token ids ``begin:end`` of the i-th document; only symbols that reach in are expanded."""

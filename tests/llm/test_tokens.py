@@ -143,6 +143,41 @@ def test_grammar_leaves_no_frequent_pair():
     assert shard.all()[0].tolist() == tokens.tolist() and shard.document(7, 7990, 8050).tolist() == texts[7][7990:8050].tolist()
 
 
+def test_grammar_counts_only_what_a_round_changed(monkeypatch):
+    from collections import Counter
+
+    def plain(tokens, end_id, first_rule, least):
+        symbols, rules = list(tokens), []
+        while True:
+            counts = Counter(p for p in zip(symbols, symbols[1:]) if end_id not in p)
+            often = {p for p, n in counts.items() if n >= least}
+            if not often:
+                return symbols, rules
+            out, used, i = [], [], 0
+            while i < len(symbols):
+                if tuple(symbols[i:i + 2]) in often:
+                    used.append(tuple(symbols[i:i + 2]))
+                    out.append(used[-1])
+                    i += 2
+                else:
+                    out.append(symbols[i])
+                    i += 1
+            new = {p: first_rule + len(rules) + n for n, p in enumerate(sorted(set(used)))}
+            rules += sorted(new)
+            symbols = [new.get(x, x) if isinstance(x, tuple) else x for x in out]
+
+    rng = np.random.default_rng(7)
+    for n in range(60):
+        tokens = np.tile(rng.integers(0, 6, int(rng.integers(1, 9))), 30) if n % 3 == 0 else rng.integers(0, 6, int(rng.integers(0, 300)))
+        symbols, sides, _ = token_files.compress(tokens, 1, 20, least=4)
+        assert (symbols.tolist(), [tuple(x) for x in sides.tolist()]) == plain(tokens.tolist(), 1, 20, 4)
+    counted, sort = [], np.sort
+    monkeypatch.setattr(np, "sort", lambda x: counted.append(len(x)) or sort(x))
+    tokens = np.concatenate([np.r_[rng.integers(2, 90, 3000), 1] for _ in range(20)] + [np.tile(np.arange(2, 66), 40)])
+    token_files.compress(tokens, 1, 90)
+    assert len(counted) > 4 and counted[0] < len(tokens) and sum(counted) < 3 * len(tokens)
+
+
 @pytest.mark.parametrize("first_rule, width", [(300, 2), (1 << 16, 3), (1 << 24, 4)])
 def test_shard_with_symbols_of_any_width(first_rule, width):
     tokens = np.array([*[5, 6, 7] * 40, 1, 8, 1])
