@@ -235,6 +235,40 @@ def test_long_words_follow_the_folds(spark):
         assert folded == {w: lattice.long_ids(w, pieces, table) for w in words}
 
 
+def test_lattices_fall_apart_where_no_piece_leads_over():
+    import sentencepiece
+
+    rng = np.random.default_rng(8)
+    letters = list("abcdeéñ中😀%#,.A0\n\x00") + ["▁"]
+    words = ["".join(rng.choice(letters, rng.integers(1, 50))) for _ in range(400)] + ["▁the", "▁the%%%", "thing", "▁thing,"]
+    parts, counts = lattice._parts(words, MODEL)
+    assert "".join(parts) == "".join(words) and sum(counts) == len(parts) and len(set(parts)) < len(parts)
+    pieces, table = lattice._piece_table(MODEL)
+    assert lattice._parts([p for p, _, _ in pieces.rows], MODEL)[1] == [1] * len(pieces.rows)
+    ids, sizes = lattice.fold(parts, pieces, lattice._prefixes(MODEL))
+    ends = np.r_[0, np.cumsum(sizes)]
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [lattice.long_ids(p, pieces, table) for p in parts]
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    text = " the thing%%% a,b  été 中😀"
+    assert lattice.fold(lattice._parts(lattice.cut(text), MODEL)[0], pieces, lattice._prefixes(MODEL))[0].tolist() == model.encode(text)
+    some = sorted(set(parts))
+    assert lattice._opened(lattice._bundle(some)) == some and lattice._opened(lattice._bundle([])) == []
+
+
+def test_words_are_cut_alike_with_and_without_odd_blanks():
+    rng = np.random.default_rng(9)
+    for n in range(600):
+        text = "".join(rng.choice(list("ab \n") if n % 2 else list("ab  \n\t\r\0") + ["▁"], rng.integers(0, 25)))
+        assert lattice.cut(text) == (lattice._CUT.findall(("▁" + text).replace(" ", "▁")) if text else [])
+
+
+def test_sentencepiece_sends_no_row_for_a_word(spark):
+    rows = [(i, " ".join(f"word{(i * 37 + k) % 500}{mark}" for k in range(200) for mark in ("", "%%%"))) for i in range(40)]
+    out = lattice.encode(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), MODEL)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "word" not in plan and out.count() == 40
+
+
 def test_sentencepiece_of_nothing(nothing):
     assert lattice.decode(lattice.encode(nothing, MODEL), MODEL).collect() == []
 
