@@ -164,13 +164,13 @@ class Encoder:
 
     The tokenizer splits at white space and between letters and marks before anything
     else, so a text's ids are its words' ids put end to end, and "Word." has the ids of
-    "word" and ".". ``keep`` bounds the words that are kept, four times as many lower-case
-    stems are.
+    "word" and ".". ``keep`` bounds the words that are kept, ``keep_stems`` the lower-case
+    stems (as many if None).
     """
 
     MARKS = ".,;:!?#$%&*"
 
-    def __init__(self, path: str, keep: int = 1 << 18) -> None:
+    def __init__(self, path: str, keep: int = 1 << 18, keep_stems: int | None = None) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -183,7 +183,7 @@ class Encoder:
         self.last = self._last_ids()
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        self.keep = keep
+        self.keep, self.keep_stems = keep, keep if keep_stems is None else keep_stems
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -240,7 +240,7 @@ class Encoder:
         tails = {m: new[m] if x is None else x for m, x in tails.items()}
         out = [new[p] if x is None else x for p, x in zip(first, got)]
         out = [i + tails[m] if m else i for i, m in zip(out, marks)]
-        for store, more, keep in ((self.parts, new.items(), 4 * self.keep), (self.words, zip(found, out), self.keep)):
+        for store, more, keep in ((self.parts, new.items(), self.keep_stems), (self.words, zip(found, out), self.keep)):
             if len(store) < keep:
                 store.update([x for x in more if len(x[0]) <= 64][:keep - len(store)])
         return out
@@ -267,7 +267,7 @@ class Encoder:
         begins = lists.offsets.to_numpy()
         return ids, ends[begins - begins[0]]
 
-    def each(self, texts: pa.Array, limit: int = 1 << 22) -> Iterator[np.ndarray]:
+    def each(self, texts: pa.Array, limit: int = 1 << 20) -> Iterator[np.ndarray]:
         """Ids of each text, in order; about ``limit`` bytes of text are looked at together."""
         sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
         begin = 0
@@ -278,15 +278,16 @@ class Encoder:
             for a, b in itertools.pairwise(at.tolist()):
                 yield ids[a:b]
             begin = end
+        pa.default_memory_pool().release_unused()  # workers are used again by other steps
 
     def ids(self, text: str | None) -> np.ndarray:
         # Lone surrogates are not text.
         return self.many(pa.array([(text or "").encode("utf-8", "replace").decode()], pa.string()))[0]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep_stems: int | None = None) -> Encoder:
     """This worker's encoder for a file."""
-    return kept(("encoder", path), lambda: Encoder(path))
+    return kept(("encoder", path, keep_stems), lambda: Encoder(path, keep_stems=keep_stems))
 
 
 def ids_crc32(ids: np.ndarray) -> int:

@@ -201,7 +201,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_col: str
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, keep_stems=1 << 20)
         first_rule = max(enc.tokenizer.get_vocab_size(), end_id + 1)
         end = np.array([end_id], enc.kind)
         ids: list[int | None] = []
