@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import os
 import re
@@ -74,6 +75,34 @@ def kept(key: tuple, make: Callable[[], Any]) -> Any:
     return store[key]
 
 
+def _trimmer() -> Callable[[int], Any]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)  # glibc's
+
+
+def lean(*kinds: str) -> None:
+    """Forget what other steps keep in this worker, all but keys of these kinds, and give freed memory back.
+
+    Spark uses a worker again for other steps and holds idle ones for a minute: without this, what
+    one step kept or freed adds to the next one's share of the executor.
+    """
+    store = sys.__dict__.setdefault("_provlens_llm_kept", {})
+    for key in [k for k in store if k[0] not in kinds and k[0] != "trimmer"]:
+        del store[key]
+    pa.default_memory_pool().release_unused()
+    kept(("trimmer",), _trimmer)(0)
+
+
+def runs(texts: pa.Array, limit: int = 1 << 20) -> Iterator[pa.Array]:
+    """A column in runs of about ``limit`` bytes, a row at least: Python holds one run at a time."""
+    sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(texts):
+        before = sizes[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sizes, before + limit, "right")))
+        yield texts.slice(begin, end - begin)
+        begin = end
+
+
 _USUAL = 1 << 19
 
 
@@ -269,16 +298,11 @@ class Encoder:
 
     def each(self, texts: pa.Array, limit: int = 1 << 20) -> Iterator[np.ndarray]:
         """Ids of each text, in order; about ``limit`` bytes of text are looked at together."""
-        sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
-        begin = 0
-        while begin < len(texts):
-            before = sizes[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(sizes, before + limit, "right")))
-            ids, at = self.many(texts.slice(begin, end - begin))
+        for some in runs(texts, limit):
+            ids, at = self.many(some)
             for a, b in itertools.pairwise(at.tolist()):
                 yield ids[a:b]
-            begin = end
-        pa.default_memory_pool().release_unused()  # workers are used again by other steps
+        lean("encoder")
 
     def ids(self, text: str | None) -> np.ndarray:
         # Lone surrogates are not text.

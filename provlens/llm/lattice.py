@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provlens.llm.common import kept, shared_path, shuffle_width, slices
+from provlens.llm.common import kept, lean, runs, shared_path, shuffle_width, slices
 
 BLANK = "▁"  # fixed value: stands for a space in pieces
 CHUNK_BITS = 11
@@ -359,6 +359,9 @@ def _neighbours(model: str) -> tuple[np.ndarray, np.ndarray]:
     return kept(("neighbours", model), load)
 
 
+_KEPT = ("pieces", "prefixes", "neighbours")
+
+
 def _parts(words: list[str], model: str) -> tuple[list[str], list[int]]:
     """Words cut where no piece leads over, end to end, and how many parts each has."""
     classes, meet = _neighbours(model)
@@ -376,7 +379,10 @@ def _parts(words: list[str], model: str) -> tuple[list[str], list[int]]:
 def _different(texts: list[str | None], model: str, buckets: int) -> tuple[list[str], list[str], list[int], list[list[str]]]:
     """The different words of texts, their parts end to end, how many parts each word has, and
     the different parts of at most ``SHORT`` characters in order, by bucket."""
-    words = list(set().union(*(cut(t) for t in texts if t)))
+    found: set[str] = set()
+    for t in texts:
+        found.update(cut(t or ""))
+    words = list(found)
     parts, counts = _parts(words, model)
     dealt: list[list[str]] = [[] for _ in range(buckets)]
     for p in sorted(set(parts)):
@@ -416,12 +422,14 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     table = spark.table(name)
 
     def vocabulary(key: tuple, chunk: pa.Table) -> pa.Table:
+        lean(*_KEPT)
         dealt = _different(chunk.column("_text").to_pylist(), model, buckets)[-1]
         sent = [(b, _bundle(parts)) for b, parts in enumerate(dealt) if parts]
         return pa.table([pa.array([key[0].as_py()] * len(sent), pa.int64()), pa.array([b for b, _ in sent], pa.int32()),
                          pa.array([x for _, x in sent], pa.binary())], ["_chunk", "bucket", "parts"])
 
     def answer(key: tuple, bundles: pa.Table) -> pa.Table:
+        lean(*_KEPT)
         opened = [_opened(x) for x in bundles.column("parts").to_pylist()]
         words = pa.array(itertools.chain.from_iterable(opened), pa.string()).dictionary_encode()
         ids, counts = fold(words.dictionary.to_numpy(zero_copy_only=False).tolist(), _piece_table(model)[0], _prefixes(model))
@@ -435,6 +443,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         return pa.table([bundles.column("_chunk"), bundles.column("bucket"), pa.array(out, pa.binary())], ["_chunk", "bucket", "ids"])
 
     def put(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        lean(*_KEPT)
         texts = chunk.column("_text").to_pylist()
         words, parts, counts, dealt = _different(texts, model, buckets)
         of: dict[str, bytes] = {}
@@ -468,11 +477,17 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     spelled = [bytes([byte_of[p]]) if p in byte_of else p.encode() for p in texts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
-            out = []
-            for data in batch.column(batch.schema.get_field_index("ids")).to_pylist():
-                raw = b"".join([spelled[i] for i in np.frombuffer(data or b"", "<i4").tolist()])
-                out.append(raw.decode("utf-8", "replace").replace(BLANK, " ")[1:])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "text"])
+            begin = 0
+            for some in runs(batch.column(batch.schema.get_field_index("ids"))):
+                out = []
+                for data in some.to_pylist():
+                    raw = b"".join([spelled[i] for i in np.frombuffer(data or b"", "<i4").tolist()])
+                    out.append(raw.decode("utf-8", "replace").replace(BLANK, " ")[1:])
+                own = batch.slice(begin, len(some))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(out, pa.string())], [*batch.schema.names, "text"])
+                begin += len(some)
+            lean()
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())]))

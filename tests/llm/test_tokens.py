@@ -273,6 +273,33 @@ def test_sentencepiece_of_nothing(nothing):
     assert lattice.decode(lattice.encode(nothing, MODEL), MODEL).collect() == []
 
 
+def test_sentencepiece_holds_the_words_of_one_text_and_the_texts_of_one_run(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [" ".join(f"word{k}" for k in range(2000)) for _ in range(200)]
+    lattice._different(texts[:1], MODEL, 8)
+    tracemalloc.start()
+    words = lattice._different(texts, MODEL, 8)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(words) == 2000 and peak < 5e6  # all texts' words at once are 20 MB and more
+
+    df = spark.createDataFrame([], "doc_id long, n_tokens long, ids binary")
+    found = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: found.append(f) or self)
+    lattice.decode(df, MODEL)
+    ids = [None, b"", *[np.full(n, 500 + n % 7, "<i4").tobytes() for n in (3, 400_000, 200_000, 100_000, 5, 100_000)]]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(range(8)), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+    out = list(found[0](iter([whole])))
+    assert [b.num_rows for b in out] == [3, 1, 1, 3]
+    got = pa.Table.from_batches(out)
+    assert got.select(whole.schema.names).to_pylist() == whole.to_pylist()
+    one = [next(found[0](iter([whole.slice(i, 1)]))).column("text")[0].as_py() for i in range(8)]
+    assert got.column("text").to_pylist() == one
+
+
 def test_viterbi_fold_finds_the_best_path(spark):
     from pyspark.sql import functions as F
 
