@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provlens.llm.common import Hasher, joined, kept, landed, mix, slices
+from provlens.llm.common import Hasher, joined, kept, landed, lean, mix, slices
 from provlens.llm.components import components
 
 WORDS = 5  # of an n-gram
@@ -30,6 +30,7 @@ BANDS, ROWS = 30, 5  # at the threshold, one pair in 150,000 shares no band
 STEP = 15  # MinHash values compared at a time
 TOLERANCE = 1e-6  # posterior probability below which a pair is dropped
 BLOCK_TEXTS, BLOCK_GRAMS = 1024, 400_000
+_KEPT = ("hasher", "minhash", "powers")
 
 
 def grams(texts: list[str | None], size: int = WORDS) -> list[tuple[bytes | None, np.ndarray]]:
@@ -175,6 +176,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lean(*_KEPT)
             ids, texts = (c.to_pylist() for c in batch.columns)
             for a, b in slices(texts):
                 found = grams(texts[a:b])
@@ -205,6 +207,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lean(*_KEPT)
             cols = {n: c for n, c in zip(batch.schema.names, batch.columns)}
             texts_here, nodes = cols["text"].to_pylist(), cols["node"].to_pylist()
             for a, b in slices(texts_here):

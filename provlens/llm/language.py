@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provlens.llm.common import kept, mix, slices
+from provlens.llm.common import kept, lean, mix, runs, slices
 
 ORDERS = (2, 4)  # letters in an n-gram; a word's ends count as one blank each
 SLOTS = 1 << 21  # of the filter, 8 bytes each
@@ -135,6 +135,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lean("letters")
             langs, texts = (c.to_pylist() for c in batch.columns)
             number = {k: i for i, k in enumerate(dict.fromkeys(langs))}
             names = list(number)
@@ -189,15 +190,18 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.masks, model.rates, model.orders))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean("letters")
         here = Model(*sent.value)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             names: list[str] = []
             scores: list[float] = []
-            for a, b in slices(texts):
-                got = here.predict(texts[a:b]) if here.languages else ([UNKNOWN] * (b - a), [0.0] * (b - a))
-                names += got[0]
-                scores += got[1]
+            for some in runs(batch.column(batch.schema.get_field_index(text))):
+                texts = some.to_pylist()
+                for a, b in slices(texts):
+                    got = here.predict(texts[a:b]) if here.languages else ([UNKNOWN] * (b - a), [0.0] * (b - a))
+                    names += got[0]
+                    scores += got[1]
+            lean("letters")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                              [*batch.schema.names, "lang_pred", "lang_score"])
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provlens.llm.common import Hasher, joined, kept, mix, shared_path, shuffle_width, slices, words
+from provlens.llm.common import Hasher, joined, kept, lean, mix, shared_path, shuffle_width, slices, words
 
 WINDOW = 13  # words
 DEPTH = 2  # rows of the sketch
@@ -33,6 +33,7 @@ BAND_CELLS = 1 << 21  # cells that chunks send to one band, about
 CHUNK_BITS = 11  # documents of a chunk, as a power of two
 _ROW_SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1)
 _NULL_ID = -(1 << 63)
+_KEPT = ("hasher", "powers")
 
 
 class Chunk:
@@ -135,6 +136,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     band_bits = min(max((windows // BAND_CELLS).bit_length(), 4), bits)
 
     def send(key: tuple, chunk: pa.Table) -> pa.Table:
+        lean(*_KEPT)
         own = Chunk(chunk.column("_text").to_pylist(), window, 1)
         rows = []
         for r in range(depth):
@@ -146,6 +148,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                         ["band", "chunk", "width", "cells"])
 
     def merge(key: tuple, band: pa.Table) -> pa.Table:
+        lean(*_KEPT)
         chunks, parts = band.column("chunk").to_pylist(), []
         for width, data in zip(band.column("width").to_pylist(), band.column("cells").to_pylist()):
             parts.append(_decode(width, data))
@@ -164,6 +167,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                         ["_chunk", "band", "bits"])
 
     def candidates(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        lean(*_KEPT)
         empty = pa.table({"k1": pa.array([], pa.int64()), "k2": pa.array([], pa.int32()), "_chunk": pa.array([], pa.int64()),
                           "low": pa.array([], pa.int64()), "high": pa.array([], pa.int64())})
         if not chunk.num_rows:
@@ -195,6 +199,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                            T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def remove(key: tuple, chunk: pa.Table, verdicts: pa.Table) -> pa.Table:
+        lean(*_KEPT)
         texts = chunk.column(text_col).to_pylist()
         chunk = chunk.select(docs_columns)
         if verdicts.num_rows:

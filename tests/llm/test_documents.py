@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from conftest_words import words
 
-from provlens.llm import components, fingerprints, jaccard, language, quality, substring
+from provlens.llm import common, components, fingerprints, jaccard, language, quality, substring
 
 
 def counts(text):
@@ -161,6 +161,37 @@ def test_language_learns_and_predicts(spark):
     assert language.in_known_language(df).columns == df.columns
 
 
+def test_language_forgets_what_other_steps_keep(spark, monkeypatch):
+    import pyarrow as pa
+
+    df = spark.createDataFrame([], "doc_id long, text string")
+    model = language.Model(["aa"], np.full(64, 1, np.uint64), np.zeros(1))
+    found = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: found.append(f) or self)
+    language.identify(df, model)
+    texts = [None, "", "ab cd", "x" * (1 << 20), "ef " * 400_000, "é", "12"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["doc_id", "text"])
+    common.kept(("encoder", "test"), lambda: "words")
+    out = pa.Table.from_batches(list(found[0](iter([batch]))))
+    assert common.kept(("encoder", "test"), lambda: "anew") == "anew"
+    assert out.select(["doc_id", "text"]).to_pylist() == batch.to_pylist()
+    assert out.column("lang_pred").to_pylist() == ["und", "und", "aa", "aa", "aa", "aa", "und"]
+    common.lean("encoder")
+    assert common.kept(("encoder", "test"), lambda: "new") == "anew"
+    common.lean()
+    assert common.kept(("encoder", "test"), lambda: "new") == "new"
+    common.lean()
+
+
+def test_texts_come_in_runs():
+    import pyarrow as pa
+
+    column = pa.array(["a" * 6, None, "b" * 5, "c" * 30, "", "d" * 4])
+    for some in (column, pa.concat_arrays([pa.array(["z" * 9]), column]).slice(1)):
+        assert [r.to_pylist() for r in common.runs(some, 10)] == [["a" * 6, None], ["b" * 5], ["c" * 30], ["", "d" * 4]]
+    assert list(common.runs(column.slice(0, 0), 10)) == []
+
+
 def test_language_with_nothing_to_learn_from(docs, nothing):
     model = language.learn(nothing)
     assert {r.lang_pred for r in language.identify(docs, model).collect()} == {"und"}
