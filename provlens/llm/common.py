@@ -33,10 +33,10 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def landed(df: DataFrame, what: str = "table") -> DataFrame:
+def landed(df: DataFrame, what: str = "table", **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps start from files."""
     path = shared_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd", **options}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -28,8 +28,12 @@ PROBES = 4
 LEAST_CLASS = 6  # filters are for 2^6 terms at least
 BLOCK_DOCS = 1024
 BLOCK_BYTES = 1 << 22  # a block has no more text, unless it is one document
-QUERY_TERMS = 1 << 16  # items are looked for together up to so many terms, an item at least
+QUERY_TERMS = 1 << 16  # items are looked for together up to so many terms, an item's each counted, an item at least
+QUERY_ITEMS = 1 << 12  # and up to so many items
+SLOT_BYTES = 1 << 26  # of terms' slots that a task keeps, those of a class at least
 BATCH_DOCS, BATCH_BLOCKS = 256, 4  # rows that travel to a worker at once
+# Spark decompresses a row group as a whole, and Parquet's writer first looks at its size after 100 rows.
+ROW_GROUPS = {"parquet.block.row.count.limit": str(BATCH_BLOCKS)}
 # Counts that are told apart; above the last only a document's own highest count bounds them.
 LEVELS = np.array([1, 2, 3, *(x << i for i in range(11) for x in (4, 6))])
 _SEEDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xA0761D6478BD642F))
@@ -147,7 +151,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield batch_of(block)
 
     with batches_of(docs.sparkSession, BATCH_DOCS):
-        return landed(docs.select(F.col(doc_id).cast("long"), F.col(text).cast("binary")).mapInArrow(run, INDEX), "lexical")
+        return landed(docs.select(F.col(doc_id).cast("long"), F.col(text).cast("binary")).mapInArrow(run, INDEX), "lexical", **ROW_GROUPS)
 
 
 @dataclass
@@ -204,7 +208,7 @@ def upper_bounds(items: Items, slots: list[list[np.ndarray]], bitmaps: np.ndarra
 
 def _found(index: DataFrame, items: Items, keep: int) -> DataFrame:
     """Of each task the ``keep`` best documents of every item that reach its floor: number, item_id, doc_id, score."""
-    sent = index.sparkSession.sparkContext.broadcast(vars(items))  # bounded by QUERY_TERMS; plain, as workers may not have this package
+    sent = index.sparkSession.sparkContext.broadcast(vars(items))  # bounded by QUERY_TERMS and QUERY_ITEMS; plain, as workers may not have this package
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = Items(**sent.value)
@@ -222,6 +226,8 @@ def _found(index: DataFrame, items: Items, keep: int) -> DataFrame:
                 lengths, highest = (np.array(columns[k][r].values, np.int64) for k in (1, 2))
                 bitmaps = np.frombuffer(columns[4][r].as_buffer(), np.uint8).reshape(filter_size(c), -1)
                 if c not in slots:
+                    while slots and (len(slots) + 1) * len(LEVELS) * PROBES * 8 * len(names) > SLOT_BYTES:
+                        slots.pop(next(iter(slots)))
                     slots[c] = [[slots_of(hashes, j, p, filter_size(c)) for p in range(PROBES)] for j in range(len(LEVELS))]
                 scale = q.scale(lengths)
                 bounds = upper_bounds(q, slots[c], bitmaps, highest, scale)
@@ -231,7 +237,7 @@ def _found(index: DataFrame, items: Items, keep: int) -> DataFrame:
                         if bounds[i, d] < floors[i]:
                             break
                         if d not in counts:
-                            counts[d] = Counter(texts[int(d)].as_py().split())
+                            counts[d] = Counter(filter(q.terms.__contains__, texts[int(d)].as_py().split()))
                         has, m = counts[d], int(scale[d])
                         score = sum(w * part(has[t], m) for t, w in members[i] if t in has)
                         if score < floors[i]:
@@ -272,14 +278,15 @@ def _documents_with(index: DataFrame, terms: dict[bytes, int]) -> dict[int, int]
 def _grouped(items: DataFrame, item_id: str, text: str) -> Iterator[Items]:
     """Items with their terms, in groups of bounded size."""
     table = _folding()
-    group = Items([], [], {}, [])
+    group, terms = Items([], [], {}, []), 0
     rows = items.select(F.col(item_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     for number, row in enumerate(rows.toLocalIterator()):
         found = list(dict.fromkeys(bytes(row["text"]).translate(table).split())) if row["text"] is not None else []
-        if group.numbers and len(group.terms) + len(found) > QUERY_TERMS:
+        if group.numbers and (terms + len(found) > QUERY_TERMS or len(group.numbers) >= QUERY_ITEMS):
             yield group
-            group = Items([], [], {}, [])
+            group, terms = Items([], [], {}, []), 0
         if found:
+            terms += len(found)
             group.numbers.append(number)
             group.ids.append(row["id"])
             group.members.append(np.array([group.terms.setdefault(t, len(group.terms)) for t in found], np.int64))

@@ -4,8 +4,10 @@ import math
 import random
 import re
 from collections import Counter
+from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from provlens.llm import lexical, toxicity
@@ -83,6 +85,24 @@ def test_bounds_are_never_below_scores():
     assert near > 60  # and mostly not far above
 
 
+def test_index_is_read_a_few_blocks_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK_DOCS", 4)
+    texts = spark.createDataFrame([(i, f"some words and w{i}") for i in range(200)], "doc_id long, text string").coalesce(1)
+    index = lexical.build_index(texts)
+    groups = [m.row_group(g).num_rows for m in (pq.read_metadata(unquote(urlparse(f).path)) for f in index.inputFiles())
+              for g in range(m.num_row_groups)]
+    assert sum(groups) == 50 and max(groups) <= lexical.BATCH_BLOCKS
+
+
+def test_items_of_the_same_few_terms_go_in_bounded_groups(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "QUERY_TERMS", 40)
+    monkeypatch.setattr(lexical, "QUERY_ITEMS", 5, raising=False)
+    rows = spark.createDataFrame([(i, " ".join("abcdef"[:1 + 5 * (i // 16)])) for i in range(32)], "item_id long, text string").coalesce(1)
+    groups = list(lexical._grouped(rows, "item_id", "text"))
+    assert sorted(i for g in groups for i in g.ids) == list(range(32))
+    assert max(len(g.ids) for g in groups) == 5 and max(sum(map(len, g.members)) for g in groups) <= 40
+
+
 def test_nothing_to_search(spark, docs, nothing, items):
     assert lexical.best_documents(nothing, frame(spark, items)).collect() == []
     assert lexical.best_documents(docs, frame(spark, items).limit(0)).collect() == []
