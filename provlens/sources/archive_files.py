@@ -3,7 +3,8 @@
 Spark's own file readers pass over empty files and names that begin with ``_`` or ``.``, and have
 every name listed on the driver. Here the driver sees no more than the archives' own folders; a
 task lists and reads the files of one archive, or of a slice of them. Written rows become one file
-each, put in place by a rename, so that a repeated task does no harm.
+each, put in place by a rename, so that a repeated task does no harm. Tables of one Parquet file a
+row are read the same way, as their files are as many as their rows.
 
 The root may be any URI that ``pyarrow.fs`` reads (local, ``s3://``, ``gs://``, ``hdfs://``).
 """
@@ -13,15 +14,16 @@ from __future__ import annotations
 import fnmatch
 import hashlib
 import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyarrow import fs
+from pyarrow import fs, parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull,
@@ -33,6 +35,7 @@ LARGEST = (1 << 31) - (1 << 20)  # bytes of a file that fit in a row
 _STEP = 1 << 20
 
 COLUMNS = "archive_id string, path string, size_bytes long, content binary, sha256 string, error string"
+ROW_COLUMNS = "archive_id string, name string, n long, row_hash binary, payload_jcs binary"
 
 
 def opened(root: str) -> tuple[fs.FileSystem, str]:
@@ -41,6 +44,15 @@ def opened(root: str) -> tuple[fs.FileSystem, str]:
     return system, path.rstrip("/")
 
 
+def can_open(root: str) -> bool:
+    """Whether ``pyarrow.fs`` knows the file system of a root and can reach it from here."""
+    try:
+        opened(root)
+    except (OSError, pa.ArrowException):
+        return False
+    return True
+
+
 def _matches(path: str, pattern: str) -> bool:
     """Glob by path parts; ``**`` stands for any number of them."""
     def fits(names: list[str], globs: list[str]) -> bool:
@@ -181,6 +193,79 @@ class ArchiveFilesReader(DataSourceReader):
             yield batch()
 
 
+def _as_uri(name: str) -> str:
+    """A file's name as Spark's ``_metadata.file_path`` has it."""
+    def kept(c: str) -> bool:
+        return c in "_-!.~'()*,;:$&+=@" or c.isalnum() if c.isascii() else unicodedata.category(c) not in ("Cc", "Zs", "Zl", "Zp")
+
+    return "".join(c if kept(c) else quote(c, safe="") for c in name)
+
+
+def _passed_over(name: str) -> bool:
+    """Whether Spark's own readers leave out a file of this name."""
+    return name.startswith("_") and "=" not in name or name.startswith(".") or name.endswith("._COPYING_")
+
+
+def _stored_row(file: pa.NativeFile) -> tuple[int, bytes | None, bytes | None] | None:
+    """How many rows a Parquet file has, and ``row_hash`` and ``payload_jcs`` of a single one; None if it is no such file.
+
+    A missing column is null; capital letters in names don't matter.
+    """
+    try:
+        table = parquet.ParquetFile(file)
+        n = table.metadata.num_rows
+        if n != 1:
+            return n, None, None
+        values: list[bytes | None] = []
+        for wanted in ("row_hash", "payload_jcs"):
+            names = [c for c in table.schema_arrow.names if c.lower() == wanted]
+            if len(names) > 1:
+                return None
+            column = table.read(columns=names, use_threads=False).column(0) if names else None
+            values.append(None if column is None else column.cast(pa.binary())[0].as_py())
+        return n, values[0], values[1]
+    except (OSError, pa.ArrowException):
+        return None
+
+
+class ArchiveRowsReader(ArchiveFilesReader):
+    """Rows of tables that have a Parquet file for each: the file's name, its number of rows and the row of a single one.
+
+    Files are left out as Spark's Parquet reader does: by name, and where they are empty or no Parquet.
+    """
+
+    def read(self, partition: ArchiveSlice | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there is no archive
+            return
+        system, _ = opened(self.root)
+        # Not decoded, as paths of other scans by Spark's readers are not.
+        archive = partition.folder.rpartition("/")[2].removeprefix("archive_id=")
+        rows: list[tuple] = []
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            types = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
+            names = ["archive_id", "name", "n", "row_hash", "payload_jcs"]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+        for file in self._files(system, partition):
+            name = file.path.rpartition("/")[2]
+            if _passed_over(name) or not file.size:
+                continue
+            with system.open_input_file(file.path) as f:
+                found = _stored_row(f)
+            if found is None or not found[0]:
+                continue
+            more = len(found[1] or b"") + len(found[2] or b"")
+            if rows and size + more > BATCH_BYTES:
+                yield batch()
+                rows, size = [], 0
+            rows.append((archive, _as_uri(name), *found))
+            size += more + 200
+        if rows:
+            yield batch()
+
+
 class ArchiveFilesWriter(DataSourceArrowWriter):
     """A file per row: ``archive_id``, ``path`` below the archive, ``content``."""
 
@@ -226,8 +311,23 @@ class ArchiveFiles(DataSource):
         return ArchiveFilesWriter(self.options)
 
 
+class ArchiveRows(DataSource):
+    """``spark.read.format("archive_rows")`` with ``root``, ``pattern`` and ``slices``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "archive_rows"
+
+    def schema(self) -> str:
+        return ROW_COLUMNS
+
+    def reader(self, schema: Any) -> DataSourceReader:
+        return ArchiveRowsReader(self.options)
+
+
 def _registered(spark: SparkSession) -> None:
     spark.dataSource.register(ArchiveFiles)
+    spark.dataSource.register(ArchiveRows)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
@@ -242,6 +342,13 @@ def read_files(spark: SparkSession, root: str, pattern: str, content: str = "non
             .option("content", content).option("slices", str(slices)).load())
 
 
+def read_rows(spark: SparkSession, root: str, table: str, slices: int = SLICES) -> DataFrame:
+    """Files of one table below the archives of ``root``, in the columns that ``ArchiveRowsReader`` gives."""
+    _registered(spark)
+    return (spark.read.format("archive_rows").option("root", root).option("pattern", f"tables/{table}/*")
+            .option("slices", str(slices)).load())
+
+
 def write_files(files: DataFrame, root: str) -> None:
     """Write each row of ``archive_id, path, content`` as a file of its own; a file of that name is replaced.
 

@@ -16,7 +16,7 @@ from provlens import schemas
 from provlens.functions.canonical import self_hash
 from provlens.functions.ordered import sequenced
 from provlens.session import landed
-from provlens.sources.archive_files import read_files
+from provlens.sources.archive_files import SLICES, can_open, read_files, read_rows
 
 # Folders inside an archive.
 ARTIFACT_DIRS = {"workspace": "workspaces", "timeline": "timelines", "snapshot": "snapshots",
@@ -40,16 +40,34 @@ def _archive_id(root: str) -> Column:
     return F.when(found != "", found).otherwise(F.raise_error(F.concat(F.lit(f"not under {whole}: "), file)))
 
 
+def _row_files(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """``archive_id, row_id, n, row_hash, payload_jcs`` of every file of one table.
+
+    A table has as many files as rows, so tasks list and read them; the driver lists the archives only.
+    """
+    under = f"{root}/*/tables/{table}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = system.makeQualified(path).toUri()
+    place = whole.getPath() if whole.getScheme() == "file" else whole.toString()
+    archives = len(system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(under)) or [])
+    if archives and can_open(place):
+        files = read_rows(spark, place, table, max(SLICES, -(-2 * spark.sparkContext.defaultParallelism // archives)))
+    else:
+        # Where pyarrow.fs cannot read, or there is no such table, which is an error.
+        raw = spark.read.schema("row_hash string, payload_jcs binary").option("ignoreCorruptFiles", "true").parquet(under)
+        files = raw.select(_archive_id(root).alias("archive_id"), F.col("_metadata.file_path").alias("name"),
+                           F.lit(1).cast("long").alias("n"), "row_hash", "payload_jcs")
+    return files.select("archive_id", F.regexp_extract("name", "([^/]+)\\.parquet$", 1).alias("row_id"), "n",
+                        F.col("row_hash").cast("string").alias("row_hash"), "payload_jcs")
+
+
 def scan_rows(spark: SparkSession, root: str, table: str) -> DataFrame:
     """``archive_id, table, row_id, row_hash, payload`` of one table."""
-    raw = (spark.read.schema("row_hash string, payload_jcs binary")
-           .option("ignoreCorruptFiles", "true").parquet(f"{root}/*/tables/{table}"))
-    rows = raw.select(
-        _archive_id(root).alias("archive_id"), F.lit(table).alias("table"),
-        F.regexp_extract("_metadata.file_path", "([^/]+)\\.parquet$", 1).alias("row_id"),
-        "row_hash", F.decode("payload_jcs", "UTF-8").alias("payload"))
+    rows = _row_files(spark, root, table).select(
+        "archive_id", F.lit(table).alias("table"), "row_id", "n", "row_hash", F.decode("payload_jcs", "UTF-8").alias("payload"))
     single = rows.groupBy("archive_id", "table", "row_id").agg(
-        F.count("*").alias("n"), F.first("row_hash").alias("row_hash"), F.first("payload").alias("payload"))
+        F.sum("n").alias("n"), F.first("row_hash").alias("row_hash"), F.first("payload").alias("payload"))
     return single.filter("n = 1").drop("n")
 
 

@@ -4,7 +4,9 @@ import hashlib
 import io
 from contextlib import redirect_stdout
 
+import pyarrow as pa
 import pytest
+from pyarrow import parquet
 from pyspark.sql import functions as F
 
 from provlens.plans import verify
@@ -92,6 +94,52 @@ def test_rows_and_blobs_written_as_files_come_back(spark, tmp_path):
         assert {(r.hash, r.ok) for r in checked.collect()} == {(good, True), (bad, False)}
 
 
+@pytest.fixture()
+def stored(tmp_path):
+    """Rows as files: of many names, and some that hold no single row."""
+    for archive in ("one", "two", ".three", "archive_id=two", "archive_id=a%20b", "é +"):
+        folder = tmp_path / "ro ot%20é" / archive / "tables" / "evidence"
+        (folder / "deeper").mkdir(parents=True)
+
+        def put(name, n=1, folder=folder, **columns):
+            columns = columns or {"row_hash": ["h-" + name] * n, "payload_jcs": [b'{"a":1}'] * n}
+            parquet.write_table(pa.table(columns), folder / name, compression="zstd")
+
+        for name in ("a.parquet", "b c%20.parquet", "d é+#&.parquet", "x=1.parquet", "_y=1.parquet", "_hidden.parquet", ".dot.parquet",
+                     "z._COPYING_", "other.name", "second.name", "deeper/in.parquet"):
+            put(name)
+        if archive != "archive_id=two":
+            put("e.parquet")
+        put("many.parquet", n=3)
+        put("none.parquet", n=0, row_hash=pa.array([], pa.string()), payload_jcs=pa.array([], pa.binary()))
+        put("text.parquet", row_hash=pa.array([b"h"], pa.binary()), payload_jcs=pa.array(["{}"], pa.large_string()))
+        put("capital.parquet", ROW_HASH=["h"], Payload_JCS=[b"{}"], more=[1])
+        put("nulls.parquet", row_hash=pa.array([None], pa.string()), payload_jcs=pa.array([None], pa.binary()))
+        put("half.parquet", row_hash=["h"])
+        put("kind.parquet", row_hash=[1], payload_jcs=[b"{}"])
+        put("twice.parquet", row_hash=["h"], ROW_HASH=["i"], payload_jcs=[b"{}"])
+        whole = (folder / "a.parquet").read_bytes()
+        for name, body in (("empty", b""), ("cut", whole[:-30]), ("bad", b"no parquet"), ("torn", b"PAR1" + b"\xff" * 60 + whole[64:])):
+            (folder / f"{name}.parquet").write_bytes(body)
+    return str(tmp_path / "ro ot%20é")
+
+
+def test_stored_rows_are_listed_and_read_in_tasks(spark, stored, monkeypatch):
+    rows = readers.scan_rows(spark, stored, "evidence")
+    assert rows.inputFiles() == []  # the driver knows no file
+    got = sorted(map(tuple, rows.collect()), key=str)
+    assert len(got) > 40 and {r[0] for r in got} == {"one", "two", ".three", "a%20b", "é +"}
+    assert sorted(map(tuple, readers.scan_rows(spark, f"file://{stored}/", "evidence").collect()), key=str) == got
+    monkeypatch.setattr(readers, "can_open", lambda root: False)  # by Spark's reader, as where pyarrow.fs cannot read
+    plain = readers.scan_rows(spark, stored, "evidence")
+    assert len(plain.inputFiles()) > 60 and sorted(map(tuple, plain.collect()), key=str) == got
+
+
+def test_a_table_that_no_archive_has_is_an_error(spark, stored):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.scan_rows(spark, stored, "nothing")
+
+
 def test_hidden_artifacts_are_read(spark, root):
     found = {(r.archive_id, r.artifact_name): r.decode_error for r in readers.scan_artifacts(spark, root, "workspace").collect()}
     assert {n for _, n in found} == {"plain", "_draft", ".hidden", "empty", "a=b%20c"} and len(found) == 15
